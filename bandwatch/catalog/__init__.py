@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["occupancy"]
+SECTIONS = ["occupancy", "sequences", "places"]
 
 
 def load():
