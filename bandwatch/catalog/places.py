@@ -158,12 +158,13 @@ def ge4(t: Testbed) -> DataFrame:
 @query(
     "q_ge5_projection",
     f"""
-WITH {EXTENT_SQL} SELECT session_id, seq, {r6(f'((longitude - rlon + 540) % 360 - 180) * cos(rlat * {RAD}) * 6371008.8::DOUBLE * {RAD}')} AS east_m,
-  {r6(f'(latitude - rlat) * 6371008.8::DOUBLE * {RAD}')} AS north_m FROM fp JOIN ext0 USING (session_id)""",
+WITH {EXTENT_SQL} SELECT session_id, seq, floor(((longitude - rlon + 540) % 360 - 180) * cos(rlat * {RAD}) * 6371008.8::DOUBLE * {RAD} * 1e3 + 0.5) / 1e3 AS east_m,
+  floor((latitude - rlat) * 6371008.8::DOUBLE * {RAD} * 1e3 + 0.5) / 1e3 AS north_m FROM fp JOIN ext0 USING (session_id)""",
 )
 def ge5(t: Testbed) -> DataFrame:
     d = geo.projected(far(t), geo.extent(far(t)))
-    return d.select("session_id", "seq", m("east_m"), m("north_m"))
+    mm = [(F.floor(F.col(c) * 1e3 + 0.5) / 1e3).alias(c) for c in ("east_m", "north_m")]
+    return d.select("session_id", "seq", *mm)
 
 
 @query(
