@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["occupancy", "sequences", "places", "detection"]
+SECTIONS = ["occupancy", "sequences", "places", "detection", "records"]
 
 
 def load():

@@ -45,12 +45,18 @@ def _fix(lat: Column, lon: Column, t_us: Column, utc_us: Column, user: Column, k
 class Testbed:
     __test__ = False  # not a test class
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, streams: tuple[str, ...] = ()):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.streams = streams
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table; those named in ``streams`` as a stream of its files."""
+        static = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self.streams:
+            return static
+        files = self.spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}*.parquet")
+        return files.parquet(self.sf_dir)
 
     # -- spectrum -----------------------------------------------------------
 
