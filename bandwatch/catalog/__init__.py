@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["occupancy", "sequences", "places", "detection", "records"]
+SECTIONS = ["occupancy", "sequences", "places", "detection", "records", "live"]
 
 
 def load():

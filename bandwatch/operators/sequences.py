@@ -258,3 +258,16 @@ def background(tiles: DataFrame) -> DataFrame:
 def running_total(df: DataFrame, order: str, value: Column, out: str, chunk_us: int = CHUNK_US) -> DataFrame:
     """Running sum of a counter over a session's rows."""
     return running_sum(chunked(df, order, chunk_us), SESSION, [order], value, out).drop(CHUNK)
+
+
+def stalls(arrivals: DataFrame, limit_us: int = 2_000_000, chunk_us: int = CHUNK_US) -> DataFrame:
+    """Silences of a source longer than ``limit_us``; how much is missing is unknown."""
+    rows = chunked(arrivals.select("session_id", "seq", "arrival_us"), "arrival_us", chunk_us)
+    seen = with_previous(rows, SESSION, ["arrival_us", "seq"], F.struct(F.col("arrival_us").alias("t")), "prev")
+    return seen.where(F.col("arrival_us") - F.col("prev.t") > limit_us).select(
+        "session_id",
+        "seq",
+        F.col("prev.t").alias("stalled_from_us"),
+        F.col("arrival_us").alias("resumed_us"),
+        F.lit("source_stall").alias("reason"),
+    )

@@ -151,3 +151,22 @@ def tile_features(tiles: DataFrame, decimals: int) -> DataFrame:
     )
     properties = ["session_id", "tile_id", "observed_s", "busy_s", "mean_dbfs", "peak_dbfs", "quality"]
     return sinks.geojson_features(rows, "latitude", "longitude", properties, decimals)
+
+
+def acquisition_scope(tiles: DataFrame, acquisitions: DataFrame, q: SurveyQuery) -> DataFrame:
+    """Acquisitions a report covers: overlapping in time and band, with selected data.
+
+    Each keeps its own part of the time range, its grid, guard and rate.
+    """
+    half = F.col("span_hz") / 2.0
+    owners = sel.selected_tiles(tiles, acquisitions, q).select(*occ.ACQ)
+    a = acquisitions.where((F.col("end_us") > q.start_us) & (F.col("start_us") < q.end_us))
+    if q.lower_hz > 0:
+        a = a.where(F.col("center_hz") + half > q.lower_hz)
+    if q.upper_hz > 0:
+        a = a.where(F.col("center_hz") - half < q.upper_hz)
+    return (
+        a.withColumn("scope_start_us", F.greatest(F.lit(q.start_us), F.col("start_us")))
+        .withColumn("scope_end_us", F.least(F.lit(q.end_us), F.col("end_us")))
+        .join(owners, occ.ACQ, "left_semi")
+    )
