@@ -78,9 +78,9 @@ def st4(t: Testbed) -> DataFrame:
 @query(
     "q_st5_source_stalls",
     """
-WITH e AS (SELECT user_id % 16 AS session_id, event_id AS seq, epoch_us(ts) AS at FROM events),
-x AS (SELECT *, lag(at) OVER (PARTITION BY session_id ORDER BY at, seq) AS p FROM e)
-SELECT session_id, seq, p AS stalled_from_us, at AS resumed_us, 'source_stall' AS reason FROM x WHERE at - p > 4000000000""",
+WITH e AS (SELECT user_id % 16 AS session_id, event_id AS seq, epoch_us(ts) AS t0 FROM events),
+x AS (SELECT *, lag(t0) OVER (PARTITION BY session_id ORDER BY t0, seq) AS p FROM e)
+SELECT session_id, seq, p AS stalled_from_us, t0 AS resumed_us, 'source_stall' AS reason FROM x WHERE t0 - p > 4000000000""",
 )
 def st5(t: Testbed) -> DataFrame:
     """Stalls in recorded arrival times; the live watchdog is `jobs.sample_gaps(stall_ms=...)`."""

@@ -125,7 +125,7 @@ def sample_gaps(blocks: DataFrame, stall_ms: int | None = None) -> DataFrame:
 def live_bursts(tiles: DataFrame, acquisitions: DataFrame) -> DataFrame:
     rows = bursts.with_components(selected_tiles(tiles, acquisitions, SurveyQuery())).select(
         "session_id", "acq_id", "start_us", "end_us", "from_us", "to_us", "first_center_hz", "bin_width_hz", "bin_count",
-        "frame_count", "components",
+        "frame_count", F.to_json("components").alias("components"),
     )
     return walk_stream(
         rows, {"session_id": "bigint"}, "from_us", walkers.LiveBursts, "center_region boolean, " + bursts.BURST_COLUMNS

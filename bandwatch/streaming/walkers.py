@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict
 
 from bandwatch.operators import bursts, events
-from bandwatch.operators.select import GUARD_SLACK_HZ  # noqa: F401
 from bandwatch.streaming.stateful import Walker
 
 WINDOW_US = 5_000_000
@@ -83,8 +83,9 @@ class LiveBursts(Walker):
                     t.limited = True
                 out += self._out(c, done)
         self.end, self.grid = int(row.to_us), grid
+        found = json.loads(row.components)
         for c, b in self.tracks.items():
-            parts = [self._part(row, p) for p in row.components if bool(p["center_region"]) == c]
+            parts = [self._part(row, p) for p in found if bool(p["center_region"]) == c]
             done = b.step(start, parts, grid[2]) if parts else b.expire(start)
             out += self._out(c, done)
         return out
