@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bandwatch.functions import flags
 from bandwatch.functions.power import round_half_away
-from bandwatch.operators.occupancy import ACQ, bin_edges, exposure, grids, measures, per_bin
+from bandwatch.operators.occupancy import ACQ, bin_edges, exposure, grid_columns, measures, per_bin
 from bandwatch.operators.select import in_region, selected_tiles
 from bandwatch.plans.query import SurveyQuery
 
@@ -92,7 +92,8 @@ def geographic_summary(
             sel,
             keys,
             q,
-            [crossing_us.alias("crossing_us"), F.bool_or(wide).alias("_wide"), F.bool_or("crossing").alias("_cross")],
+            [crossing_us.alias("crossing_us"), F.bool_or(wide).alias("_wide"), F.bool_or("crossing").alias("_cross"),
+             *grid_columns()],
         )
         .withColumn(
             "quality",
@@ -111,7 +112,7 @@ def geographic_summary(
     rows = joined.select(
         *[F.col(f"b.{k}") for k in [*keys, "bin", "power_us", "peak", "busy_us", "outside_busy_us"]],
         *[F.col(f"c.{c}") for c in common.columns if c not in keys],
-    ).join(grids(sel), ACQ)
+    )
     rows = measures(bin_edges(rows), F.col("guarded")).withColumn("located", F.col("cell_row").isNotNull())
     return cell_edges(rows, metres, decimals)
 

@@ -118,11 +118,15 @@ def per_bin(selected: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def grid_columns() -> list[Column]:
+    """Aggregates: the one frequency grid, bin range and guard of an acquisition."""
+    names = ("first_center_hz", "bin_width_hz", "bin_lo", "bin_hi", "guard_lo", "guard_hi")
+    return [F.min(c).alias(c) for c in names]
+
+
 def grids(selected: DataFrame) -> DataFrame:
     """Per acquisition: its one frequency grid, selected bins and guard."""
-    return selected.groupBy(*ACQ).agg(
-        *[F.min(c).alias(c) for c in ("first_center_hz", "bin_width_hz", "bin_lo", "bin_hi", "guard_lo", "guard_hi")]
-    )
+    return selected.groupBy(*ACQ).agg(*grid_columns())
 
 
 def bin_edges(df: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def bin_edges(df: DataFrame) -> DataFrame:
 def frequency_summary(tiles: DataFrame, acquisitions: DataFrame, q: SurveyQuery) -> DataFrame:
     """One row per acquisition and bin; grids of different acquisitions stay apart."""
     sel = selected_tiles(tiles, acquisitions, q)
-    common = exposure(sel, ACQ, q).join(grids(sel), ACQ)
+    common = exposure(sel, ACQ, q, grid_columns())
     return measures(bin_edges(per_bin(sel, ACQ).join(common, ACQ)), F.col("guarded"))
 
 
@@ -446,20 +450,18 @@ def grid_exposure(tiles: DataFrame, acquisitions: DataFrame, q: SurveyQuery) ->
     """
     sel = selected_tiles(tiles, acquisitions, q)
     observed = sel.groupBy(*ACQ).agg(
-        F.sum(F.col("to_us") - F.col("from_us")).alias("observed_us"), F.count("*").alias("tiles")
-    )
-    return bin_edges(
-        observed.join(grids(sel), ACQ).withColumn(
-            "bin", F.explode(F.sequence(F.col("bin_lo"), F.col("bin_hi") - 1))
-        )
+        F.sum(F.col("to_us") - F.col("from_us")).alias("observed_us"), F.count("*").alias("tiles"), *grid_columns()
     )
+    return bin_edges(observed.withColumn("bin", F.explode(F.sequence(F.col("bin_lo"), F.col("bin_hi") - 1))))
 
 
 def bins_by_frequency(tiles: DataFrame, acquisitions: DataFrame, q: SurveyQuery) -> DataFrame:
     """Per session and exact (center, width): active and observed time, mean and peak, over acquisitions."""
     sel = selected_tiles(tiles, acquisitions, q)
-    observed = sel.groupBy(*ACQ).agg(F.sum(F.col("to_us") - F.col("from_us")).alias("observed_us"))
-    rows = bin_edges(per_bin(sel, ACQ).join(observed, ACQ).join(grids(sel), ACQ))
+    observed = sel.groupBy(*ACQ).agg(
+        F.sum(F.col("to_us") - F.col("from_us")).alias("observed_us"), *grid_columns()
+    )
+    rows = bin_edges(per_bin(sel, ACQ).join(observed, ACQ))
     return merge_bin_totals(
         rows.select(
             "session_id",

@@ -58,6 +58,14 @@ class Testbed:
         files = self.spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}*.parquet")
         return files.parquet(self.sf_dir)
 
+    def spread(self, name: str) -> DataFrame:
+        """A table that is one small file, spread over the cores; larger ones stay as they are read."""
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores)
+
     # -- spectrum -----------------------------------------------------------
 
     @cached_property
@@ -65,7 +73,7 @@ class Testbed:
         j = F.col("event_id") % TILES_PER_SESSION
         utc = UTC_US + F.col("session_id") * SESSION_US
         return (
-            self.raw("events")
+            self.spread("events")
             .select(
                 "event_id",
                 F.expr(f"event_id div {TILES_PER_SESSION}").alias("session_id"),
@@ -280,7 +288,7 @@ class Testbed:
 
     @cached_property
     def _orders(self) -> DataFrame:
-        o = self.raw("orders")
+        o = self.spread("orders")
         priority = F.substring("o_orderpriority", 1, 1)
         t = F.col("o_orderkey") % 5000 * 10_000
         return o.select(
