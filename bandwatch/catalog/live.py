@@ -187,10 +187,25 @@ def rp1(t: Testbed) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("part", "session_id", "rows")
 
 
-@query("q_rp2_frequency_report")
+@query(
+    "q_rp2_frequency_report",
+    f"""
+WITH g AS (SELECT session_id, acq_id, sum(least(end_us, {SEL_HI_US}) - greatest(start_us, {SEL_LO_US})) AS gap_us, min(greatest(start_us, {SEL_LO_US})) AS g0, max(least(end_us, {SEL_HI_US})) AS g1
+  FROM gap WHERE end_us > {SEL_LO_US} AND start_us < {SEL_HI_US} GROUP BY ALL),
+x AS (SELECT session_id, acq_id, min(a) AS t0, max(b) AS t1, sum(b - a) AS o FROM sel GROUP BY ALL),
+z AS (SELECT session_id, acq_id, bin, sum(f1 - f0) AS busy FROM selcell GROUP BY ALL)
+SELECT x.session_id, x.acq_id, CAST(bin AS INTEGER) AS bin, o / 1e6 AS observed_s, coalesce(busy, 0) / 1e6 AS busy_s, least(t0, g0) / 1e6 AS earliest_s,
+  greatest(t1, g1) / 1e6 AS latest_s, coalesce(gap_us, 0) / 1e6 AS gap_s, 0.0::DOUBLE AS excluded_missing_gps_s, {pct("coalesce(busy, 0)", "o")} AS occupancy_pct
+FROM x JOIN selbin USING (acq_id) LEFT JOIN g ON g.session_id = x.session_id AND g.acq_id = x.acq_id LEFT JOIN z ON z.session_id = x.session_id AND z.acq_id = x.acq_id AND z.bin = selbin.bin""".replace(
+        "CAST(bin AS INTEGER)", "CAST(selbin.bin AS INTEGER)"
+    ),
+)
 def rp2(t: Testbed) -> DataFrame:
     d = seconds_columns(reports.report("frequency", t, SEL))
-    return d.select("session_id", "acq_id", "bin", "observed_s", "busy_s", "earliest_s", "latest_s", "gap_s", "excluded_missing_gps_s", m("occupancy_pct"), m("mean_dbfs"))
+    return d.select(
+        "session_id", "acq_id", "bin", "observed_s", "busy_s", "earliest_s", "latest_s", "gap_s", "excluded_missing_gps_s",
+        m("occupancy_pct"),
+    )
 
 
 @query(

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from bandwatch.functions import flags
 from bandwatch.functions.binding import bound
 from bandwatch.functions.power import MINIMUM_POWER
-from bandwatch.operators.ordered import CHUNK, chunked, group_start, with_previous
+from bandwatch.operators.asof import segment_at
+from bandwatch.operators.ordered import CHUNK, CHUNK_US, chunked, group_start, with_previous
 from bandwatch.operators.walk import names_of, typed, walk_groups
 from bandwatch.session import written_once
 
@@ -259,17 +260,12 @@ def event_levels(events: DataFrame) -> DataFrame:
     ).withColumn("peak_dbfs", 10.0 * F.log10(F.greatest(F.col("peak"), floor)))
 
 
-def mark_center(events: DataFrame, acquisitions: DataFrame) -> DataFrame:
+def mark_center(events: DataFrame, acquisitions: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
     """Flag events whose band comes within two bins of the receiver center at their start."""
-    config = acquisitions.select(
-        "session_id",
-        "acq_id",
-        "center_hz",
-        F.col("start_us").alias("acq_start_us"),
-        F.col("end_us").alias("acq_end_us"),
-        "bin_width_hz",
-    )
-    joined = events.join(config, "session_id").where("start_us >= acq_start_us and start_us < acq_end_us")
+    placed = segment_at(events, acquisitions, "start_us", chunk_us).withColumnRenamed("segment_id", "acq_id")
+    config = acquisitions.select("session_id", "acq_id", "center_hz", "bin_width_hz")
     reach = CENTER_BINS * F.col("bin_width_hz")
     near = (F.col("lower_hz") <= F.col("center_hz") + reach) & (F.col("upper_hz") >= F.col("center_hz") - reach)
-    return joined.withColumn("quality", F.col("quality").bitwiseOR(flags.flag(near, flags.DC_SUSPECT)))
+    return placed.join(config, ["session_id", "acq_id"]).withColumn(
+        "quality", F.col("quality").bitwiseOR(flags.flag(near, flags.DC_SUSPECT))
+    )

@@ -15,6 +15,7 @@ from bandwatch.plans.query import SurveyQuery
 
 EARTH_RADIUS_M = 6371008.8
 METRES_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180
+SLOT_DEGREES = 0.1
 
 
 def metric_cell(latitude: Column, longitude: Column, metres: float) -> Column:
@@ -140,30 +141,33 @@ def wrap_signed(degrees: Column) -> Column:
 def extent(positions: DataFrame) -> DataFrame:
     """Per session: reference point and spread, date-line aware.
 
-    The circle of longitudes is cut at its largest gap. Only distinct
-    longitudes are ordered, in 0.1-degree bins: each bin keeps its first and
-    last longitude and its largest inner gap, so no task sees a whole session.
+    The circle of longitudes is cut at its largest gap. Longitudes fall into
+    3600 slots; the first and last of each slot give the gaps between slots.
+    A gap inside a slot can only be the largest where no gap between slots
+    exceeds a slot's width, so single longitudes are ordered only in sessions
+    that fill the whole circle, slot by slot.
     """
     valid = positions.where("valid and latitude between -90 and 90 and longitude between -180 and 180")
     spans = valid.groupBy("session_id").agg(
         F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.count("*").alias("fixes")
     )
-    lon = valid.select("session_id", wrap_positive(F.col("longitude")).alias("lon")).distinct()
-    lon = lon.withColumn("slot", F.floor(F.col("lon") * 10))
+    lon = valid.select("session_id", wrap_positive(F.col("longitude")).alias("lon"))
+    lon = lon.withColumn("slot", F.floor(F.col("lon") / SLOT_DEGREES))
+    slots = lon.groupBy("session_id", "slot").agg(F.min("lon").alias("first"), F.max("lon").alias("last"))
+    order, whole = Window.partitionBy("session_id").orderBy("slot"), Window.partitionBy("session_id")
+    following = F.coalesce(F.lead("first").over(order), F.min("first").over(whole) + 360.0)
+    gap = F.struct((following - F.col("last")).alias("gap"), (-following).alias("neg"))
+    between = slots.select("session_id", gap.alias("g")).groupBy("session_id").agg(F.max("g").alias("g"))
+    full = between.where(F.col("g.gap") <= SLOT_DEGREES).select("session_id")
     inner = Window.partitionBy("session_id", "slot").orderBy("lon")
-    stepped = lon.withColumn("next", F.lead("lon").over(inner))
-    slots = stepped.groupBy("session_id", "slot").agg(
-        F.min("lon").alias("first"),
-        F.max("lon").alias("last"),
-        F.max(F.struct((F.col("next") - F.col("lon")).alias("gap"), (-F.col("next")).alias("neg"))).alias("inner"),
+    inside = (
+        lon.join(full, "session_id", "left_semi")
+        .distinct()
+        .withColumn("next", F.lead("lon").over(inner))
+        .where("next is not null")
+        .select("session_id", F.struct((F.col("next") - F.col("lon")).alias("gap"), (-F.col("next")).alias("neg")).alias("g"))
     )
-    # 3600 slots at most: the rest is bounded per session.
-    order = Window.partitionBy("session_id").orderBy("slot")
-    whole = Window.partitionBy("session_id")
-    following = F.coalesce(F.lead("first").over(order), F.min("first").over(whole) + 360.0)
-    between = F.struct((following - F.col("last")).alias("gap"), (-following).alias("neg"))
-    gaps = slots.select("session_id", F.greatest(F.when(F.col("inner.gap").isNotNull(), F.col("inner")), between).alias("g"))
-    cut = gaps.groupBy("session_id").agg(F.max("g").alias("g"))
+    cut = between.unionByName(inside).groupBy("session_id").agg(F.max("g").alias("g"))
     arc = F.greatest(F.lit(0.0), 360.0 - F.col("g.gap"))
     ref_lat = (F.col("south") + F.col("north")) / 2
     return (
