@@ -6,8 +6,7 @@ a new piece starts after a coverage break, a grid change, or 40 ms without
 activity, separately for the receiver-center guard, whose class never mixes
 with the rest. Step 3 walks each piece in time order, as a stream of batches.
 
-The reference bounds its memory to 128 open tracks; a piece here holds what is
-open within 40 ms, and no such bound is applied.
+There is no bound on open tracks: a piece holds what was active within 40 ms.
 """
 
 from __future__ import annotations
