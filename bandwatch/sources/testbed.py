@@ -46,6 +46,7 @@ class Testbed:
     __test__ = False  # not a test class
 
     def __init__(self, spark: SparkSession, sf_dir: str, streams: tuple[str, ...] = ()):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times carry no zone
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.streams = streams
