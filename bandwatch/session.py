@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,16 +35,30 @@ def local_session(cores: int | str | None = None, app: str = "bandwatch") -> Spa
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is
-    unset (tests, one machine) a temporary folder is used and recorded there.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a session
+    whose tasks run inside this process (tests) may do without: it gets a
+    temporary folder. Anywhere else an unset folder is an error, since executors
+    do not see each other's local disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that is no longer read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written_once(df, purpose: str):
     """Write ``df`` to the shared folder and read it back.
 
