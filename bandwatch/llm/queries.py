@@ -27,3 +27,16 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwatch.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwatch.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
