@@ -40,3 +40,33 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@query("op4_tiff")
+def tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text is stored as a TIFF; all else is computed from the pages read back from it."""
+    from bandwatch.llm.common import per_row, texts
+
+    def make():
+        import hashlib
+        import zlib
+
+        import numpy as np
+
+        from bandwatch.llm.tiff import feature, pages, store_text
+
+        def digest(text: bytes):
+            stored = store_text(text)
+            read = np.concatenate([p.samples[:, :, 0] for p in pages(stored)])
+            payload = read.tobytes()
+            return (
+                len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
+                len(stored), hashlib.sha256(stored).hexdigest(), feature(read),
+            )
+
+        return digest
+
+    schema = (
+        "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    )
+    return per_row(texts(table(spark, sf_dir, "documents"), "doc_id", "text"), schema, make)
