@@ -70,3 +70,44 @@ def tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
     return per_row(texts(table(spark, sf_dir, "documents"), "doc_id", "text"), schema, make)
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+items AS (SELECT item_id, len(w) AS n, least(5, len(w)) AS k, w FROM b WHERE len(w) > 0),
+item_shingles AS (
+  SELECT item_id, k, s, count(*) AS c FROM (
+    SELECT item_id, k, unnest(list_transform(range(1, n - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM items)
+  GROUP BY ALL),
+doc_shingles AS (
+  SELECT r, doc_id, k, len(w) AS words, unnest(range(len(w) - k + 1)) AS p,
+    unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM d, (SELECT DISTINCT k FROM items) WHERE len(w) >= k),
+starts AS (
+  SELECT DISTINCT r, doc_id, words, item_id, n, k,
+    unnest(range(greatest(0, least(p - (n - k), words - n)), greatest(0, least(p, words - n)) + 1)) AS a
+  FROM doc_shingles JOIN item_shingles USING (k, s) JOIN (SELECT item_id, n FROM items) USING (item_id)),
+inside AS (
+  SELECT r, x.doc_id, item_id, a, n, x.k, x.words, y.s, count(*) AS c FROM starts x JOIN doc_shingles y USING (r)
+  WHERE y.k = x.k AND p BETWEEN a AND a + n - x.k GROUP BY ALL),
+scored AS (
+  SELECT r, doc_id, item_id, a, least(n, words) AS n_words, n - k + 1 AS own, least(n, words) - k + 1 AS there,
+    sum(least(i.c, coalesce(j.c, 0))) AS common
+  FROM inside i LEFT JOIN item_shingles j USING (item_id, k, s) GROUP BY ALL),
+rated AS (SELECT *, common::DOUBLE / (own + there - common)::DOUBLE AS similarity FROM scored)
+SELECT doc_id, item_id, a::BIGINT AS start, n_words::BIGINT AS n_words, similarity FROM rated WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, a) = 1
+"""
+
+
+@query("op9_decontamination", OP9_SQL)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwatch.llm.decontaminate import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
