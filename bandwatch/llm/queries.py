@@ -111,3 +111,16 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
+@query("op2_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.common import remainder
+    from bandwatch.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    voters = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score(docs, voters).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
