@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,3 +103,20 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
             break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def sent(spark: SparkSession, model):
+    """A function that gives ``model`` inside tasks: broadcast once, loaded once a task.
+
+    The model must have a size bound of its own. It is pickled with its code, so that
+    executors need no copy of this package.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: cloudpickle.loads(data.value)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwatch.llm.common import byte_values, per_row, texts
+from bandwatch.llm.common import byte_values, per_row, sent, texts
 from bandwatch.llm.grams import as_bytes, collapsed, gram_counts, repeats
 
 #: The bound of the labelled sample, the size of the space, and the voters.
@@ -103,12 +103,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "qua
 
 def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): one row per row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(voters)
+    load = sent(docs.sparkSession, voters)
 
     def run(batches):
+        model = load()
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.value.scores(list(byte_values(batch.column(1)))))], names=["doc_id", "score"]
+                [batch.column(0), pa.array(model.scores(list(byte_values(batch.column(1)))))], names=["doc_id", "score"]
             )
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -116,10 +117,11 @@ def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str
 
 def keep_good(docs: DataFrame, voters: Voters, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns kept, whose score is at least ``least``."""
-    model, at = docs.sparkSession.sparkContext.broadcast(voters), docs.columns.index(text_col)
+    load, at = sent(docs.sparkSession, voters), docs.columns.index(text_col)
 
     def run(batches):
+        model = load()
         for batch in batches:
-            yield batch.filter(pa.array(model.value.scores(list(byte_values(batch.column(at)))) >= least))
+            yield batch.filter(pa.array(model.scores(list(byte_values(batch.column(at)))) >= least))
 
     return docs.mapInArrow(run, docs.schema)

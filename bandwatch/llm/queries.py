@@ -124,3 +124,17 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 3) == 1
     voters = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return score(docs, voters).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document (doc_id) and every page (page_id); the model is learnt from four fifths of the documents."""
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.common import remainder
+    from bandwatch.llm.language import fit, identify, of_documents, of_pages
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, remainder(F.col("doc_id"), 5) != 0)
+    records = of_documents(docs, model).union(of_pages(table(spark, sf_dir, "pages"), model))
+    return identify(records, model.languages)
