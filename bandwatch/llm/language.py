@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandwatch.llm.common import byte_values, fresh, sent, written
 from bandwatch.llm.grams import as_bytes, gram_counts
@@ -44,7 +45,7 @@ HOST_WEIGHT, DOMAIN_WEIGHT, VALUE_WEIGHT = 20.0, 20.0, 1.0
 #: Least posterior of an accepted language.
 LEAST = 0.5
 #: A text of at least so many trigrams that falls so far (nats a trigram) below its best language's mean is in none of them.
-FOREIGN_SIZE, FOREIGN_MARGIN = 40, 2.5
+FOREIGN_SIZE, FOREIGN_MARGIN = 40, 4.0
 
 _HIDDEN = re.compile(rb"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _DECLARED = re.compile(rb"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b")
@@ -237,12 +238,12 @@ def identify(records: DataFrame, languages: list[str], least: float = LEAST) ->
     return decide(posterior(kept, sums, languages), languages, least).select("doc_id", "page_id", "lang", "probability", "accepted")
 
 
-def keep_identified(docs: DataFrame, model: Likelihood, least: float = LEAST, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Likelihood, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns kept, whose language is accepted; hosts count, addresses and markup do not exist here.
 
     The texts are read twice, once for the evidence and once to be judged: they are not joined back by an id that may repeat.
     """
-    sums, _ = written(evidence(of_documents(docs, model, docs.columns[0], text_col, host_col), model.languages), "evidence")
+    sums, _ = written(evidence(of_documents(docs, model, id_col, text_col, host_col), model.languages), "evidence")
     load, columns = sent(docs.sparkSession, model), docs.columns
     row, at = fresh(docs, "row"), docs.columns.index(text_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{host_col}`").cast("string").alias("host"))
@@ -254,6 +255,6 @@ def keep_identified(docs: DataFrame, model: Likelihood, least: float = LEAST, te
             ll = pa.array([likelihood.of(t) for t in byte_values(b.column(1))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), nothing, nothing, ll], names=[row, *_NAMES[2:]])
 
-    schema = packed.select(row, "host").schema.add("declared", "string").add("suffix", "string").add("ll", "array<double>")
+    schema = T.StructType(packed.select(row, "host").schema.fields + T._parse_datatype_string("declared string, suffix string, ll array<double>").fields)
     judged = decide(posterior(packed.mapInArrow(run, schema), sums, model.languages), model.languages, least)
     return judged.where("accepted").select(*[F.col(row)[c].alias(c) for c in columns])

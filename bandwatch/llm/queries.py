@@ -138,3 +138,25 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, remainder(F.col("doc_id"), 5) != 0)
     records = of_documents(docs, model).union(of_pages(table(spark, sf_dir, "pages"), model))
     return identify(records, model.languages)
+
+
+@query("op8_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.common import remainder
+    from bandwatch.llm.toxicity import fit, tag
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    tagger = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return tag(docs, tagger).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.to_json("spans").alias("spans")
+    )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwatch.llm.common import NULL_ID, byte_values, components, texts, written
+from bandwatch.llm.common import NULL_ID, byte_values, components, fresh, texts, written
 
 BITS = 64
 #: Words hashed at a time: bounds the memory that a very long text takes.
@@ -165,3 +165,21 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each class of near-duplicates, all columns kept: the row of the least id.
+
+    Ids and fingerprints alone decide; texts are not shuffled, except rows that share
+    both id and fingerprint with another row.
+    """
+    found, _ = written(near_duplicates(docs, id_col, text_col, **how).select("doc_id", "component_id"), "duplicates")
+    rows = found.groupBy("component_id", "doc_id").agg(F.count("*").alias("n")).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    key = fresh(docs, "key")
+    single = rows.where("n = 1").select(F.col("doc_id").alias(key))
+    several = rows.where("n > 1").select(F.col("doc_id").alias(key))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key))
+    # A row of a kept id belongs to its class: an id is the least of one class only, unless it is repeated.
+    alone = docs.join(single, same, "left_semi")
+    repeated = docs.join(several, same, "left_semi")
+    return alone.union(repeated.dropDuplicates([id_col]))
