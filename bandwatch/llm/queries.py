@@ -160,3 +160,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op6_urls")
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwatch.llm.urls import judge, labelled, train
+
+    judged = judge(table(spark, sf_dir, "pages"), URL_RULES, train(labelled(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
