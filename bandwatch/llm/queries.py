@@ -171,3 +171,13 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = judge(table(spark, sf_dir, "pages"), URL_RULES, train(labelled(spark)))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_ppm")
+def ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.common import remainder
+    from bandwatch.llm.ppm import score
+
+    return score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
