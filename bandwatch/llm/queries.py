@@ -181,3 +181,12 @@ def ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwatch.llm.ppm import score
 
     return score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+
+
+@query("op5_templates")
+def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.templates import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
