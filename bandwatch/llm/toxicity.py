@@ -63,7 +63,7 @@ def independent(found: list[bytes]) -> list[bytes]:
     """The texts without those that share much of their vocabulary with an earlier one.
 
     Copies of one document would pass for many witnesses of its words. Eight minima
-    over hashed words stand for a vocabulary; three in common with one text are much.
+    over hashed words stand for a vocabulary; two in common with one text are much.
     """
     holders: dict[tuple[int, int], int] = {}
     kept = []
@@ -74,7 +74,7 @@ def independent(found: list[bytes]) -> list[bytes]:
             continue
         h = np.fromiter(words, np.uint64, len(words))
         keys = list(enumerate(((h[:, None] * odd) ^ (h[:, None] >> np.uint64(31))).min(0).tolist()))
-        if max(Counter(holders[k] for k in keys if k in holders).values(), default=0) < 3:
+        if max(Counter(holders[k] for k in keys if k in holders).values(), default=0) < 2:
             for k in keys:
                 holders.setdefault(k, len(kept))
             kept.append(text)
