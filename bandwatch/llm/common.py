@@ -120,3 +120,70 @@ def sent(spark: SparkSession, model):
     """
     data = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     return lambda: cloudpickle.loads(data.value)
+
+
+#: Rows that one bitmap covers, and bitmaps (of 4 KB) that are broadcast at a time.
+BITMAP_ROWS, BITMAPS = 1 << 15, 1 << 14
+
+
+class Numbered:
+    """A written copy of a table whose rows have places, so that row decisions made on
+    narrow tables can be applied to it without shuffling its texts or relying on ids.
+
+    ``rows`` has the table's columns and, under names that do not clash, ``slice`` (the
+    task that wrote the row), ``place`` (its number there) and the columns of ``extra``.
+    """
+
+    def __init__(self, docs: DataFrame, text_col: str, extra: str, make: Callable[[], Callable[[bytes], tuple]], purpose: str):
+        added = T._parse_datatype_string(f"{extra}, slice int, place long")
+        self.columns, self.names = docs.columns, {f.name: fresh(docs, f.name) for f in added}
+        at, names = docs.columns.index(text_col), list(self.names.values())
+        schema = T.StructType(docs.schema.fields + [T.StructField(self.names[f.name], f.dataType) for f in added])
+
+        def run(batches):
+            from pyspark import TaskContext
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            f, seen, own, target = make(), 0, TaskContext.get().partitionId(), to_arrow_schema(schema)
+            kinds = [target.field(n).type for n in names]
+            for b in batches:
+                n = b.num_rows
+                found = list(zip(*(f(t) for t in byte_values(b.column(at))))) or [()] * (len(kinds) - 2)
+                made = [pa.array(c, k) for c, k in zip([*found, [own] * n, range(seen, seen + n)], kinds)]
+                seen += n
+                yield pa.RecordBatch.from_arrays([*(b.column(i).cast(target.field(i).type) for i in range(b.num_columns)), *made], schema=target)
+
+        self.rows, _ = written(docs.mapInArrow(run, schema), purpose)
+
+    def narrow(self, *columns: Column) -> DataFrame:
+        """The added columns under their own names, and others."""
+        return self.rows.select(*[F.col(f"`{n}`").alias(k) for k, n in self.names.items()], *columns)
+
+    def only(self, keep: DataFrame) -> DataFrame:
+        """The rows whose (slice, place) is in ``keep``, with the table's own columns.
+
+        ``keep`` becomes a bit for each row of the table, in bitmaps by slice. They are
+        broadcast in blocks of at most ``BITMAPS`` of them; each block reads only the
+        files of its slices.
+        """
+        number = F.col("place") + 1
+        bits = keep.groupBy("slice", F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+        bits, _ = written(bits, "bitmaps")
+        n, slices = bits.agg(F.count("*"), F.coalesce(F.max("slice"), F.lit(0)) + 1).first()
+        parts = -(-n // BITMAPS) or 1
+        slice_, place = (F.col(f"`{self.names[k]}`") for k in ("slice", "place"))
+        position = F.bitmap_bit_position(place + 1)
+        out = None
+        for part in range(parts):
+            low, high = part * slices // parts, (part + 1) * slices // parts
+            own = bits.where((F.col("slice") >= low) & (F.col("slice") < high)).select(
+                F.col("slice").alias("_slice"), F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")
+            )
+            rows = self.rows.where((slice_ >= low) & (slice_ < high)) if parts > 1 else self.rows
+            rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in self.columns]).alias("_row"), slice_.alias("_s"), F.bitmap_bucket_number(place + 1).alias("_b"), position.alias("_p"))
+            byte = F.conv(F.hex(F.substring("_bits", (F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            bit = F.getbit(byte, (F.col("_p") % 8).cast("int"))
+            kept = rows.join(F.broadcast(own), (F.col("_s") == F.col("_slice")) & (F.col("_b") == F.col("_bucket"))).where(bit == 1)
+            kept = kept.select(*[F.col("_row")[c].alias(c) for c in self.columns])
+            out = kept if out is None else out.union(kept)
+        return out

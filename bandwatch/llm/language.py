@@ -31,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from bandwatch.llm.common import byte_values, fresh, sent, written
+from bandwatch.llm.common import Numbered, byte_values, sent, written
 from bandwatch.llm.grams import as_bytes, gram_counts
 
 #: Training texts of each language, hashed trigram slots, and the trigrams that a text counts for at most.
@@ -238,23 +237,20 @@ def identify(records: DataFrame, languages: list[str], least: float = LEAST) ->
     return decide(posterior(kept, sums, languages), languages, least).select("doc_id", "page_id", "lang", "probability", "accepted")
 
 
-def keep_identified(docs: DataFrame, model: Likelihood, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Likelihood, least: float = LEAST, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns kept, whose language is accepted; hosts count, addresses and markup do not exist here.
 
-    The texts are read twice, once for the evidence and once to be judged: they are not joined back by an id that may repeat.
+    Decisions are made on a narrow table and applied to the rows by their places.
     """
-    sums, _ = written(evidence(of_documents(docs, model, id_col, text_col, host_col), model.languages), "evidence")
-    load, columns = sent(docs.sparkSession, model), docs.columns
-    row, at = fresh(docs, "row"), docs.columns.index(text_col)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{host_col}`").cast("string").alias("host"))
+    load = sent(docs.sparkSession, model)
 
-    def run(batches):
+    def make():
         likelihood = load()
-        for b in batches:
-            nothing = pa.nulls(b.num_rows, pa.string())
-            ll = pa.array([likelihood.of(t) for t in byte_values(b.column(1))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), nothing, nothing, ll], names=[row, *_NAMES[2:]])
-
-    schema = T.StructType(packed.select(row, "host").schema.fields + T._parse_datatype_string("declared string, suffix string, ll array<double>").fields)
-    judged = decide(posterior(packed.mapInArrow(run, schema), sums, model.languages), model.languages, least)
-    return judged.where("accepted").select(*[F.col(row)[c].alias(c) for c in columns])
+        return lambda text: (likelihood.of(text),)
+
+    stored = Numbered(docs, text_col, "ll array<double>", make, "language")
+    nothing = F.lit(None).cast("string")
+    records = stored.narrow(F.col(f"`{host_col}`").cast("string").alias("host"), nothing.alias("declared"), nothing.alias("suffix"))
+    sums, _ = written(evidence(records, model.languages), "evidence")
+    judged = decide(posterior(records, sums, model.languages), model.languages, least)
+    return stored.only(judged.where("accepted").select("slice", "place"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwatch.llm.common import NULL_ID, byte_values, components, fresh, texts, written
+from bandwatch.llm.common import NULL_ID, Numbered, byte_values, components, texts, written
 
 BITS = 64
 #: Words hashed at a time: bounds the memory that a very long text takes.
@@ -123,7 +123,7 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2, crowd: int = 64) -
         rest = [p for p in range(BITS) if p not in set(span.tolist())]
         here = full.where(F.col("seg") == s).select("key")
         members = nodes.select("fp", F.explode(F.array(*[F.col("fp").bitwiseAND(inside).bitwiseXOR(F.lit(m)) for m in around(s)])).alias("key"))
-        members = members.join(here, "key").withColumn("away", F.bit_count(F.col("fp").bitwiseAND(inside).bitwiseXOR("key")))
+        members = members.join(here, "key").withColumn("away", F.bit_count(F.col("fp").bitwiseAND(inside).bitwiseXOR(F.col("key"))))
         # Within the crowd: cores within half the radius, others within what is left of it.
         for away in range(reach + 1):
             left = radius - away - half
@@ -145,19 +145,25 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2, crowd: int = 64) -
     return pairs.union(stars)
 
 
+def classes(fps: DataFrame, radius: int = 3, segments: int = 2, crowd: int = 64) -> DataFrame:
+    """(fp, root, least): the class of each distinct fingerprint of the written table
+    ``fps``, and the least doc_id with that fingerprint (NULL_ID for null)."""
+    nodes = fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least"))
+    edges, _ = written(links(fps, radius, segments, crowd), "links")
+    roots = components(edges, "simhash").withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, segments: int = 2, crowd: int = 64
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id, fp): one row per row of ``docs``.
+    """(doc_id, fingerprint, component_id): one row per row of ``docs``.
 
     component_id is the least doc_id reachable over links; the fingerprints are
     written once, since linking and the final join read them.
     """
     fps, _ = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least"))
-    edges, _ = written(links(fps, radius, segments, crowd), "links")
-    roots = components(edges, "simhash").withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = classes(fps, radius, segments, crowd)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp, _ = written(placed.join(named, "root").select("fp", "component_id"), "classes")
     return fps.join(by_fp, "fp").select(
@@ -167,19 +173,13 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each class of near-duplicates, all columns kept: the row of the least id.
-
-    Ids and fingerprints alone decide; texts are not shuffled, except rows that share
-    both id and fingerprint with another row.
-    """
-    found, _ = written(near_duplicates(docs, id_col, text_col, **how).select("doc_id", "component_id"), "duplicates")
-    rows = found.groupBy("component_id", "doc_id").agg(F.count("*").alias("n")).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    key = fresh(docs, "key")
-    single = rows.where("n = 1").select(F.col("doc_id").alias(key))
-    several = rows.where("n > 1").select(F.col("doc_id").alias(key))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key))
-    # A row of a kept id belongs to its class: an id is the least of one class only, unless it is repeated.
-    alone = docs.join(single, same, "left_semi")
-    repeated = docs.join(several, same, "left_semi")
-    return alone.union(repeated.dropDuplicates([id_col]))
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, segments: int = 2, crowd: int = 64
+) -> DataFrame:
+    """One row of each class of near-duplicates, all columns kept: a row of the least id (null first)."""
+    stored = Numbered(docs, text_col, "fp long", lambda: lambda t: (_signed(fingerprint(t, width)),), "fingerprinted")
+    fps = stored.narrow(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    by_fp = classes(fps, radius, segments, crowd).select("fp", "root")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "slice", "place"))
+    one = fps.groupBy("fp").agg(first.alias("one")).join(by_fp, "fp").groupBy("root").agg(F.min("one").alias("one"))
+    return stored.only(one.select("one.slice", "one.place"))
