@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 
 from bandwatch.llm.common import byte_values, written
 
-ORDER = 5
+ORDER = 4
 #: Bytes of text in a chunk, and keys sorted at a time.
-CHUNK_BYTES, SORT_BLOCK = 32 << 20, 1 << 21
+CHUNK_BYTES, SORT_BLOCK = 16 << 20, 1 << 20
 #: Bytes that no UTF-8 text has: before the text, and its end.
 BEFORE, END = 0xFE, 0xFF
 #: Codes: all bytes but the one that only stands before texts.
@@ -110,12 +110,21 @@ class Chunk:
                 counts = np.diff(np.append(begin, len(keys)))
                 self.sums.append((keys[begin], counts * (not held_out)))
         self.waiting, self.size = {False: [], True: []}, 0
+        if sum(len(k) for k, _ in self.sums) > SORT_BLOCK:
+            self.merge()
+
+    def merge(self) -> None:
+        self.sums = [_summed(*(np.concatenate(x) for x in zip(*self.sums)))] if self.sums else []
 
     def batches(self):
         self.flush()
-        words = list(self.words.items()) + [(w, 0) for w in self.held if w not in self.words]
-        keys, counts = (_summed(*(np.concatenate(x) for x in zip(*self.sums)))) if self.sums else (np.zeros(0, np.int64),) * 2
-        yield from _rows(WORD, self.number, len(words), word=pa.array([w for w, _ in words], pa.binary()), n=pa.array([c for _, c in words], pa.int64()))
+        self.merge()
+        for w in self.held:
+            self.words.setdefault(w, 0)
+        words, n = pa.array(self.words.keys(), pa.binary()), pa.array(self.words.values(), pa.int64())
+        self.words, self.held = Counter(), set()
+        yield from _rows(WORD, self.number, len(words), word=words, n=n)
+        keys, counts = self.sums[0] if self.sums else (np.zeros(0, np.int64),) * 2
         yield from _rows(GRAM, self.number, len(keys), gram=pa.array(keys), n=pa.array(counts.astype(np.int64)))
 
 
