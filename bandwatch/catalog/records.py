@@ -27,7 +27,7 @@ CHUNK_US = 7_000_000
     f"""
 WITH p AS (SELECT *, seq % 2 = 0 AS rmc, seq % 7 = 0 AS broken FROM pos)
 SELECT session_id, seq, CASE WHEN broken THEN 'rejected' WHEN NOT valid THEN 'invalid' ELSE 'fix' END AS outcome,
-  CASE WHEN NOT broken AND NOT valid THEN CASE WHEN rmc THEN 'receiver reports invalid fix' ELSE 'receiver reports no fix' END END AS reason,
+  CASE WHEN NOT broken AND NOT valid THEN CASE WHEN rmc THEN 'position marked void' ELSE 'no position yet' END END AS reason,
   CASE WHEN NOT broken THEN CAST(utc_us // 1000000 AS DOUBLE) END AS utc_s,
   CASE WHEN valid AND NOT broken THEN {r6('latitude')} END AS latitude, CASE WHEN valid AND NOT broken THEN {r6('longitude')} END AS longitude,
   CASE WHEN valid AND NOT broken AND NOT rmc THEN satellites END AS satellites FROM p""",
@@ -61,7 +61,7 @@ def sk1(t: Testbed) -> DataFrame:
 
     path = shared_folder(t.spark, "csv")
     report = t.receptions.select("session_id", "reception_id", "lane_label", "classification")
-    sinks.write_csv(report, path, max_rows=sinks.ROW_LIMIT)
+    sinks.write_csv(report, path)
     schema = "session_id bigint, reception_id bigint, lane_label string, classification string"
     return t.spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 

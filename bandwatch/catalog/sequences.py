@@ -98,7 +98,7 @@ def wn6(t: Testbed) -> DataFrame:
 
 @query(
     "q_wn8_last_fixes",
-    "SELECT session_id, seq, latitude, longitude FROM pos ORDER BY seq DESC LIMIT 1200",
+    "SELECT session_id, seq, latitude, longitude FROM pos QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 1200",
 )
 def wn8(t: Testbed) -> DataFrame:
     return topk.recent_ascending(t.positions, 1200, "seq").select("session_id", "seq", "latitude", "longitude")
@@ -543,14 +543,15 @@ def sc7(t: Testbed) -> DataFrame:
 @query(
     "q_ag12_session_counters",
     """
-SELECT session_id, tiles, clipped, coalesce(scans, 0) AS scans, coalesce(samples, 0) AS samples FROM
- (SELECT session_id, count(*) AS tiles, CAST(sum(clipped) AS BIGINT) AS clipped FROM tile GROUP BY ALL)
+SELECT session_id, coalesce(tiles, 0) AS tiles, coalesce(clipped, 0) AS clipped, coalesce(scans, 0) AS scans, coalesce(samples, 0) AS samples FROM
+ (SELECT DISTINCT session_id FROM acqs)
+ LEFT JOIN (SELECT session_id, count(*) AS tiles, CAST(sum(clipped) AS BIGINT) AS clipped FROM tile GROUP BY ALL) USING (session_id)
  LEFT JOIN (SELECT session_id, count(*) AS scans, CAST(sum(samples) AS BIGINT) AS samples FROM scan GROUP BY ALL) USING (session_id)""",
 )
 def ag12(t: Testbed) -> DataFrame:
     from bandwatch.operators.sessions import session_counters
 
-    return session_counters(t.tiles, t.rssi_scans)
+    return session_counters(t.sessions, t.tiles, t.rssi_scans)
 
 
 @query("q_ag20_event_quality", "SELECT CAST(quality AS INTEGER) AS quality, count(*) AS events FROM nrg GROUP BY ALL")

@@ -310,10 +310,11 @@ def gap_time_by_acquisition(gaps: DataFrame, acquisitions: DataFrame, q: SurveyQ
 
 
 def observations(tiles: DataFrame, acquisitions: DataFrame, gaps: DataFrame, q: SurveyQuery) -> DataFrame:
-    """Bounded display buckets per session; the width grows to fit ``max_observations``."""
+    """Display buckets per session; where ``max_observations`` is set, the width grows to fit it."""
     extent = time_extent(tiles, gaps, q).select("session_id", "resolved_start_us", "resolved_end_us")
     span = F.col("resolved_end_us") - F.col("resolved_start_us")
-    extent = extent.withColumn("width_us", F.greatest(F.lit(q.bucket_us), F.ceil(span / q.max_observations)))
+    fitted = F.ceil(span / q.max_observations) if q.max_observations else F.lit(0)
+    extent = extent.withColumn("width_us", F.greatest(F.lit(q.bucket_us), fitted).cast("bigint"))
     sel = selected_tiles(tiles, acquisitions, q).join(extent, "session_id")
     clipped = (F.col("from_us") > F.col("start_us")) | (F.col("to_us") < F.col("end_us"))
     wide = (F.col("quality").bitwiseAND(flags.POWER_AGGREGATED) != 0) & (
@@ -558,7 +559,7 @@ def headline(tiles: DataFrame, acquisitions: DataFrame, gaps: DataFrame, q: Surv
 
 
 def measurement_state(frequency: DataFrame) -> DataFrame:
-    """Tell observed-quiet from not observed."""
+    """Tell observed-quiet from not observed. The three labels are fixed values."""
     return frequency.withColumn(
         "measurement",
         F.when(F.coalesce("observed_us", F.lit(0)) <= 0, "Not measured")

@@ -18,6 +18,7 @@ MEAN_OVER_PEAK = 0.011
 UTC_SLACK_US = 2_000
 MAX_HZ = 6_000_000_000
 BANDWIDTHS = [15_625, 62_500, 125_000, 250_000, 500_000]
+# Reasons that gap records carry.
 GAP_REASONS = [
     "source_queue_full", "input_discontinuity", "input_too_large", "invalid_input_order",
     "invalid_sample_coordinate", "processing_failure",
@@ -244,12 +245,18 @@ def scan_violations(
 
 
 def packet_violations(receptions: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Packets whose frequency, bandwidth or spreading factor differs from their lane's profile."""
+    """Packets whose frequency, bandwidth or spreading factor differs from their lane's profile.
+
+    A profile without ``profile_frequency_hz`` takes any frequency.
+    """
+    if "profile_frequency_hz" not in profiles.columns:
+        profiles = profiles.withColumn("profile_frequency_hz", F.lit(None).cast("bigint"))
     joined = receptions.join(profiles, ["session_id", "lane_label"], "left")
     rules = {
         "no profile": F.col("profile_bandwidth_hz").isNull(),
         "disagrees with profile": (F.col("bandwidth_hz") != F.col("profile_bandwidth_hz"))
-        | (F.col("spreading_factor") != F.col("profile_spreading_factor")),
+        | (F.col("spreading_factor") != F.col("profile_spreading_factor"))
+        | F.coalesce(F.col("frequency_hz") != F.col("profile_frequency_hz"), F.lit(False)),
     }
     return violations(joined, "packets", F.col("reception_id"), rules)
 

@@ -31,14 +31,16 @@ def reception_counts(receptions: DataFrame) -> DataFrame:
     )
 
 
-def session_counters(tiles: DataFrame, scans: DataFrame) -> DataFrame:
+def session_counters(sessions: DataFrame, tiles: DataFrame, scans: DataFrame) -> DataFrame:
+    """Counters of every session, also of those with scans only or with nothing."""
     from bandwatch.operators.rssi import samples
 
     t = tiles.groupBy("session_id").agg(
         F.count("*").alias("tiles"), F.coalesce(F.sum("clipped"), F.lit(0)).alias("clipped")
     )
     r = scans.groupBy("session_id").agg(F.count("*").alias("scans"), F.sum(samples()).alias("samples"))
-    return t.join(r, "session_id", "left").fillna(0, ["scans", "samples"])
+    every = sessions.select("session_id").join(t, "session_id", "left").join(r, "session_id", "left")
+    return every.fillna(0, ["tiles", "clipped", "scans", "samples"])
 
 
 def session_summary(

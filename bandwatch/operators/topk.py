@@ -61,9 +61,9 @@ def most_recent(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
-def recent_ascending(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The n newest rows, oldest first."""
-    return most_recent(df, n, *order).orderBy(*order)
+def recent_ascending(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The n newest rows of every session, oldest first."""
+    return recent_per_session(df, n, order).orderBy("session_id", order)
 
 
 def latest_first(df: DataFrame, start: str, ident: str) -> DataFrame:

@@ -11,6 +11,8 @@ class SurveyQuery:
     """A selection. Zero bounds mean the whole recorded range.
 
     Frequencies in Hz and times in elapsed seconds; intervals are half-open.
+    ``max_observations`` and ``max_events`` bound what a display takes (at most 2000);
+    0, the default, neither widens time groups nor cuts lists.
     """
 
     lower_hz: float = 0.0
@@ -23,8 +25,8 @@ class SurveyQuery:
     west: float = -180.0
     east: float = 180.0
     time_bucket_s: float = 1.0
-    max_observations: int = 2000
-    max_events: int = 200
+    max_observations: int = 0
+    max_events: int = 0
 
     def __post_init__(self) -> None:
         for bound in (self.lower_hz, self.upper_hz, self.elapsed_start, self.elapsed_end):

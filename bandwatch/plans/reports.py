@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwatch.functions.power import seconds
@@ -17,20 +17,24 @@ KINDS = ["frequency", "time", "geographic", "waveforms", "track", "analysis"]
 
 
 def analyze(survey, q: SurveyQuery) -> dict[str, DataFrame]:
-    """The analysis bundle of one selection: lazy tables, nothing runs yet."""
+    """The analysis bundle of one selection. Only bursts write an intermediate table when called; the rest is lazy."""
     t, a, g = survey.tiles, survey.acquisitions, survey.coverage_gaps
     usable = sel.default_range(a)
     edges = sel.covered_edges(t, a, q)
     events = sel.selected_events(survey.events_energy, edges, a, q)
     waves = sel.in_band_at(survey.waveforms, usable, q, "center_hz", "bandwidth_hz", "delimiter_us")
-    n = q.max_events
+
+    def listed(df: DataFrame, order: Column) -> DataFrame:
+        """All rows, or the first ones of each session where a display asks for a bound."""
+        return topk.capped_with_total(df, ["session_id"], order, q.max_events) if q.max_events else df
+
     return {
         "totals": occ.totals(t, a, g, q),
         "bins": occ.bins_by_frequency(t, a, q),
         "observations": occ.observations(t, a, g, q),
-        "bursts": topk.capped_with_total(bursts.find_bursts(t, a, q), ["session_id"], F.struct("start_us", "lower_hz"), n),
-        "events": topk.capped_with_total(events, ["session_id"], F.col("event_id"), n),
-        "waveforms": topk.capped_with_total(waves, ["session_id"], F.struct(-F.col("waveform_id"), -F.col("version")), n),
+        "bursts": listed(bursts.find_bursts(t, a, q), F.struct("start_us", "lower_hz")),
+        "events": listed(events, F.col("event_id")),
+        "waveforms": listed(waves, F.struct(-F.col("waveform_id"), -F.col("version"))),
         "gaps": sel.selected_gaps(g, q),
     }
 
@@ -58,6 +62,8 @@ def report(
         sinks.require_positions(include_positions)
         track = geo.receiver_track(survey.positions, t, q)
         return sinks.private_positions(track, ["latitude", "longitude"], True, decimals)
+    elif kind == "analysis":
+        return analysis_report(survey, q, cell_m, include_positions, decimals)
     else:
         raise ValueError(f"unknown report {kind}; one of {', '.join(KINDS)}")
     return sinks.private_positions(d, ["south", "north", "west", "east"], include_positions, decimals)
@@ -97,6 +103,16 @@ def findings(survey, q: SurveyQuery, cell_m: float = 100.0, include_positions: b
     return out
 
 
+def analysis_report(survey, q: SurveyQuery, cell_m: float = 100.0, include_positions: bool = False, decimals: int = 4) -> DataFrame:
+    """The findings as one table: (part, session_id, record), the record in JSON."""
+    out = None
+    for part, df in findings(survey, q, cell_m, include_positions).items():
+        df = sinks.private_positions(df, [c for c in ("south", "north", "west", "east") if c in df.columns], include_positions, decimals)
+        rows = df.select(F.lit(part).alias("part"), "session_id", F.to_json(F.struct("*")).alias("record"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def rssi_report(scans: DataFrame, lower_hz: float, upper_hz: float, q: SurveyQuery) -> dict[str, DataFrame]:
     """Histogram reports: per frequency, per scan, per board."""
     chosen = sel.selected_scans(scans, lower_hz, upper_hz, q)

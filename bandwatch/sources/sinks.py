@@ -8,8 +8,6 @@ from pyspark.sql.types import StringType
 
 from bandwatch.functions.power import round_half_away
 
-ROW_LIMIT = 1_000_000
-
 
 def csv_safe(text: Column) -> Column:
     """Text a spreadsheet cannot take for a formula."""
@@ -29,7 +27,7 @@ def csv_ready(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, max_rows: int | None = None) -> None:
     """Write a report; with ``max_rows`` a longer one fails, it is never cut."""
     if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"report exceeds {max_rows} rows; narrow the selection or use larger groups")
+        raise ValueError(f"more than {max_rows} rows to write")
     csv_ready(df).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
