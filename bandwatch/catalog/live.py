@@ -19,8 +19,25 @@ from bandwatch.sources.testbed import Testbed
 from bandwatch.streaming import jobs
 
 
-def live(t: Testbed, *tables: str) -> Testbed:
-    return Testbed(t.spark, t.sf_dir, streams=tables)
+#: The column that cuts a table into files in time order.
+CLOCKS = {"events": "event_id", "embeddings": "vec_id", "orders": "o_orderkey"}
+FILES = 3
+
+
+def live(t: Testbed, table: str) -> Testbed:
+    """The test tables with one of them as a stream of three files in time order, a micro-batch each."""
+    folder, rows, clock = shared_folder(t.spark, "stream-input"), t.raw(table), CLOCKS[table]
+    low, high = rows.agg(F.min(clock), F.max(clock)).first()
+    for k in range(FILES):
+        a, b = (low + (high - low + 1) * i // FILES for i in (k, k + 1))
+        rows.where((F.col(clock) >= a) & (F.col(clock) < b)).coalesce(1).write.parquet(f"{folder}/{table}-{k}")
+    return Testbed(t.spark, t.sf_dir, streams={table: f"{folder}/*"})
+
+
+def session_ends(l: Testbed, t: Testbed) -> DataFrame:
+    """The stream's last record of each session, as the mark that the session ended."""
+    last = t.acquisitions.groupBy("session_id").agg(F.max("end_us").alias("last_us"))
+    return l._events.join(last, "session_id").where("end_us = last_us").select("session_id")
 
 
 @query(
@@ -35,7 +52,8 @@ def st1(t: Testbed) -> DataFrame:
 @query("q_st2_survey_windows")
 def st2(t: Testbed) -> DataFrame:
     """Windows depend on the data; checked against brute force on a fixture."""
-    return seconds_columns(jobs.drained(jobs.survey_windows(live(t, "events").tiles, t.acquisitions)))
+    l = live(t, "events")
+    return seconds_columns(jobs.drained(jobs.survey_windows(l.tiles, t.acquisitions, session_ends(l, t))))
 
 
 @query(
@@ -95,14 +113,17 @@ def st5(t: Testbed) -> DataFrame:
 
 @query("q_st6_live_bursts")
 def st6(t: Testbed) -> DataFrame:
-    return seconds_columns(jobs.drained(jobs.live_bursts(live(t, "events").tiles, t.acquisitions)))
+    """Equals the batch bursts of the same tiles (tested)."""
+    l = live(t, "events")
+    return seconds_columns(jobs.drained(jobs.live_bursts(l.tiles, t.acquisitions, session_ends(l, t))))
 
 
 @query("q_st7_live_events")
 def st7(t: Testbed) -> DataFrame:
     from bandwatch.catalog.detection import frames_of
 
-    return jobs.drained(jobs.live_events(frames_of(live(t, "events"))))
+    l = live(t, "events")
+    return jobs.drained(jobs.live_events(frames_of(l), session_ends(l, t)))
 
 
 @query(
@@ -114,14 +135,23 @@ SELECT session_id, tile_id AS fact_id, CASE WHEN f.valid AND (f.manual OR end_us
   CASE WHEN f.valid AND (f.manual OR end_us - f.mono <= 40000) THEN f.lon END AS longitude FROM m""",
 )
 def st8(t: Testbed) -> DataFrame:
-    facts = live(t, "events").tiles.select("session_id", F.col("end_us").alias("t_us"), F.col("tile_id").alias("fact_id"))
-    return jobs.drained(jobs.live_positions(facts, live(t, "events").positions, 40_000))
+    l = live(t, "events")
+    facts = l.tiles.select("session_id", F.col("end_us").alias("t_us"), F.col("tile_id").alias("fact_id"))
+    return jobs.drained(jobs.live_positions(facts, l.positions, 40_000))
 
 
-@query("q_st9_late_tiles", "SELECT session_id, tile_id, start_us, false AS late FROM tile")
+@query(
+    "q_st9_late_tiles",
+    """
+SELECT session_id, tile_id, start_us, tile_id % 10 = 0 AND start_us < max(CASE WHEN tile_id % 10 <> 0 THEN end_us END) OVER (PARTITION BY session_id) AS late FROM tile""",
+)
 def st9(t: Testbed) -> DataFrame:
-    """One file is one micro-batch, so nothing is late here; lateness is tested on fixtures."""
-    return jobs.drained(jobs.ordered_or_late(live(t, "events").tiles))
+    """Every tenth tile comes in a second file, behind the others."""
+    folder = shared_folder(t.spark, "stream-input")
+    for k, rule in enumerate(("tile_id % 10 <> 0", "tile_id % 10 = 0")):
+        t.tiles.select("session_id", "tile_id", "start_us", "end_us").where(rule).coalesce(1).write.parquet(f"{folder}/{k}")
+    files = t.spark.readStream.schema("session_id bigint, tile_id bigint, start_us bigint, end_us bigint")
+    return jobs.drained(jobs.ordered_or_late(files.option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")))
 
 
 @query(
@@ -165,8 +195,9 @@ ON f.session_id = w.session_id AND f.waveform_id = w.waveform_id AND f.b = w.ban
 )
 def st13(t: Testbed) -> DataFrame:
     table, checkpoint = shared_folder(t.spark, "waveforms"), shared_folder(t.spark, "checkpoint")
-    jobs.upsert_waveforms(live(t, "orders").waveforms, table, checkpoint, None).awaitTermination()
-    return t.spark.read.parquet(f"{table}/revision=0").select("session_id", "waveform_id", "version")
+    rows = live(t, "orders").waveforms
+    jobs.upsert_waveforms(rows, table, checkpoint, None).awaitTermination()
+    return jobs.read_waveforms(t.spark, table, rows.schema).select("session_id", "waveform_id", "version")
 
 
 @query("q_sk8_append_sink", "SELECT session_id, tile_id, start_us / 1e6 AS start_s FROM tile")

@@ -6,9 +6,10 @@ or memory is a streaming aggregate or a keyed state machine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from bandwatch.operators import bursts, events
 from bandwatch.operators.frames import active_cells, time_in, with_frame_states
@@ -19,6 +20,9 @@ from bandwatch.session import shared_folder
 from bandwatch.streaming import walkers
 from bandwatch.streaming.stateful import walk_stream
 
+#: Behind every time and sample: where a session's closing row stands.
+LAST = 1 << 62
+
 
 def append_sink(df: DataFrame, path: str, checkpoint: str, seconds: int | None = 1) -> StreamingQuery:
     """Append to parquet, about once a second, exactly once across restarts.
@@ -44,17 +48,26 @@ def update_sink(df: DataFrame, path: str, checkpoint: str, seconds: int | None =
 def drained(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all input that is there, and read its result.
 
-    ``keys`` marks an updating result: the latest row per key is kept.
+    ``keys`` marks an updating result: the latest row per key is kept. Late rows
+    that a walker quarantined are left out; ``drained_parts`` has them.
     """
+    return drained_parts(df, keys)[0]
+
+
+def drained_parts(df: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The result of a drained stream and, for walkers, its quarantined rows (keys, ``late_row``)."""
     spark = df.sparkSession
     path, checkpoint = shared_folder(spark, "stream"), shared_folder(spark, "checkpoint")
     if keys is None:
         append_sink(df, path, checkpoint, None).awaitTermination()
-        return spark.read.schema(df.schema).parquet(path)
+        rows = spark.read.schema(df.schema).parquet(path)
+        if "late_row" not in df.columns:
+            return rows, None
+        return rows.where("late_row is null").drop("late_row"), rows.where("late_row is not null").select(df.columns[0], "late_row")
     update_sink(df, path, checkpoint, None).awaitTermination()
     rest = [c for c in df.columns if c not in keys]
     rows = spark.read.parquet(path)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v")).select(*keys, "v.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v")).select(*keys, "v.*"), None
 
 
 def bin_totals(tiles: DataFrame, acquisitions: DataFrame) -> DataFrame:
@@ -73,10 +86,18 @@ def busy_tiles(tiles: DataFrame, acquisitions: DataFrame) -> DataFrame:
     )
 
 
-def survey_windows(tiles: DataFrame, acquisitions: DataFrame) -> DataFrame:
-    """Data-driven windows of at least five seconds of a session."""
+def with_ends(rows: DataFrame, ends: DataFrame | None, **order: Column) -> DataFrame:
+    """``rows`` and a closing row for each of ``ends`` (a stream with session_id), behind all others."""
+    if ends is None:
+        return rows
+    closing = ends.select("session_id", *[c.alias(n) for n, c in order.items()], F.lit(True).alias("closes"))
+    return rows.withColumn("closes", F.lit(False)).unionByName(closing, allowMissingColumns=True)
+
+
+def survey_windows(tiles: DataFrame, acquisitions: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Data-driven windows of at least five seconds of a session; its end gives out the last, shorter one."""
     return walk_stream(
-        busy_tiles(tiles, acquisitions),
+        with_ends(busy_tiles(tiles, acquisitions), ends, start_us=F.lit(LAST)),
         {"session_id": "bigint"},
         "start_us",
         walkers.SurveyWindows,
@@ -122,18 +143,19 @@ def sample_gaps(blocks: DataFrame, stall_ms: int | None = None) -> DataFrame:
     )
 
 
-def live_bursts(tiles: DataFrame, acquisitions: DataFrame) -> DataFrame:
+def live_bursts(tiles: DataFrame, acquisitions: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     rows = bursts.with_components(selected_tiles(tiles, acquisitions, SurveyQuery())).select(
         "session_id", "acq_id", "start_us", "end_us", "from_us", "to_us", "first_center_hz", "bin_width_hz", "bin_count",
         "frame_count", F.to_json("components").alias("components"),
     )
     return walk_stream(
-        rows, {"session_id": "bigint"}, "from_us", walkers.LiveBursts, "center_region boolean, " + bursts.BURST_COLUMNS
+        with_ends(rows, ends, from_us=F.lit(LAST)), {"session_id": "bigint"}, "from_us", walkers.LiveBursts, "center_region boolean, " + bursts.BURST_COLUMNS
     )
 
 
-def live_events(frames: DataFrame) -> DataFrame:
+def live_events(frames: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     rows = events.frame_runs_or_quiet(frames)
+    rows = with_ends(rows, ends, first_sample=F.lit(LAST))
     return walk_stream(rows, {"session_id": "bigint"}, "first_sample", walkers.LiveEvents, events.EVENT_COLUMNS)
 
 
@@ -162,7 +184,7 @@ def live_positions(facts: DataFrame, positions: DataFrame, tolerance_us: int = w
 def ordered_or_late(tiles: DataFrame) -> DataFrame:
     """Tiles with a mark on those that arrive behind their session's state."""
     return walk_stream(
-        tiles.select("session_id", "tile_id", "start_us"),
+        tiles.select("session_id", "tile_id", "start_us", "end_us"),
         {"session_id": "bigint"},
         "start_us",
         walkers.OrderGuard,
@@ -199,30 +221,61 @@ def checkpoint_counters(tiles: DataFrame, every: str = "1 second", late: str = "
     )
 
 
-def upsert_waveforms(waveforms: DataFrame, table: str, checkpoint: str, seconds: int | None = 1) -> StreamingQuery:
-    """Keep the last version per waveform id in a parquet table of revisions.
+PARTS = 16
+
 
-    Each micro-batch writes the new state beside the old and then moves the
-    pointer, so a lost executor or a repeated batch leaves a whole table.
-    Versions that change the profile go to ``table/quarantine``.
+def waveform_parts(spark: SparkSession, table: str, before: int | None = None) -> dict[int, int]:
+    """The revision that holds each part of an upserted table, by the newest commit (before a batch)."""
+    commits = f"{table}/commits"
+    path = spark._jvm.org.apache.hadoop.fs.Path(commits)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    done = spark.read.schema("part int, revision bigint, batch bigint").parquet(commits)
+    done = done if before is None else done.where(F.col("batch") < before)
+    newest = done.where(F.col("batch") == done.agg(F.max("batch").alias("b")).scalar())
+    return {r["part"]: r["revision"] for r in newest.collect()}  # at most PARTS rows
+
+
+def read_waveforms(spark: SparkSession, table: str, schema: StructType, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+    """The committed rows of an upserted table, or of some of its parts."""
+    held = waveform_parts(spark, table, before)
+    paths = [f"{table}/data/revision={r}/part={p}" for p, r in held.items() if parts is None or p in parts]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_waveforms(waveforms: DataFrame, table: str, checkpoint: str, seconds: int | None = 1) -> StreamingQuery:
+    """Keep the last version per waveform id in a parquet table.
+
+    Rows are spread over parts by a hash of their id. A micro-batch rewrites the
+    parts that it touches beside the old ones and then commits the list of
+    current parts, so readers see whole batches only and a repeated batch does
+    no harm. An id keeps the profile that is stored; of a new id the profile of
+    its lowest version in the batch. Versions with another profile go to
+    ``table/quarantine``.
     """
     from bandwatch.operators.waveforms import latest_versions
 
-    spark = waveforms.sparkSession
     ids = ["session_id", "waveform_id"]
 
     def merge(rows: DataFrame, batch: int) -> None:
-        previous = f"{table}/revision={batch - 1}"
-        merged = rows
-        if batch > 0:
-            merged = rows.unionByName(spark.read.schema(rows.schema).parquet(previous))
+        spark = rows.sparkSession
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(*ids), F.lit(PARTS)).cast("int")).persist()
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]  # at most PARTS
+        schema = waveforms.schema
+        stored = read_waveforms(spark, table, schema, batch, touched)
         profile = F.struct("bandwidth_hz", "spreading_factor")
-        first = merged.groupBy(*ids).agg(F.min_by(profile, "version").alias("_p"))
-        judged = merged.join(first, ids).withColumn("_ok", profile == F.col("_p")).drop("_p")
-        latest_versions(judged.where("_ok").drop("_ok")).select(*rows.columns).write.mode("overwrite").parquet(
-            f"{table}/revision={batch}"
-        )
-        judged.where("not _ok").drop("_ok").write.mode("overwrite").parquet(f"{table}/quarantine/batch={batch}")
+        kept = stored.select(*ids, profile.alias("_kept"))
+        first = rows.groupBy(*ids).agg(F.min_by(profile, "version").alias("_first"))
+        judged = rows.join(kept, ids, "left").join(first, ids).withColumn("_ok", profile == F.coalesce("_kept", "_first"))
+        accepted, refused = judged.where("_ok").select(*schema.names), judged.where("not _ok").select(*schema.names)
+        merged = latest_versions(stored.unionByName(accepted)).select(*schema.names)
+        merged = merged.withColumn("part", F.pmod(F.xxhash64(*ids), F.lit(PARTS)).cast("int"))
+        merged.write.mode("overwrite").partitionBy("part").parquet(f"{table}/data/revision={batch}")
+        refused.write.mode("overwrite").parquet(f"{table}/quarantine/batch={batch}")
+        current = waveform_parts(spark, table, batch) | {p: batch for p in touched}
+        parts = spark.createDataFrame(list(current.items()), "part int, revision bigint")
+        parts.coalesce(1).write.mode("overwrite").parquet(f"{table}/commits/batch={batch}")
+        rows.unpersist()
 
     when = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} second"}
     return waveforms.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()

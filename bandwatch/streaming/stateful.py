@@ -2,12 +2,17 @@
 
 A walker takes rows of one key in order and returns output tuples; between
 micro-batches its state (plain Python values) is kept in the state store. Late
-rows, behind what the key has already taken, are not dropped silently: they
-come out marked, for a quarantine.
+rows, behind what the key has already taken, are not lost: a walker may have an
+answer for them, and all others come out whole, as JSON in ``late_row``. A row
+with ``closes`` set ends its key: the walker gives out what it still holds.
+
+A micro-batch of one key is sorted in memory; its size is what the source's
+``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` lets in.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -41,27 +46,32 @@ class OrderedProcessor(StatefulProcessor):
             walker.restore(pickle.loads(blob))
         return walker, seen
 
-    def _table(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=self.names)
+    def _table(self, key: tuple, rows: list[tuple], late: Sequence[str] = ()) -> pd.DataFrame:
+        empty = (None,) * (len(self.names) - len(key) - 1)
+        out = [(*key, *r, None) for r in rows] + [(*key, *empty, x) for x in late]
+        return pd.DataFrame(out, columns=self.names, dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         walker, seen = self._load(key)
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         out: list[tuple] = []
+        late: list[str] = []
         for row in batch.itertuples(index=False):
             at = int(getattr(row, self.order))
             if seen is not None and at < seen:
-                out += walker.late(row)
+                answer = walker.late(row)
+                out += answer
+                late += [] if answer else [json.dumps(row._asdict(), default=str)]
                 continue
             seen = at
-            out += walker.row(row)
+            out += walker.flush() if bool(getattr(row, "closes", False)) else walker.row(row)
         if seen is not None:
             self.state.update((seen, pickle.dumps(walker.state())))
         if self.stall_ms is not None:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stall_ms)
-        yield self._table(key, out)
+        yield self._table(key, out, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         walker, seen = self._load(key)
@@ -80,6 +90,11 @@ class Walker:
         raise NotImplementedError
 
     def late(self, row) -> list[tuple]:
+        """An answer for a row behind the state; without one the row is quarantined."""
+        return []
+
+    def flush(self) -> list[tuple]:
+        """What is still held when the key ends."""
         return []
 
     def stalled(self) -> list[tuple]:
@@ -102,7 +117,7 @@ def walk_stream(
 ) -> DataFrame:
     """Run a walker per key over a stream; ``keys`` gives key columns and their types."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", " + columns
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + f", {columns}, late_row string"
     processor = OrderedProcessor(make, order, names_of(schema), stall_ms)
     mode = "ProcessingTime" if stall_ms is not None else "None"
     return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", mode)

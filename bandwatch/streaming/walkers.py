@@ -16,7 +16,13 @@ class SurveyWindows(Walker):
     """Windows that close once their tiles reach five seconds; the next starts there."""
 
     def __init__(self, key: tuple) -> None:
-        self.start, self.observed, self.busy, self.tiles = None, 0, 0, 0
+        self.start, self.end, self.observed, self.busy, self.tiles = None, None, 0, 0, 0
+
+    def flush(self) -> list[tuple]:
+        """The last window, shorter than the others."""
+        done = [(self.start, self.end, self.observed, self.busy, self.tiles)] if self.tiles else []
+        self.start, self.observed, self.busy, self.tiles = self.end, 0, 0, 0
+        return done
 
     def row(self, row) -> list[tuple]:
         if self.start is None:
@@ -24,7 +30,7 @@ class SurveyWindows(Walker):
         self.observed += int(row.end_us - row.start_us)
         self.busy += int(row.busy_us)
         self.tiles += 1
-        end = int(row.end_us)
+        end = self.end = int(row.end_us)
         if end - self.start < WINDOW_US:
             return []
         done = [(self.start, end, self.observed, self.busy, self.tiles)]
@@ -40,9 +46,12 @@ class SampleGaps(Walker):
 
     def row(self, row) -> list[tuple]:
         first, expected = int(row.first_sample), self.expected
-        self.expected = first + int(row.n)
+        end = first + int(row.n)
+        self.expected = end if expected is None else max(expected, end)
         if expected is None or first == expected:
             return []
+        if first < expected:  # samples that were there already: nothing is missing
+            return [(first, 0, "overlap")]
         return [(expected, first - expected, "application_drop")]
 
     def late(self, row) -> list[tuple]:
@@ -58,11 +67,17 @@ class LiveBursts(Walker):
 
     def __init__(self, key: tuple) -> None:
         self.tracks = {c: bursts.BurstTracks() for c in (False, True)}
-        self.end, self.grid = None, None
+        self.start, self.end, self.grid = None, None, None
+
+    def flush(self) -> list[tuple]:
+        if self.start is None:
+            return []
+        return [x for c, b in self.tracks.items() for x in self._out(c, b.finish(self.start))]
 
     def state(self):
         return {
             "tracks": {c: [asdict(t) for t in b.open] for c, b in self.tracks.items()},
+            "start": self.start,
             "end": self.end,
             "grid": self.grid,
         }
@@ -70,7 +85,7 @@ class LiveBursts(Walker):
     def restore(self, saved) -> None:
         for c, rows in saved["tracks"].items():
             self.tracks[c].open = [bursts.Track(**r) for r in rows]
-        self.end, self.grid = saved["end"], saved["grid"]
+        self.start, self.end, self.grid = saved["start"], saved["end"], saved["grid"]
 
     def row(self, row) -> list[tuple]:
         grid = (int(row.acq_id), float(row.first_center_hz), float(row.bin_width_hz), int(row.bin_count))
@@ -82,7 +97,7 @@ class LiveBursts(Walker):
                 for t in done:
                     t.limited = True
                 out += self._out(c, done)
-        self.end, self.grid = int(row.to_us), grid
+        self.start, self.end, self.grid = start, int(row.to_us), grid
         found = json.loads(row.components)
         for c, b in self.tracks.items():
             parts = [self._part(row, p) for p in found if bool(p["center_region"]) == c]
@@ -121,6 +136,10 @@ class LiveEvents(Walker):
     def __init__(self, key: tuple) -> None:
         self.expected, self.tracks = None, None
 
+    def flush(self) -> list[tuple]:
+        done = [] if self.tracks is None else self.tracks.finish(truncated=True)
+        return [events.event_tuple(e) for e in done]
+
     def state(self):
         t = self.tracks
         return {
@@ -171,19 +190,16 @@ class LiveFix(Walker):
 
 
 class OrderGuard(Walker):
-    """Passes rows in order and marks those behind the state."""
+    """Passes rows in order and marks those that begin before what was taken has ended."""
 
     def __init__(self, key: tuple) -> None:
-        pass
+        self.end = None
 
     def row(self, row) -> list[tuple]:
+        if self.end is not None and int(row.start_us) < self.end:
+            return self.late(row)
+        self.end = int(row.end_us)
         return [(int(row.tile_id), int(row.start_us), False)]
 
     def late(self, row) -> list[tuple]:
         return [(int(row.tile_id), int(row.start_us), True)]
-
-    def state(self):
-        return None
-
-    def restore(self, saved) -> None:
-        pass

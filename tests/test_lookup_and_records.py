@@ -224,9 +224,56 @@ def test_stream_bursts_and_windows_equal_batch(spark, tmp_path):
 
 
 def test_late_tiles_are_marked(spark, tmp_path):
-    for k, ids in enumerate(([0, 2, 3], [1, 4])):
+    # 1 is behind the state, a second 4 overlaps what was taken
+    for k, ids in enumerate(([0, 2, 3], [1, 4, 4])):
         part = [tile(i, [[0]], 4) for i in ids]
         spark.createDataFrame(part, TABLES["tiles"]).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
     stream = spark.readStream.schema(TABLES["tiles"]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/part=*"))
     rows = jobs.drained(jobs.ordered_or_late(stream)).collect()
-    assert {r.tile_id - 1: r.late for r in rows} == {0: False, 1: True, 2: False, 3: False, 4: False}
+    assert sorted((r.tile_id - 1, r.late) for r in rows) == [(0, False), (1, True), (2, False), (3, False), (4, False), (4, True)]
+
+
+def streamed(spark, path, rows, schema):
+    """A stream with a micro-batch for each list of rows."""
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(path / f"part={k}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path / "part=*"))
+
+
+def test_late_facts_are_quarantined(spark, tmp_path):
+    fixes = "session_id bigint, monotonic_us bigint, seq bigint, valid boolean, manual boolean, latitude double, longitude double"
+    facts = "session_id bigint, t_us bigint, fact_id bigint"
+    f = streamed(spark, tmp_path / "facts", [[(1, 600_000, 1)], [(1, 2_000_000, 2)]], facts)
+    p = streamed(spark, tmp_path / "fixes", [[(1, 500_000, 1, True, False, 1.0, 2.0), (1, 3_000_000, 2, True, False, 3.0, 4.0)], []], fixes)
+    rows, late = jobs.drained_parts(jobs.live_positions(f, p))
+    assert [tuple(r) for r in rows.collect()] == [(1, 1, 1.0, 2.0)]
+    import json
+
+    assert [json.loads(r.late_row)["fact_id"] for r in late.collect()] == [2]
+
+
+def test_overlapping_blocks_are_no_gaps(spark, tmp_path):
+    blocks = streamed(spark, tmp_path, [[(1, 0, 100), (1, 50, 20)], [(1, 100, 10), (1, 130, 10)]], "session_id bigint, first_sample bigint, n bigint")
+    got = sorted(tuple(r) for r in jobs.drained(jobs.sample_gaps(blocks)).collect())
+    assert got == [(1, 50, 0, "overlap"), (1, 110, 20, "application_drop")]
+
+
+def test_the_last_window_comes_with_the_end_of_the_session(spark, tmp_path):
+    rows = [tile(i, [[0]] * 80, 4, frame_us=250) for i in range(300)]
+    t = Fixture(spark, rows)
+    stream = streamed(spark, tmp_path / "tiles", [rows[:150], rows[150:]], TABLES["tiles"])
+    ends = streamed(spark, tmp_path / "ends", [[], [(1,)]], "session_id bigint")
+    got = jobs.drained(jobs.survey_windows(stream, t.acquisitions, ends)).orderBy("window_start_us").collect()
+    assert [(w.window_start_us, w.window_end_us, w.tiles) for w in got] == [(0, 5_000_000, 250), (5_000_000, 6_000_000, 50)]
+
+
+def test_a_stored_profile_stays(spark, tmp_path):
+    schema = "session_id bigint, waveform_id bigint, version bigint, bandwidth_hz bigint, spreading_factor int"
+    batches = [[(1, 7, 5, 125_000, 9)], [(1, 7, 3, 250_000, 9), (1, 8, 1, 125_000, 7)], [(1, 7, 6, 125_000, 9), (1, 8, 2, 500_000, 7)]]
+    stream = streamed(spark, tmp_path / "in", batches, schema)
+    table = str(tmp_path / "table")
+    jobs.upsert_waveforms(stream, table, str(tmp_path / "checkpoint"), None).awaitTermination()
+    rows = jobs.read_waveforms(spark, table, stream.schema).collect()
+    assert {(r.waveform_id, r.version, r.bandwidth_hz) for r in rows} == {(7, 6, 125_000), (8, 1, 125_000)}
+    refused = spark.read.schema(stream.schema).parquet(f"{table}/quarantine/*").collect()
+    assert {(r.waveform_id, r.version) for r in refused} == {(7, 3), (8, 2)}
