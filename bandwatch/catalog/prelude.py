@@ -199,7 +199,10 @@ def with_prelude(sql: str) -> str:
     body = sql.strip()
     if body.upper().startswith("WITH "):
         own, body = ", " + body[5:], ""
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in ordered) + own + "\n" + body
+    # Any of the expressions may refer to itself; where none does the word changes nothing.
+    recursive = "RECURSIVE " if own.startswith(", RECURSIVE ") else ""
+    own = own.replace(", RECURSIVE ", ", ", 1)
+    return f"WITH {recursive}" + ", ".join(f"{n} AS ({CTES[n]})" for n in ordered) + own + "\n" + body
 
 
 def db6(expr: str) -> str:
