@@ -10,6 +10,8 @@ from bandwatch.catalog.prelude import with_prelude
 from bandwatch.sources.testbed import Testbed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The same over a testbed whose tables may already be written.
+FUNCTIONS: dict[str, Callable[[Testbed], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
@@ -19,6 +21,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Testbed], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
+        FUNCTIONS[name] = fn
         QUERIES[name] = lambda spark, sf_dir: fn(Testbed(spark, sf_dir))
         if sql is not None:
             SQL[name] = with_prelude(sql)
