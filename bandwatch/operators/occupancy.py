@@ -73,48 +73,30 @@ def exposure(selected: DataFrame, keys: Sequence[str], q: SurveyQuery, extra: Se
 def per_bin(selected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key and bin: linear power x time, peak power, busy and outside-guard busy time.
 
-    Power rows and busy rows meet in one aggregation, hence one shuffle of
-    partial sums.
+    Power rows and busy rows (two reads of the tiles) meet in one aggregation,
+    hence one shuffle of partial sums and no join.
     """
     d = F.col("to_us") - F.col("from_us")
     chosen = F.slice(
         F.arrays_zip(F.col("mean_dbfs"), F.col("peak_dbfs")), F.col("bin_lo") + 1, F.col("bin_hi") - F.col("bin_lo")
     )
-    power = (
-        selected.select(*keys, "bin_lo", d.alias("d"), F.posexplode(chosen).alias("i", "p"))
-        .select(
-            *keys,
-            (F.col("bin_lo") + F.col("i")).alias("bin"),
-            (linear(F.col("p.mean_dbfs")) * F.col("d")).alias("power_us"),
-            linear(F.col("p.peak_dbfs")).alias("peak"),
-        )
-        .groupBy(*keys, "bin")
-        .agg(F.sum("power_us").alias("power_us"), F.max("peak").alias("peak"))
+    power = selected.select(*keys, "bin_lo", d.alias("d"), F.posexplode(chosen).alias("i", "p")).select(
+        *keys,
+        (F.col("bin_lo") + F.col("i")).alias("bin"),
+        (linear(F.col("p.mean_dbfs")) * F.col("d")).alias("power_us"),
+        linear(F.col("p.peak_dbfs")).alias("peak"),
     )
     carried = [k for k in keys if k not in ACQ]
     cell_us = F.col("f1_us") - F.col("f0_us")
-    busy = (
-        active_cells(selected, *carried)
-        .groupBy(*keys, "bin")
-        .agg(
-            F.sum(cell_us).alias("busy_us"),
-            F.sum(F.when(F.col("guarded"), 0).otherwise(cell_us)).alias("outside_busy_us"),
-        )
+    busy = active_cells(selected, *carried).select(
+        *keys, "bin", cell_us.alias("busy_us"), F.when(F.col("guarded"), 0).otherwise(cell_us).alias("outside_busy_us")
     )
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "bin"]]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("busy_us", "outside_busy_us")]
     return (
-        power.alias("p")
-        .join(busy.alias("b"), condition, "left")
-        .select(
-            *[F.col(f"p.{k}") for k in [*keys, "bin"]],
-            "power_us",
-            "peak",
-            F.coalesce("busy_us", F.lit(0)).alias("busy_us"),
-            F.coalesce("outside_busy_us", F.lit(0)).alias("outside_busy_us"),
-        )
+        power.unionByName(busy, allowMissingColumns=True)
+        .groupBy(*keys, "bin")
+        .agg(F.sum("power_us").alias("power_us"), F.max("peak").alias("peak"), *sums)
+        .where("power_us is not null")
     )
 
 
