@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bandwatch.functions import flags
 from bandwatch.functions.power import dbfs_or_null, linear, percent, ratio, seconds
 from bandwatch.operators.frames import active_cells, band_power, frame_activity, time_in, with_frame_states
-from bandwatch.operators.select import clip_time, overlapping_tiles, selected_tiles, time_extent
+from bandwatch.operators.select import clip_time, in_region, overlapping_tiles, selected_tiles, time_extent
 from bandwatch.plans.query import SurveyQuery
 
 ACQ = ["session_id", "acq_id"]
@@ -240,7 +240,6 @@ def time_summary(tiles: DataFrame, acquisitions: DataFrame, gaps: DataFrame, q:
 def acquisition_extent(tiles: DataFrame, acquisitions: DataFrame, gaps: DataFrame, q: SurveyQuery) -> DataFrame:
     """Per acquisition with selected data: first and last recorded time (tiles and gaps), grid, gap time."""
     overlapping = overlapping_tiles(tiles, acquisitions, q)
-    kept = selected_tiles(tiles, acquisitions, q).select(*ACQ).distinct()
     spans = overlapping.groupBy(*ACQ, "acq_start_us", "acq_end_us").agg(
         F.min("from_us").alias("t0"),
         F.max("to_us").alias("t1"),
@@ -251,11 +250,12 @@ def acquisition_extent(tiles: DataFrame, acquisitions: DataFrame, gaps: DataFram
         F.bool_or(outside_available()).alias("outside_available"),
         F.min(F.col("utc_start_us") - F.col("start_us")).alias("utc_anchor_us"),
         F.sum(F.when(F.col("fix_end").isNull(), F.col("to_us") - F.col("from_us")).otherwise(0)).alias("no_fix_us"),
+        F.bool_or(F.coalesce(in_region("fix_end", q), F.lit(False))).alias("kept"),
     )
     rejected = F.col("no_fix_us") if q.geographic else F.lit(0).cast("bigint")
     clipped = gap_time_by_acquisition(gaps, acquisitions, q)
     return (
-        spans.join(kept, ACQ, "left_semi")
+        spans.where("kept")
         .join(clipped, ACQ, "left")
         .select(
             *ACQ, "acq_start_us", "acq_end_us", "first_center_hz", "bin_width_hz", "bin_lo", "bin_hi",
