@@ -11,7 +11,6 @@ from bandwatch.catalog.occupancy import SEL, TIME_SQL, m, s
 from bandwatch.catalog.places import CELL_M, GEO_SQL, SCAN_HI, SCAN_LO, SCAN_Q, SCAN_SQL
 from bandwatch.catalog.prelude import SEL_HI_US, SEL_LO_US, pct, r6
 from bandwatch.catalog.registry import query
-from bandwatch.functions.power import micro
 from bandwatch.operators.occupancy import seconds_columns
 from bandwatch.plans import reports
 from bandwatch.session import shared_folder
@@ -327,15 +326,20 @@ def rp7(t: Testbed) -> DataFrame:
     return d.select("session_id", "acq_id", s("scope_start"), s("scope_end"), "center_hz")
 
 
+ARCHIVED = {
+    "session": "(SELECT DISTINCT session_id FROM acqs)", "acquisition_segment": "acqs", "spectrum_tile": "tile", "spectrum_event": "nrg",
+    "coverage_gap": "gap", "reception": "rec", "waveform": "wave", "receiver_position": "pos", "rssi_scan": "scan",
+}
+
+
 @query(
     "q_rp6_archive_pages",
-    f"SELECT session_id, count(*) AS tiles, {r6('avg(background_dbfs)')} AS mean_background FROM tile GROUP BY ALL",
+    " UNION ALL ".join(f"SELECT '{kind}' AS record_type, session_id, count(*) AS records FROM {rows} GROUP BY ALL" for kind, rows in ARCHIVED.items()),
 )
 def rp6(t: Testbed) -> DataFrame:
-    """One record type out of the detailed archive."""
+    """The detailed archive, written and read back: records of every type and session."""
     from bandwatch.sources.sinks import write_archive
 
     path = shared_folder(t.spark, "archive")
-    write_archive({"spectrum_tile": reports.archive_records(t)["spectrum_tile"]}, path)
-    d = t.spark.read.parquet(path).where("record_type = 'spectrum_tile'")
-    return d.groupBy("session_id").agg(F.count("*").alias("tiles"), micro(F.avg("background_dbfs")).alias("mean_background"))
+    write_archive(reports.archive_records(t), path)
+    return t.spark.read.parquet(path).groupBy("record_type", "session_id").agg(F.count("*").alias("records"))

@@ -131,26 +131,26 @@ def wn9(t: Testbed) -> DataFrame:
 @query(
     "q_wn10_pooled_columns",
     f"""
-WITH {FREQ_SQL}, p AS (SELECT session_id, acq_id, bin, CAST(busy_us AS BIGINT) AS busy_us FROM freq WHERE acq_id = 1),
-lo AS (SELECT session_id, min(bin) AS b0, count(*) AS n FROM p GROUP BY ALL),
-c AS (SELECT lo.session_id, b0, c.range AS col, c.range * n // 20 AS x0, greatest(c.range * n // 20 + 1, (c.range + 1) * n // 20) AS x1 FROM lo, range(20) c)
-SELECT c.session_id, col AS "column", max(busy_us) / 1e6 AS busy_s FROM c JOIN p ON p.session_id = c.session_id AND bin - b0 >= x0 AND bin - b0 < x1 GROUP BY ALL
+WITH {FREQ_SQL}, p AS (SELECT session_id, acq_id, bin, CAST(busy_us AS BIGINT) AS busy_us FROM freq),
+lo AS (SELECT session_id, acq_id, min(bin) AS b0, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT lo.session_id, lo.acq_id, b0, c.range AS col, c.range * n // 20 AS x0, greatest(c.range * n // 20 + 1, (c.range + 1) * n // 20) AS x1 FROM lo, range(20) c)
+SELECT c.session_id, c.acq_id, col AS "column", max(busy_us) / 1e6 AS busy_s FROM c JOIN p ON p.session_id = c.session_id AND p.acq_id = c.acq_id AND bin - b0 >= x0 AND bin - b0 < x1 GROUP BY ALL
 UNION ALL
-SELECT c.session_id, 1000 + col AS "column", max(busy_us) / 1e6 AS busy_s
-FROM (SELECT lo.session_id, b0, c.range AS col, c.range * n // 100 AS x0, greatest(c.range * n // 100 + 1, (c.range + 1) * n // 100) AS x1 FROM lo, range(100) c) c
-JOIN p ON p.session_id = c.session_id AND bin - b0 >= x0 AND bin - b0 < x1 GROUP BY ALL""",
+SELECT c.session_id, c.acq_id, 1000 + col AS "column", max(busy_us) / 1e6 AS busy_s
+FROM (SELECT lo.session_id, lo.acq_id, b0, c.range AS col, c.range * n // 100 AS x0, greatest(c.range * n // 100 + 1, (c.range + 1) * n // 100) AS x1 FROM lo, range(100) c) c
+JOIN p ON p.session_id = c.session_id AND p.acq_id = c.acq_id AND bin - b0 >= x0 AND bin - b0 < x1 GROUP BY ALL""",
 )
 def wn10(t: Testbed) -> DataFrame:
     """Fewer columns than bins (20), then more columns than bins (100, offset by 1000)."""
-    f = occ.frequency_summary(t.tiles, t.acquisitions, SEL).where("acq_id = 1")
+    f = occ.frequency_summary(t.tiles, t.acquisitions, SEL)
     rows = f.select(
-        "session_id", (F.col("bin") - F.col("bin_lo")).alias("bin"), "busy_us",
+        "session_id", "acq_id", (F.col("bin") - F.col("bin_lo")).alias("bin"), "busy_us",
         (F.col("bin_hi") - F.col("bin_lo")).alias("n"),
     )
-    few = charts.pool_columns(rows, ["session_id"], F.col("busy_us"), F.col("n"), 20)
-    many = charts.pool_columns(rows, ["session_id"], F.col("busy_us"), F.col("n"), 100)
+    few = charts.pool_columns(rows, ["session_id", "acq_id"], F.col("busy_us"), F.col("n"), 20)
+    many = charts.pool_columns(rows, ["session_id", "acq_id"], F.col("busy_us"), F.col("n"), 100)
     both = few.unionByName(many.withColumn("column", F.col("column") + 1000))
-    return both.select("session_id", "column", seconds(F.col("value")).alias("busy_s"))
+    return both.select("session_id", "acq_id", "column", seconds(F.col("value")).alias("busy_s"))
 
 
 @query(
