@@ -271,17 +271,32 @@ def acquisition_extent(tiles: DataFrame, acquisitions: DataFrame, gaps: DataFram
     )
 
 
+#: Width of the time slots in which gaps meet acquisitions.
+SLOT_US = 3_600_000_000
+
+
 def gap_time_by_acquisition(gaps: DataFrame, acquisitions: DataFrame, q: SurveyQuery) -> DataFrame:
-    """Gap time clipped to each acquisition's part of the selection (all locations)."""
+    """Gap time clipped to each acquisition's part of the selection (all locations).
+
+    Both sides are cut into time slots and meet by session and slot, so a long
+    session's gaps are not compared with all its acquisitions; a pair counts in
+    the slot where its overlap begins.
+    """
+
+    def slots(start: str, end: str) -> Column:
+        last = F.greatest(F.floor((F.col(end) - 1) / SLOT_US), F.floor(F.col(start) / SLOT_US))
+        return F.explode(F.sequence(F.floor(F.col(start) / SLOT_US), last)).alias("slot")
+
     config = acquisitions.select(
         "session_id", "acq_id", F.col("start_us").alias("acq_start_us"), F.col("end_us").alias("acq_end_us")
     )
     clipped = (
         clip_time(gaps, q)
-        .join(config, "session_id")
+        .select("*", slots("from_us", "to_us"))
+        .join(config.select("*", slots("acq_start_us", "acq_end_us")), ["session_id", "slot"])
         .withColumn("from_us", F.greatest("from_us", "acq_start_us"))
         .withColumn("to_us", F.least("to_us", "acq_end_us"))
-        .where("to_us > from_us")
+        .where((F.col("to_us") > F.col("from_us")) & (F.floor(F.col("from_us") / SLOT_US) == F.col("slot")))
     )
     return clipped.groupBy(*ACQ).agg(
         F.count("*").alias("gap_count"),
