@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bandwatch.llm import decontaminate, packing, quality, simhash, urls
+from bandwatch.llm import decontaminate, jaccard, packing, quality, simhash, urls
 from bandwatch.llm.common import components, remainder
 from bandwatch.llm.queries import QUERIES, URL_RULES, vocabulary_path
 
@@ -242,6 +242,35 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, final.select(columns).collect()))
 
 
+def test_near_dedup_stage_equals_brute_force(spark, monkeypatch):
+    """Classes of exact five-word Jaccard similarity, also with a crowd of copies and with common shingles put last."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    for i in range(150):  # copies at all distances from the base, with more or fewer edits
+        copy = list(base)
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((10_000 + i, " ".join(copy)))
+    rows += [(20_000 + i, " ".join([*base[:30], *(f"y{i}_{j}" for j in range(i % 20))])) for i in range(60)]
+    rows += [(30_000, "a b c"), (30_001, "A  b\nc"), (30_002, "a b"), (30_003, ""), (30_004, None)]
+
+    def shingled(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingled(t) for i, t in rows}
+    alike = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+    roots = roots_by_hand(sets, [(a, b) for a in sets for b in sets if a < b and alike(a, b)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(i for i, r in roots.items() if i == r)
+    for common in (jaccard.COMMON, 10**9):
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()) == want
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline
 
