@@ -118,6 +118,21 @@ def test_templates_are_deduced_where_nothing_names_them(spark):
     assert all((i, f"Story number {i} tells {i * i} things of {i * 7}") in got for i in range(12))
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    from bandwatch.llm.templates import extract
+
+    story = "<p>A long story that every copy of this page tells in the same eleven words</p><p>Short end</p>"
+    want = "A long story that every copy of this page tells in the same eleven words\nShort end"
+    rows = [(i, f"http://copies.example/{i}", f"<body><nav>Menu</nav><article>{story}</article></body>") for i in range(12)]
+    rows += [(100 + i, f"http://bare.example/{i}", f"<body>{story}</body>") for i in range(3)]
+    rows += [(200 + i, f"http://same.example/{i}", f"<body><article>{story}<p>Page {i}</p></article></body>") for i in range(12)]
+    rows += [(300 + i, f"http://half.example/{i}", f"<body><div>Our Site</div><p>Own text {i} of {i * i} words</p><p>One long sentence that half of the pages of this host have</p></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == want for i in [*range(12), 100, 101, 102])
+    assert all(got[200 + i] == f"{want}\nPage {i}" for i in range(12))
+    assert all(got[300 + i] == f"Own text {i} of {i * i} words\nOne long sentence that half of the pages of this host have" for i in range(6))
+
+
 def test_decontamination_of_odd_rows(spark):
     item = " ".join(f"w{i}" for i in range(30))
     worse = item.replace("w3 ", "x ")  # an early word: 26 of 26 shingles minus 4
