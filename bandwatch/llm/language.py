@@ -29,16 +29,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandwatch.llm.common import Numbered, byte_values, sent, written
 from bandwatch.llm.grams import as_bytes, gram_counts
 
 #: Training texts of each language, hashed trigram slots, and the trigrams that a text counts for at most.
 PER_LANGUAGE, SLOTS, EVIDENCE = 500, 1 << 13, 120
-#: The most languages that are learnt, the commonest first.
-LANGUAGES = 64
 #: Weights of smoothing, in records.
 HOST_WEIGHT, DOMAIN_WEIGHT, VALUE_WEIGHT = 20.0, 20.0, 1.0
 #: Least posterior of an accepted language.
@@ -90,25 +89,24 @@ def visible(page: bytes) -> tuple[bytes, str | None]:
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Likelihood:
-    """The likelihood, from at most ``per_language`` labelled texts of each language, chosen by a hash of the id."""
+    """The likelihood of every labelled language, from at most ``per_language`` texts of each, chosen by a hash of the id."""
     labelled = docs.where(train).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ranked = labelled.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
-    languages = sorted(r["lang"] for r in ranked.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    named = F.col(lang_col).cast("string").alias("lang")
+    languages = sorted(r["lang"] for r in labelled.select(named).distinct().collect())
     if not languages:
         return Likelihood([], np.zeros((0, SLOTS)))
-    ids = [F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")]
-    chosen = None
-    for lang in languages:  # a bounded top-n each, without a group that holds a language
-        part = labelled.select(*ids).where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        chosen = part if chosen is None else chosen.union(part)
+    ids = [F.col(id_col).cast("long").alias("doc_id"), named]
+    # A bounded top-n of each language, cut in the tasks before any group meets.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = labelled.select(*ids).withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
     rows = labelled.select(*ids, F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
 
     def run(batches):
-        sums = {lang: np.zeros(SLOTS, np.int64) for lang in languages}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
-                sums[lang] += gram_counts(as_bytes(plain(text)), 3, SLOTS)
-        some = [lang for lang in languages if sums[lang].any()]
+                sums[lang] = sums.get(lang, 0) + gram_counts(as_bytes(plain(text)), 3, SLOTS).astype(np.int64)
+        some = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([sums[x].tobytes() for x in some], pa.binary())], names=["lang", "sums"])
 
     # As many partial sums as tasks hold sampled texts: bounded by the sample.
@@ -192,33 +190,57 @@ def posterior(records: DataFrame, sums: DataFrame, languages: list[str]) -> Data
     ``sums`` is a written table; the joins keep every record and every other column.
     """
     n = len(languages)
-    nothing = F.array(*[F.lit(0.0)] * n)
     total = sums.where("kind = 'all'").select(F.col("sums").alias("_all")).scalar()
-    out = records.withColumn("_own", F.when(F.col("ll").isNotNull() & (F.size("ll") == n), _softmax(F.col("ll"))).otherwise(nothing))
-    out = out.withColumn("_all", F.coalesce(total, nothing)).withColumn("_domain_key", domain(F.col("host")))
+    out = records.withColumn("_all", total).withColumn("_domain_key", domain(F.col("host")))
     for kind, key in (("host", "host"), ("domain", "_domain_key"), ("declared", "declared"), ("suffix", "suffix")):
         part = sums.where(F.col("kind") == kind).select(F.col("value").alias(f"_{kind}_value"), F.col("sums").alias(f"_{kind}"))
         out = out.join(part, F.col(key) == F.col(f"_{kind}_value"), "left").drop(f"_{kind}_value")
+    for kind in ("declared", "suffix"):
+        out = out.withColumn(f"_{kind}_known", sums.where(F.col("kind") == kind).agg(F.count("*")).scalar())
+    schema = T.StructType([*records.schema.fields, T.StructField("post", T.ArrayType(T.DoubleType()))])
 
-    def less(kind: str, i: int) -> Column:  # sums of the other records
-        return F.greatest(F.coalesce(F.col(f"_{kind}")[i], F.lit(0.0)) - F.when(F.col(f"_{kind}").isNotNull(), F.col("_own")[i]).otherwise(0.0), F.lit(0.0))
-
-    def over(kind: str) -> Column:
-        return sum((less(kind, i) for i in range(n)), F.lit(0.0))
-
-    logs = []
-    kinds_known = {k: sums.where(F.col("kind") == k).agg(F.count("*")).scalar() for k in ("declared", "suffix")}
-    for i in range(n):
-        everywhere = (less("all", i) + 1.0) / (over("all") + float(n))
-        by_domain = (less("domain", i) + DOMAIN_WEIGHT * everywhere) / (over("domain") + DOMAIN_WEIGHT)
-        log = F.log((less("host", i) + HOST_WEIGHT * by_domain) / (over("host") + HOST_WEIGHT))
-        for kind in ("declared", "suffix"):
-            given = (less(kind, i) + VALUE_WEIGHT) / (less("all", i) + VALUE_WEIGHT * (kinds_known[kind] + 1))
-            log = log + F.when(F.col(kind).isNull(), F.lit(0.0)).otherwise(F.log(given))
-        logs.append(log + F.coalesce(F.col("ll")[i], F.lit(0.0)))
-    out = out.withColumn("_logs", F.array(*logs) if logs else F.lit([]).cast("array<double>"))
-    out = out.withColumn("_logs", F.transform("_logs", lambda x: x - F.array_max("_logs")))
-    return out.withColumn("post", _softmax(F.col("_logs"))).select(*records.columns, "post")
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for b in batches:
+            kept = [b.column(f.name).cast(f.type) for f in list(target)[:-1]]
+            post = _posteriors(b, n).tolist() if n else [[]] * b.num_rows
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(post, target.field("post").type)], schema=target)
+
+    return out.mapInArrow(run, schema)
+
+
+def _posteriors(b: pa.RecordBatch, n: int) -> np.ndarray:
+    """A row of posterior probabilities for each joined record."""
+
+    def matrix(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = b.column(name)
+        valid, out = column.is_valid().to_numpy(zero_copy_only=False), np.zeros((b.num_rows, n))
+        out[valid] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        return out, valid[:, None]
+
+    def softmax(logs: np.ndarray) -> np.ndarray:
+        e = np.exp(logs - logs.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    ll, judged = matrix("ll")
+    own = np.where(judged, softmax(ll), 0.0)
+
+    def less(kind: str) -> tuple[np.ndarray, np.ndarray]:  # sums of the other records
+        sums, known = matrix(f"_{kind}")
+        x = np.where(known, np.maximum(sums - own, 0.0), 0.0)
+        return x, x.sum(1, keepdims=True)
+
+    (every, every_n), (by_host, host_n), (by_domain, domain_n) = less("all"), less("host"), less("domain")
+    everywhere = (every + 1.0) / (every_n + n)
+    prior = (by_domain + DOMAIN_WEIGHT * everywhere) / (domain_n + DOMAIN_WEIGHT)
+    logs = np.log((by_host + HOST_WEIGHT * prior) / (host_n + HOST_WEIGHT)) + ll
+    for kind in ("declared", "suffix"):
+        known = b.column(f"_{kind}_known").to_numpy(zero_copy_only=False)[:, None]
+        given = (less(kind)[0] + VALUE_WEIGHT) / (every + VALUE_WEIGHT * (known + 1))
+        logs += np.where(b.column(kind).is_valid().to_numpy(zero_copy_only=False)[:, None], np.log(given), 0.0)
+    return softmax(logs)
 
 
 def decide(judged: DataFrame, languages: list[str], least: float = LEAST) -> DataFrame:

@@ -242,6 +242,21 @@ def test_language_evidence_and_odd_rows(spark):
     assert language.keep_identified(odd, nothing).count() == 0
 
 
+def test_every_labelled_language_is_learnt(spark):
+    from pyspark.sql import functions as F
+
+    rows = []
+    for k in range(70):
+        words = [bytes([97 + k % 26, 97 + k // 26, 97 + (7 * k + j) % 26, 97 + (k * j + 3) % 26]).decode() for j in range(12)]
+        rows += [(1000 * k + i, " ".join(words[(i + j) % 12] for j in range(40)), f"l{k:02}", None) for i in range(3 if k < 64 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit(docs, F.lit(True))
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    got = {r["doc_id"]: r for r in language.identify(language.of_documents(docs, model), model.languages).collect()}
+    assert all(got[i]["lang"] == lang and got[i]["accepted"] for i, _, lang, _ in rows)
+    assert language.keep_identified(docs, model).count() == len(rows)
+
+
 def test_partial_matching_equals_a_plain_coder(spark):
     import math
     from collections import Counter, defaultdict
