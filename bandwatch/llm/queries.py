@@ -190,3 +190,13 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwatch.llm.templates import extract
 
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it is no long."""
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
