@@ -200,3 +200,17 @@ def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwatch.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query("op12_bpe")
+def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.bpe import decode, encode
+
+    path = vocabulary_path("byte_bpe_50k.json")
+    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )

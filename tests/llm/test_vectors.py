@@ -1,5 +1,6 @@
 """Operators on embeddings and token ids: brute force, exact round trips, odd rows."""
 
+import hashlib
 import math
 import random
 
@@ -7,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandwatch.llm import whitening
-from bandwatch.llm.queries import QUERIES
+from bandwatch.llm import bpe, whitening
+from bandwatch.llm.queries import QUERIES, vocabulary_path
 from bandwatch.llm.vectors import packed, unpacked, whole_numbers
 
 SF = "/root/testdata/sf0.01"
@@ -102,3 +103,73 @@ def test_polarisation_is_exact(spark, scale):
     assert squares == [sum(r[i] ** 2 for r in z) for i in range(4)] + [sum((r[i] + r[j]) ** 2 for r in z) for i, j in zip(*pairs)]
     want = [[sum((n * r[i] - sums[i]) * (n * r[j] - sums[j]) for r in x) / n**3 for j in range(4)] for i in range(4)]
     assert np.allclose(whitening.covariance(squares, own.left, n), want, rtol=1e-15 * n)
+
+
+BYTE_LEVEL = vocabulary_path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BYTE_LEVEL)
+
+
+def ids_of(encoder, texts):
+    return [np.frombuffer(i, "<u4").tolist() for i in encoder.encode([t.encode() for t in texts])]
+
+
+def test_bpe_equals_the_library(library):
+    """Random mixtures of words, white space of every kind, special tokens, letters of many scripts, long words."""
+    rng = random.Random(1)
+    parts = [
+        "a", "the", "'s", "'re", " ", "  ", "\n", "\t", "1", "23", "\xe9", "\u4e2d", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "!", "====",
+        "<|endoftext|>", "\U0001f600", "ing", "\r\n", "\u0301", "\u200b", "\uff41", "\u2460", "\u2168", "\x00",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += ["".join(chr(rng.randrange(1, 0x3000)) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    texts += ["a" * 1000, "=" * 700, "ab" * 500, " " * 500, "x" * 3000 + " y", "the" * 4000, "", "<|endoftext|>"]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    encoder = bpe.Encoder(BYTE_LEVEL)
+    assert ids_of(encoder, texts) == want
+    assert ids_of(encoder, texts[::-1]) == want[::-1]  # with full caches
+    flat, ends = np.array([i for w in want for i in w], np.int64), np.cumsum([len(w) for w in want])
+    assert [t.decode() for t in bpe.Decoder(BYTE_LEVEL).decode(flat, ends)] == [library.decode(w, skip_special_tokens=False) for w in want] == texts
+
+
+def test_bpe_with_small_caches(library, monkeypatch):
+    monkeypatch.setattr(bpe, "UNITS", 50)
+    monkeypatch.setattr(bpe, "UNIT_BYTES", 4)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 6)
+    rng, encoder = random.Random(2), bpe.Encoder(BYTE_LEVEL)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcde\n") for _ in range(rng.randrange(9))) for _ in range(20)) for _ in range(5)]
+        assert ids_of(encoder, texts) == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_last_tokens_are_plain_encodings(library):
+    """Every prefix's state is the last token of the library's encoding of that prefix."""
+    trie, words = bpe.Encoder(BYTE_LEVEL).trie, [b"internationalization", b"internal", b"aaaaaaaaaaaa"]
+    found = trie.encode([w[:n] for w in words for n in range(1, len(w) + 1)])
+    for word, tokens in found.items():
+        assert tokens == library.encode(word.decode(), add_special_tokens=False).ids
+    assert len(trie.state) - 1 == len(found)  # shared prefixes once
+
+
+def test_bpe_query_equals_the_library(spark, library):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op12_bpe"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in got:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(decoded))
+
+
+def test_decoding_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, [0, None, -5, 10**9], "k"), (2, None, None), (None, [], "k"), (4, [50256, 94], "k")], "doc_id long, ids array<int>, text string")
+    got = {r["doc_id"]: r["text"] for r in bpe.decode(rows, BYTE_LEVEL).collect()}
+    assert got == {1: "!", 2: "", None: "", 4: "<|endoftext|>\ufffd"}  # id 94 is a lone byte
+    empty = bpe.encode(spark.createDataFrame([(None, None), (5, "")], "doc_id long, text string"), BYTE_LEVEL).collect()
+    assert {r["doc_id"]: r["ids"] for r in empty} == {None: [], 5: []}
