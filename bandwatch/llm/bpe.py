@@ -34,17 +34,18 @@ import re
 import sys
 import types
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwatch.llm.common import byte_values, texts
 
-UNITS, UNIT_BYTES, NODES, WORD_BYTES = 1 << 19, 64, 1 << 20, 256
+UNITS, UNIT_BYTES, NODES, WORD_BYTES = 1 << 18, 64, 1 << 19, 256
 #: Texts encoded at a time, up to so many bytes.
 STEP, STEP_BYTES = 512, 4 << 20
 
@@ -175,7 +176,17 @@ class Trie:
         return out[::-1]
 
 
-class Encoder:
+class OfWorker:
+    @classmethod
+    def of_worker(cls, path: str):
+        """The one of this Python worker, kept from task to task."""
+        store = vars(sys.modules.setdefault("_bandwatch_bpe", types.ModuleType("_bandwatch_bpe")))
+        if (key := f"{cls.__name__} {path}") not in store:
+            store[key] = cls(path)
+        return store[key]
+
+
+class Encoder(OfWorker):
     """Token ids of texts, as little-endian uint32 bytes, equal to the library's for a byte-level vocabulary."""
 
     def __init__(self, path: str):
@@ -200,14 +211,6 @@ class Encoder:
         self.trie, self.spaced, self.known = Trie(self.merges), {}, {}
         self.merges.forget()
 
-    @classmethod
-    def of_worker(cls, path: str) -> Encoder:
-        """The encoder of this Python worker, kept from task to task."""
-        store = sys.modules.setdefault("_bandwatch_bpe", types.ModuleType("_bandwatch_bpe"))
-        if path not in vars(store):
-            vars(store)[path] = cls(path)
-        return vars(store)[path]
-
     def _units(self, units: set[str]) -> dict[str, bytes]:
         """Ids of units; all new words of all units enter the trie together."""
         letters = self.letters
@@ -267,7 +270,7 @@ SPACES = "\t-\r \x85\xa0  -     　"
 WHITE, SPACED = re.compile(f"[{SPACES}]"), re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
 
-class Decoder:
+class Decoder(OfWorker):
     """The bytes of ids, joined for many rows at once."""
 
     def __init__(self, path: str):
@@ -292,43 +295,66 @@ class Decoder:
         return [joined[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def encoded(values: list[bytes], encoder: Encoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, end of each row's ids), some rows at a time."""
+    begin = 0
+    while begin < len(values):
+        end, size = begin, 0
+        while end < len(values) and end - begin < STEP and (end == begin or size + len(values[end]) <= STEP_BYTES):
+            size += len(values[end])
+            end += 1
+        ids = encoder.encode(values[begin:end])
+        yield begin, np.frombuffer(b"".join(ids), "<i4"), np.cumsum([len(i) // 4 for i in ids])
+        begin = end
+
+
+def ids_column(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+
+
+def text_column(found: list[bytes]) -> pa.Array:
+    return pa.array([t.decode("utf-8", "replace") for t in found], pa.string())
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each whole text."""
 
     def run(batches):
         encoder = Encoder.of_worker(vocabulary)
         for batch in batches:
-            values, begin = list(byte_values(batch.column(1))), 0
-            while begin < len(values):
-                end, size = begin, 0
-                while end < len(values) and end - begin < STEP and (end == begin or size + len(values[end]) <= STEP_BYTES):
-                    size += len(values[end])
-                    end += 1
-                ids = encoder.encode(values[begin:end])
-                offsets = np.cumsum([0, *map(len, ids)]) // 4
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), rows], names=["doc_id", "ids"])
-                begin = end
+            for begin, ids, ends in encoded(list(byte_values(batch.column(1))), encoder):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(ends)), ids_column(ids, ends)], names=["doc_id", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, text): the ids of each whole text and what they decode to, in one pass; as ``decode`` of ``encode``."""
+
+    def run(batches):
+        encoder, decoder = Encoder.of_worker(vocabulary), Decoder.of_worker(vocabulary)
+        for batch in batches:
+            for begin, ids, ends in encoded(list(byte_values(batch.column(1))), encoder):
+                columns = [batch.column(0).slice(begin, len(ends)), ids_column(ids, ends), text_column(decoder.decode(ids, ends))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with a column ``text_col`` of the texts that its ids stand for."""
     at, kept = encoded.columns.index(ids_col), encoded.columns
     schema = encoded.withColumn(text_col, F.lit("")).schema
 
     def run(batches):
-        decoder = Decoder(vocabulary)
+        decoder = Decoder.of_worker(vocabulary)
         for batch in batches:
             for begin in range(0, batch.num_rows, STEP):
                 part = batch.slice(begin, STEP)
                 column = part.column(at)
                 ids = column.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
-                ends = np.cumsum([0 if v is None else v for v in pa.compute.list_value_length(column).to_pylist()])
-                found = pa.array([t.decode("utf-8", "replace") for t in decoder.decode(ids, ends)], pa.string())
-                columns = {n: part.column(i) for i, n in enumerate(kept)} | {text_col: found}
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+                columns = {n: part.column(i) for i, n in enumerate(kept)} | {text_col: text_column(decoder.decode(ids, ends))}
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=[f.name for f in schema])
 
     return encoded.mapInArrow(run, schema)

@@ -206,11 +206,40 @@ def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from bandwatch.llm.bpe import decode, encode
+    from bandwatch.llm.bpe import round_trip
 
-    path = vocabulary_path("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    both = round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
+
+
+OP13_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT r, anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id) AS n
+  FROM s WHERE same QUALIFY n <= 5),
+h AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.r, n ORDER BY score DESC, other_id) AS rank,
+    other_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM h WHERE rank <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.lemp import mine
+
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, shifted)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandwatch.llm import bpe, whitening
+from bandwatch.llm import bpe, lemp, whitening
 from bandwatch.llm.queries import QUERIES, vocabulary_path
 from bandwatch.llm.vectors import packed, unpacked, whole_numbers
 
@@ -158,6 +158,9 @@ def test_last_tokens_are_plain_encodings(library):
 
 def test_bpe_query_equals_the_library(spark, library):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    both = bpe.decode(bpe.encode(docs, BYTE_LEVEL), BYTE_LEVEL)
+    assert both.exceptAll(bpe.round_trip(docs, BYTE_LEVEL)).isEmpty()
     got = QUERIES["op12_bpe"](spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(texts)
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -173,3 +176,72 @@ def test_decoding_of_odd_rows(spark):
     assert got == {1: "!", 2: "", None: "", 4: "<|endoftext|>\ufffd"}  # id 94 is a lone byte
     empty = bpe.encode(spark.createDataFrame([(None, None), (5, "")], "doc_id long, text string"), BYTE_LEVEL).collect()
     assert {r["doc_id"]: r["ids"] for r in empty} == {None: [], 5: []}
+
+
+def mined_by_hand(rows, step=50):
+    """Plain loops over (vec_id, vector, label), labels as they are."""
+    x = [(i, [max(-(2**63), min(2**63 - 1, math.floor(256.0 * c))) for c in v], label) for i, v, label in rows
+         if label is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    low = -(2**63)
+    out = []
+    for k, (i, v, label) in enumerate(x):
+        if i is None or i % step:
+            continue
+        scored = [(max(low, min(~low, sum(a * b for a, b in zip(v, w)))), low if j is None else j, other == label) for m, (j, w, other) in enumerate(x) if m != k]
+        scored.sort(key=lambda s: (-s[0], s[1]))
+        for score, j, _ in [s for s in scored if s[2]][:5]:
+            fit = [s for s in scored if not s[2] and 50 * score <= 100 * s[0] <= 95 * score][:3]
+            out += [(i, None if j == low else j, r, None if n == low else n, score, s) for r, (s, n, _) in enumerate(fit, 1)]
+    return sorted(out, key=str)
+
+
+def vectors_in_groups(n, d, noise, seed, wide=1.0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, d))
+    group = rng.integers(0, 6, n)
+    v = (centres[group] + noise * rng.normal(size=(n, d))) * rng.uniform(0.2, 3, (n, 1)) * wide
+    return [(int(i), [float(np.float32(c)) for c in r], int(g if rng.random() < 0.6 else rng.integers(0, 6))) for i, (r, g) in enumerate(zip(v, group))]
+
+
+@pytest.mark.parametrize(("noise", "wide"), [(0.02, 1.0), (0.5, 1.0), (0.1, 1e6), (0.1, 1e17)])
+def test_hard_negatives_equal_plain_loops(spark, monkeypatch, noise, wide):
+    """Many small buckets, stripes and groups; tight groups prune by coordinates, loose ones do not."""
+    for name, value in {"BUCKET": 40, "ANCHORS": 6, "DEPTH": 2, "SPAN": 2}.items():
+        monkeypatch.setattr(lemp, name, value)
+    rows = vectors_in_groups(300, 7, noise, 4, wide)
+    got = lemp.mine(spark.createDataFrame(rows, SCHEMA), F.col("id") % 10 == 0, F.col("label")).collect()
+    want = mined_by_hand(rows, 10)
+    assert sorted((tuple(r) for r in got), key=str) == want and (len(want) > 20) == (wide < 1e8)  # all scores beyond longs are ties
+
+
+def test_coordinates_prune(monkeypatch):
+    """On tight groups few rows are verified, and none that reaches the bound is lost."""
+    rows = vectors_in_groups(2000, 8, 0.02, 9)
+    x = np.array([np.array(v) / np.linalg.norm(v) for _, v, _ in rows])
+    x = whole_numbers(x * np.linspace(4, 3.8, 2000)[:, None])  # a length bucket
+    nothing = np.zeros(2000, np.int64).tobytes()
+    block = lambda part: lemp.Block.of(nothing, nothing, list(range(len(part))), packed(part), orders_of(part))
+    anchors, bucket = block(x[:50]), block(x)
+    least = (0.95 * anchors.norm * bucket.longest).astype(np.int64)
+    seen, plain = [], lemp.Block.products
+    monkeypatch.setattr(lemp.Block, "products", lambda self, other, own, others: seen.append(len(own) * len(others)) or plain(self, other, own, others))
+    found = lemp.reaching(anchors, bucket, least, np.ones(50, bool))
+    scores = x[:50] @ x.T
+    assert sorted(zip(*(c.tolist() for c in found))) == [(a, r, int(scores[a, r])) for a in range(50) for r in range(2000) if scores[a, r] >= least[a]]
+    assert 0 < len(found[0]) <= sum(seen) < 0.5 * scores.size
+
+
+def orders_of(x):
+    norm = np.sqrt((x.astype(float) ** 2).sum(1))
+    return np.argsort(x / np.where(norm > 0, norm, 1)[:, None], axis=0, kind="stable").T.astype("<u2").tobytes()
+
+
+def test_hard_negatives_of_odd_rows(spark):
+    """Nulls, non-finite numbers, repeats, ties, other lengths, zero vectors, clashing columns."""
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [1.0], 1), (2, [0.8, 0.1], 2), (3, [0.8, 0.1], 2), (None, [0.8], 2), (None, [0.9], 1), (4, [0.0, 0.0], 3), (5, [], 1)]
+    bad = [(50, None, 1), (100, [None], 1), (150, [float("nan")], 1), (200, [float("-inf")], 2), (250, [1.0], None)]
+    table = spark.createDataFrame(rows + bad, SCHEMA).withColumn("id", F.lit("x")).withColumn("stripe", F.lit(1)).withColumn("row", F.lit(2))
+    got = lemp.mine(table, F.col("id") % 50 == 0, F.col("label")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == mined_by_hand([(i, [float(np.float32(c)) for c in v], g) for i, v, g in rows])
+    assert lemp.mine(spark.createDataFrame([], SCHEMA), F.col("id") % 50 == 0, F.col("label")).count() == 0
+    assert lemp.mine(spark.createDataFrame(bad, SCHEMA), F.col("id") % 50 == 0, F.col("label")).count() == 0
