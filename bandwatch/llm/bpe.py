@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from bandwatch.llm.common import byte_values, texts
 
-UNITS, UNIT_BYTES, NODES, WORD_BYTES = 1 << 18, 64, 1 << 19, 256
+UNITS, UNIT_BYTES, NODES, WORD_BYTES, PAIRS = 1 << 18, 64, 1 << 19, 256, 1 << 19
 #: Texts encoded at a time, up to so many bytes.
 STEP, STEP_BYTES = 512, 4 << 20
 
@@ -72,12 +72,14 @@ class Merges:
             if whole in self.made or rank <= max(self.made.get(p, -1) for p in pair):
                 raise ValueError(f"merge {rank} makes a token twice or comes before its parts")
             self.rank[pair], self.halves[whole], self.made[whole] = rank, pair, rank
-        self.ends = {token[k:] for token in self.id_of for k in range(len(token))}
         self._sound: dict[int, bool] = {}
         self.forget()
+        #: All ends of tokens; those that are tokens with their ids, the others with -1.
+        self.ends = {token[k:]: -1 for token in self.id_of for k in range(len(token))}
+        self.ends.update((token, i) for token, i in self.id_of.items() if self.sound(i))
 
     def forget(self) -> None:
-        self._apart: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """(token, rank that made it, rank that consumed it) along one side of its history."""
@@ -91,17 +93,14 @@ class Merges:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, encoded together, give a and b."""
-        key = a << 32 | b
-        known = self._apart.get(key)
-        if known is None:
-            left = self._edge(b, 0)
-            known = self._apart[key] = not any(
-                (rank := self.rank.get((x, y))) is not None and rank < x_until and rank <= y_until and rank > max(x_made, y_made)
-                for x, x_made, x_until in self._edge(a, 1)
-                for y, y_made, y_until in left
-                if x_made < y_until and y_made < x_until
-            )
-        return known
+        left = self._edge(b, 0)
+        found = self.known[a << 32 | b] = not any(
+            (rank := self.rank.get((x, y))) is not None and rank < x_until and rank <= y_until and rank > max(x_made, y_made)
+            for x, x_made, x_until in self._edge(a, 1)
+            for y, y_made, y_until in left
+            if x_made < y_until and y_made < x_until
+        )
+        return found
 
     def sound(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as the token."""
@@ -123,13 +122,18 @@ class Merges:
 
     def last_token(self, word: bytes, end: int, before: Callable[[int], int]) -> int:
         """The last token of the first ``end`` bytes; ``before(n)`` is that of the first n."""
+        ends, known = self.ends.get, self.known.get
         for begin in range(end - 1, -1, -1):
-            piece = word[begin:end]
-            if piece not in self.ends:
+            token = ends(word[begin:end])
+            if token is None:
                 break
-            token = self.id_of.get(piece)
-            if token is not None and self.sound(token) and (not begin or self.apart(before(begin), token)):
-                return token
+            if token >= 0:
+                if not begin:
+                    return token
+                left = before(begin)
+                apart = known(left << 32 | token)
+                if apart or apart is None and self.apart(left, token):
+                    return token
         raise ValueError("the vocabulary lacks a byte")
 
 
@@ -197,64 +201,83 @@ class Encoder(OfWorker):
         model = spec["model"]
         if model["type"] != "BPE" or spec["normalizer"] or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE without a normalizer is encoded here")
+        if spec["pre_tokenizer"] | {"trim_offsets": None} != {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True, "trim_offsets": None}:
+            raise ValueError("only the byte-level pre-tokenizer is supported")
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.letters, self.merges = byte_letters(), Merges(model["vocab"], model["merges"])
+        self.bytes_of = {ord(c): b for c, b in byte_letters().items()}
+        self.merges = Merges(model["vocab"], model["merges"])
         self.special = {}
         for token in spec["added_tokens"]:
             if token["single_word"] or token["lstrip"] or token["rstrip"]:
                 raise ValueError("added tokens that take white space are not supported")
             self.special[token["content"].encode()] = np.array([token["id"]], "<u4").tobytes()
+        self.spaced: dict[bytes, bytes] = {}
         self._special = re.compile(b"(" + b"|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + b")") if self.special else None
         self.forget()
 
+        self.trie, self.spaced, self.known, self.older = Trie(self.merges), {}, {}, {}
+
     def forget(self) -> None:
-        self.trie, self.spaced, self.known = Trie(self.merges), {}, {}
-        self.merges.forget()
-
-    def _units(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units; all new words of all units enter the trie together."""
-        letters = self.letters
-        split = {u: [bytes(map(letters.__getitem__, w)) for w, _ in self.split(u)] for u in units}
-        words = {w for ws in split.values() for w in ws}
-        short = [w for w in words if len(w) <= WORD_BYTES]
-        tokens = self.trie.encode(short) | {w: self.trie.encode_long(w) for w in words if len(w) > WORD_BYTES}
-        ids = {w: array("I", t).tobytes() for w, t in tokens.items()}
-        return {u: b"".join(ids[w] for w in ws) for u, ws in split.items()}
+        """What was used since the last time stays within reach; the trie and all else starts anew."""
+        self.trie, self.spaced, self.known, self.older = Trie(self.merges), {}, {}, self.spaced
+        if len(self.merges.known) > PAIRS:
+            self.merges.forget()
+
+    def _words(self, text: str) -> list[bytes]:
+        return [w.translate(self.bytes_of).encode("latin-1") for w, _ in self.split(text)]
+
+    def _split_plain(self, parts: list[str]) -> list[list[bytes]]:
+        """Words of parts behind a space, without white space in them: split in one go, since words never cross such a space."""
+        words = iter(self._words("".join([" " + p for p in parts])))
+        out = []
+        for part in parts:
+            left, own = 1 + len(part.encode()), []
+            while left:
+                own.append(next(words))
+                left -= len(own[-1])
+            out.append(own)
+        return out
 
     def _segments(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts without special tokens."""
-        spaced, known = self.spaced, self.known
-        if len(spaced) + len(known) > UNITS or len(self.trie.state) > NODES:
+        if len(self.spaced) + len(self.known) > UNITS or len(self.trie.state) > NODES:
             self.forget()
-            spaced, known = self.spaced, self.known
+        spaced, known, older = self.spaced, self.known, self.older
         parts = [t.split(b" ") for t in texts]
         heads = [p.pop(0) for p in parts]
         missing = set(filterfalse(spaced.__contains__, set().union(*parts)))
-        plain, cut = set(), {}  # single units behind a space; units of the other parts
-        for part in missing:
-            text = part.decode("utf-8", "replace")
-            if text and not WHITE.search(text):
-                plain.add(text)
-            elif text and not WHITE.match(text):
+        spaced.update((p, older[p]) for p in filter(older.__contains__, missing))
+        units: dict[bytes, list[bytes]] = {}  # words of a part behind a space
+        cut: dict[bytes, list[str]] = {}  # units of a part with white space in it
+        plain, odd = [], set()
+        for part in filterfalse(spaced.__contains__, missing):
+            if part.isalpha():  # ASCII letters behind a space are one word
+                units[part] = [b" " + part]
+            elif not (text := part.decode("utf-8", "replace")) or WHITE.match(text):
+                odd.add(part)
+            elif WHITE.search(text):
                 cut[part] = SPACED.findall(" " + text)
-        whole: dict[int, list[str]] = {}  # texts that hold a part which starts with white space or is empty
-        odd = missing - cut.keys() - {t.encode() for t in plain}
-        if odd:
-            for i, p in enumerate(parts):
-                if not odd.isdisjoint(p):
-                    whole[i] = SPACED.findall(texts[i].decode("utf-8", "replace"))
+            else:
+                plain.append((part, text))
+        units.update(zip([p for p, _ in plain], self._split_plain([t for _, t in plain])))
+        # Texts that hold a part which is empty or starts with white space are cut as a whole.
+        whole = {i: SPACED.findall(texts[i].decode("utf-8", "replace")) for i, p in enumerate(parts) if odd and not odd.isdisjoint(p)}
         first = {i: SPACED.findall(h.decode("utf-8", "replace")) for i, h in enumerate(heads) if i not in whole}
-        units = {" " + t for t in plain}.union(*cut.values(), *whole.values(), *first.values())
-        fresh = self._units(set(filterfalse(known.__contains__, units)))
+        others = {u: self._words(u) for u in filterfalse(known.__contains__, set().union(*cut.values(), *whole.values(), *first.values()))}
+
+        words = set().union(*units.values(), *others.values())
+        tokens = self.trie.encode([w for w in words if len(w) <= WORD_BYTES]) | {w: self.trie.encode_long(w) for w in words if len(w) > WORD_BYTES}
+        ids = {w: array("I", t).tobytes() for w, t in tokens.items()}
+        fresh = {u: b"".join([ids[w] for w in ws]) for u, ws in others.items()}
         get = lambda us: b"".join([fresh[u] if u in fresh else known[u] for u in us])
-        here = {t.encode(): fresh.get(" " + t) or known[" " + t] for t in plain} | {p: get(us) for p, us in cut.items()}
+        here = {p: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for p, ws in units.items()} | {p: get(us) for p, us in cut.items()}
         spaced.update(here)
-        ids = spaced.__getitem__
-        out = [get(whole[i]) if i in whole else get(first[i]) + b"".join(map(ids, p)) for i, p in enumerate(parts)]
+        of = spaced.__getitem__
+        out = [get(whole[i]) if i in whole else get(first[i]) + b"".join(map(of, p)) for i, p in enumerate(parts)]
         for part in here:
             if part in cut or len(part) > UNIT_BYTES:
                 del spaced[part]
-        known.update((u, ids) for u, ids in fresh.items() if len(u) <= UNIT_BYTES and u[:1] != " ")
+        known.update((u, ids) for u, ids in fresh.items() if len(u) <= UNIT_BYTES)
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
