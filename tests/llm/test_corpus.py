@@ -214,6 +214,18 @@ def test_remainders_are_those_of_crc32(spark):
     assert all(r["m"] == zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 3 for r in rows)
 
 
+def near_classes(texts):
+    """The least id of each text's class, by brute force over sets of five words."""
+
+    def shingled(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingled(t) for i, t in texts.items()}
+    alike = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+    return roots_by_hand(sets, [(a, b) for a in sets for b in sets if a < b and alike(a, b)])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -232,8 +244,7 @@ def test_pipeline_stages(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     voters = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
     good = {i for i, t in texts.items() if voters.scores([t.encode()])[0] >= 0.5}
-    prints = {i: simhash.fingerprint(texts[i].encode()) for i in good}
-    roots = roots_by_hand(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    roots = near_classes({i: texts[i] for i in good})
     items = decontaminate.Items([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()], 5, 0.8, decontaminate.RADIUS)
     want = {i for i, r in roots.items() if i == r and not items.matches(texts[i].encode())}
     assert {r["doc_id"] for r in held.collect()} == want
@@ -257,13 +268,7 @@ def test_near_dedup_stage_equals_brute_force(spark, monkeypatch):
     rows += [(20_000 + i, " ".join([*base[:30], *(f"y{i}_{j}" for j in range(i % 20))])) for i in range(60)]
     rows += [(30_000, "a b c"), (30_001, "A  b\nc"), (30_002, "a b"), (30_003, ""), (30_004, None)]
 
-    def shingled(text):
-        w = (text or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = {i: shingled(t) for i, t in rows}
-    alike = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
-    roots = roots_by_hand(sets, [(a, b) for a in sets for b in sets if a < b and alike(a, b)])
+    roots = near_classes(dict(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(i for i, r in roots.items() if i == r)
     for common in (jaccard.COMMON, 10**9):
