@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from bandwatch.llm.common import byte_values, texts
 
-UNITS, UNIT_BYTES, NODES, WORD_BYTES, PAIRS = 1 << 18, 64, 1 << 19, 256, 1 << 19
+UNITS, UNIT_BYTES, NODES, WORD_BYTES, PAIRS = 1 << 19, 64, 1 << 20, 256, 1 << 19
 #: Texts encoded at a time, up to so many bytes.
 STEP, STEP_BYTES = 512, 4 << 20
 
