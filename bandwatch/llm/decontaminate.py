@@ -17,11 +17,14 @@ For each text:
    distance is then compared.
 4. Counts of whole shingles give the exact similarity of what remains.
 
-At similarity 0.8 the expected distance is below 10 of 64 bits with a deviation of
-about 3, so a radius of 24 leaves out no real match in practice.
+At similarity 0.8 the expected distance of windows without repeated shingles is below
+10 of 64 bits with a deviation of about 3, so a radius of 24 leaves out no real match in
+practice. Repeated shingles outvote the others in a fingerprint, so items that have them
+are compared with every window that holds enough of their shingles, whatever its
+fingerprint.
 
-Items are sent to the tasks in blocks of bounded number and size; a larger benchmark
-takes more blocks and as many scans, not more memory.
+Items are sent to the tasks in blocks of bounded number and size. Over one block, each
+block's matches are written before the next is collected.
 
 Nulls and odd rows: null or empty texts match nothing; items without words match
 nothing; a null item_id or doc_id is carried as null; repeated rows match each (a
@@ -32,6 +35,7 @@ repeated item once); empty tables give no rows; other columns are ignored, and k
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -40,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwatch.llm.common import byte_values, texts
+from bandwatch.llm.common import byte_values, texts, written
 
 WIDTH, THRESHOLD, RADIUS, SEGMENTS = 5, 0.8, 24, 8
 #: Bounds of one block of items.
@@ -102,6 +106,12 @@ class Items:
             present = np.zeros(1 << 20, bool)
             present[hashes >> np.uint64(44)] = True
             self.known[k] = hashes, [sorted(owners[h]) for h in hashes.tolist()], present
+        #: Items with repeated shingles, and the places of their shingles among the hashes of their width.
+        self.repeating: dict[int, np.ndarray] = {}
+        for i, it in enumerate(self.items):
+            if max(it[3].values()) > 1:
+                rolled = _roll(np.array([self.words[w] for w in it[4]], np.uint64), it[2])
+                self.repeating[i] = np.unique(np.searchsorted(self.known[it[2]][0], rolled))
         #: By item size: the items, their fingerprints, and the segment tables.
         self.sized: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         reach = radius // SEGMENTS
@@ -145,6 +155,8 @@ class Items:
                     touched.setdefault(self.items[i][1], set()).add(i)
             for n, wanted in touched.items():
                 self._windows(words, at, n, k, wanted, best)
+                for i in wanted & self.repeating.keys():
+                    self._repeats(words, at[np.isin(place, self.repeating[i])], n, k, i, best)
         return [(self.items[i][0], s, n, d, sim) for i, (sim, s, n, d) in sorted(best.items())]
 
     def _windows(self, words: list[bytes], at: np.ndarray, n: int, k: int, wanted: set[int], best: dict[int, tuple]) -> None:
@@ -169,19 +181,38 @@ class Items:
             away = np.bitwise_count(fps[w] ^ prints[i])
             near = away <= self.radius
             for a, b, d in zip(starts[w[near]].tolist(), own[i[near]].tolist(), away[near].tolist()):
-                window = words[a : a + n]
-                sim = similarity(shingles(window, k), self.items[b][3])
-                if sim >= self.threshold and (b not in best or (sim, -a) > (best[b][0], -best[b][1])):
-                    best[b] = (sim, a, len(window), d)
+                self._compare(words[a : a + n], a, b, k, lambda d=d: d, best)
 
+    def _repeats(self, words: list[bytes], at: np.ndarray, n: int, k: int, i: int, best: dict[int, tuple]) -> None:
+        """Every window that holds as many of the item's shingles (at ``at``) as a match needs."""
+        last, reach = max(0, len(words) - n), max(0, n - k)
+        starts = np.unique(np.concatenate([np.clip(at - back, 0, last) for back in range(reach + 1)]))
+        there = np.searchsorted(at, starts + reach, "right") - np.searchsorted(at, starts, "left")
+        both = n - k + 1 + min(n, len(words)) - k + 1
+        starts = starts[there * (1 + self.threshold) >= self.threshold * both * (1 - 1e-12)]
+        own, prints, _ = self.sized[n]
+        mine = prints[own == i][0]
+        for a in starts.tolist():
+            window = words[a : a + n]
+            self._compare(window, a, i, k, lambda w=window: int(np.bitwise_count(self.prints(w, [0], n, k)[0] ^ mine)), best)
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple]]:
-    """The items in blocks of bounded number and bytes, by a hash of the item."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
-    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    parts = max(1, -(-n // BLOCK_ITEMS), -(-(size or 0) // BLOCK_BYTES))
-    for part in range(parts):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).collect()]
+    def _compare(self, window: list[bytes], start: int, i: int, k: int, distance: Callable[[], int], best: dict[int, tuple]) -> None:
+        sim = similarity(shingles(window, k), self.items[i][3])
+        if sim >= self.threshold and (i not in best or (sim, -start) > (best[i][0], -best[i][1])):
+            best[i] = (sim, start, len(window), distance())
+
+
+class blocks:
+    """The items in blocks of bounded number and bytes, by a hash of the item; each is collected when it is reached."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
+        items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
+        n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        self.items, self.parts = items, max(1, -(-n // BLOCK_ITEMS), -(-(size or 0) // BLOCK_BYTES))
+
+    def __iter__(self):
+        for part in range(self.parts):
+            yield [tuple(r) for r in self.items.where(F.pmod(F.xxhash64("id", "text"), F.lit(self.parts)) == part).collect()]
 
 
 def contaminated(
@@ -189,8 +220,8 @@ def contaminated(
     width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS,
 ) -> DataFrame:
     """(doc_id, item_id, start, n_words, distance, similarity): the best window of each document and matching item."""
-    out = None
-    for rows in blocks(benchmark):
+    out, listed = None, blocks(benchmark)
+    for rows in listed:
         items = Items(rows, width, threshold, radius)
 
         def run(batches, items=items):
@@ -202,6 +233,8 @@ def contaminated(
         part = texts(docs, id_col, text_col).mapInArrow(
             run, "doc_id long, item_id long, start long, n_words long, distance int, similarity double"
         )
+        if listed.parts > 1:
+            part, _ = written(part, "matches")
         out = part if out is None else out.union(part)
     return out
 
@@ -212,8 +245,8 @@ names = ["doc_id", "item_id", "start", "n_words", "distance", "similarity"]
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns kept, that match no item."""
-    at = docs.columns.index(text_col)
-    for rows in blocks(benchmark):
+    at, listed = docs.columns.index(text_col), blocks(benchmark)
+    for rows in listed:
         items = Items(rows, how.get("width", WIDTH), how.get("threshold", THRESHOLD), how.get("radius", RADIUS))
 
         def run(batches, items=items):
@@ -221,4 +254,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how)
                 yield batch.filter(pa.array([not items.matches(t) for t in byte_values(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if listed.parts > 1:
+            docs, _ = written(docs, "clean")  # the next block's items take this one's place
     return docs

@@ -45,8 +45,10 @@ LEAST = 0.5
 #: A text of at least so many trigrams that falls so far (nats a trigram) below its best language's mean is in none of them.
 FOREIGN_SIZE, FOREIGN_MARGIN = 40, 4.0
 
-_HIDDEN = re.compile(rb"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(rb"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b")
+#: What an element or comment hides ends with the page if nothing closes it. No pattern reads a byte many times.
+_HIDDEN = re.compile(rb"(?is)<(script|style|template|noscript)\b.*?(?:</\1\s*+>|\Z)|<!--.*?(?:-->|\Z)")
+_TAGS = re.compile(rb"<[^>]*>")
+_DECLARED = re.compile(rb"(?is)<html\b[^<>]*?\slang\s*+=\s*[\"']?([a-z]{2,3})\b")
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
 _MARKS = bytes.maketrans(b"0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c", b" " * 47)
@@ -83,6 +85,8 @@ def visible(page: bytes) -> tuple[bytes, str | None]:
     """What a page shows, and the language that its markup declares."""
     found = _DECLARED.search(page)
     shown = _HIDDEN.sub(b" ", page)
+    end = shown.rfind(b">") + 1  # no tag closes behind it
+    shown = _TAGS.sub(b" ", shown[:end]) + shown[end:]
     if b"&" in shown:
         shown = html.unescape(shown.decode("utf-8", "replace")).encode("utf-8", "replace")
     return shown, found[1].decode().lower() if found else None

@@ -45,31 +45,51 @@ def vocabulary_path(name: str) -> str:
 @query("op4_tiff")
 def tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text is stored as a TIFF; all else is computed from the pages read back from it."""
-    from bandwatch.llm.common import per_row, texts
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from bandwatch.llm.tiff import read_pages, store_texts
 
-    def make():
+    stored = store_texts(table(spark, sf_dir, "documents"))
+    media = F.struct("doc_id", "n_bytes", F.octet_length("file").cast("long").alias("media_bytes"), F.sha2("file", 256).alias("media_sha256"))
+    pages = read_pages(stored.select(media.alias("stored"), "file"), "stored", "file").select("stored", "page", "pixels")
+
+    def run(batches):
+        """One row per file: its pages follow each other, from page 0 on."""
         import hashlib
         import zlib
 
         import numpy as np
 
-        from bandwatch.llm.tiff import feature, pages, store_text
-
-        def digest(text: bytes):
-            stored = store_text(text)
-            read = np.concatenate([p.samples[:, :, 0] for p in pages(stored)])
-            payload = read.tobytes()
-            return (
-                len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
-                len(stored), hashlib.sha256(stored).hexdigest(), feature(read),
-            )
-
-        return digest
-
-    schema = (
-        "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
-    return per_row(texts(table(spark, sf_dir, "documents"), "doc_id", "text"), schema, make)
+        from bandwatch.llm.tiff import ROW, feature
+
+        def digest(key, parts):
+            payload = b"".join(parts)
+            return key | {
+                "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
+                "feature": feature(np.frombuffer(payload, np.uint8).reshape(-1, ROW)),
+            }
+
+        key, parts = None, []
+        for batch in batches:
+            rows = []
+            for k, page, pixels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if page == 0 and key is not None:
+                    rows.append(digest(key, parts))
+                    parts = []
+                key = k
+                parts.append(pixels)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([digest(key, parts)], schema)
+
+    long = pa.int64()
+    schema = pa.schema([
+        ("doc_id", long), ("n_bytes", long), ("payload_bytes", long), ("payload_sha256", pa.string()), ("tail_crc32", long),
+        ("media_bytes", long), ("media_sha256", pa.string()), ("feature", pa.string()),
+    ])
+    types = {long: "long", pa.string(): "string"}
+    return pages.mapInArrow(run, ", ".join(f"{f.name} {types[f.type]}" for f in schema))
 
 
 OP9_SQL = r"""

@@ -5,13 +5,15 @@ byte order, decodes uncompressed, PackBits, LZW and deflate strips or tiles, und
 horizontal and floating-point predictors, and puts the pieces together to a page.
 Chunky and planar samples of 8, 16, 32 and 64 bits (integers or floats) are read.
 
-Nulls and odd rows: a null or empty file has no pages; broken files give one row with
-page -1 and the reason in ``error``; repeated rows are decoded each; empty tables give
+Nulls and odd rows: a null or empty file has no pages; a broken page has the reason in
+``error``, and the walk goes on behind it; where the walk breaks there is a row with page
+-1; repeated rows are decoded each; empty tables give
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,11 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandwatch.llm.common import per_row, texts
+
 # Fixed values of the format: tags, field types (struct code), compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: What broken bytes raise, and bytes of pages in a batch.
+BROKEN = (ValueError, KeyError, TypeError, OverflowError, IndexError, StopIteration, struct.error, zlib.error, MemoryError)
+BATCH_BYTES = 4 << 20
 LZW_CLEAR, LZW_END, LZW_BITS = 256, 257, 12
 
 
@@ -187,6 +194,12 @@ def _fields(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, tupl
 
 def pages(data: bytes) -> Iterator[Page]:
     """Every page of a TIFF file, in the order of its directories."""
+    for number, fields, order in directories(data):
+        yield _page(data, fields, order, number)
+
+
+def directories(data: bytes) -> Iterator[tuple[int, dict[int, tuple], str]]:
+    """(number, fields, byte order) of every image directory."""
     if data[:2] not in (b"II", b"MM"):
         raise ValueError("no TIFF byte order mark")
     order = "<" if data[:2] == b"II" else ">"
@@ -200,7 +213,7 @@ def pages(data: bytes) -> Iterator[Page]:
             raise ValueError("image directories form a loop")
         seen.add(at)
         fields, following = _fields(data, at, order, version == 43)
-        yield _page(data, fields, order, len(seen) - 1)
+        yield len(seen) - 1, fields, order
         at = following
 
 
@@ -288,24 +301,45 @@ PAGE_SCHEMA = (
 def read_pages(files: DataFrame, id_col: str, file_col: str) -> DataFrame:
     """(id, page, width, height, samples, compression, predictor, tiled, bits, pixels, error): one row per page.
 
-    pixels: the decoded samples, row by row, little-endian.
+    pixels: the decoded samples, row by row, little-endian. A page that cannot be decoded has its number and an
+    error, and the next ones follow; a file whose directories cannot be walked on has a row with page -1 at that place.
+    Rows of a file stand together, in the order of its pages.
     """
 
     def run(batches):
         for batch in batches:
-            for key, data in zip(batch.column(0), batch.column(1)):
+            rows, size = [], 0
+            for i, data in enumerate(batch.column(1)):
                 for row in decoded(data.as_py() or b""):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key.as_py()], batch.column(0).type), *(pa.array([v], t) for v, t in zip(row, kinds))], names=names
-                    )
+                    rows.append((i, *row))
+                    size += len(row[8] or b"")
+                    if size > BATCH_BYTES:
+                        yield made(batch, rows)
+                        rows, size = [], 0
+            yield made(batch, rows)
+
+    def made(batch, rows):
+        columns = list(zip(*rows)) or [()] * 11
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(v, t) for v, t in zip(columns[1:], kinds))], names=names
+        )
 
     def decoded(data: bytes):
-        try:
-            for p in pages(data) if data else ():
+        walk = directories(data) if data else iter(())
+        while True:
+            try:
+                number, fields, order = next(walk)
+            except StopIteration:
+                return
+            except BROKEN as e:
+                yield -1, *[None] * 8, f"{type(e).__name__}: {e}"
+                return
+            try:
+                p = _page(data, fields, order, number)
                 plain = p.samples.astype(p.samples.dtype.newbyteorder("<"), copy=False)
                 yield p.number, p.width, p.height, plain.shape[2], p.compression, p.predictor, p.tiled, plain.dtype.itemsize * 8, plain.tobytes(), None
-        except (ValueError, KeyError, TypeError, struct.error, zlib.error) as e:
-            yield -1, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+            except BROKEN as e:
+                yield number, *[None] * 8, f"{type(e).__name__}: {e}"
 
     kinds = [*[pa.int32()] * 6, pa.bool_(), pa.int32(), pa.binary(), pa.string()]
     names = [id_col, *(c.split()[0] for c in PAGE_SCHEMA.split(", "))]
@@ -313,14 +347,26 @@ def read_pages(files: DataFrame, id_col: str, file_col: str) -> DataFrame:
     return files.select(id_col, F.col(file_col).cast("binary")).mapInArrow(run, f"`{id_col}` {key}, {PAGE_SCHEMA}")
 
 
-#: Samples in a row of a stored text, and rows in a strip.
-ROW, STRIP = 64, 256
+#: Samples in a row of a stored text.
+ROW = 64
 
 
 def store_text(text: bytes) -> bytes:
-    """A text as the 8-bit samples of a one-page TIFF, padded with zeros to whole rows."""
+    """A text as the 8-bit samples of a TIFF, padded with zeros to whole rows.
+
+    A digest of the text picks one of up to three pages, strips or tiles, a predictor or
+    none, and the compression: of 16 texts one has PackBits, one LZW, one none, the others deflate.
+    """
     payload = text + b"\0" * (max(ROW, -(-len(text) // ROW) * ROW) - len(text))
-    return encode([np.frombuffer(payload, np.uint8).reshape(-1, ROW)], DEFLATE, 2, STRIP)
+    rows, by = np.frombuffer(payload, np.uint8).reshape(-1, ROW), hashlib.sha256(text).digest()
+    images = np.array_split(rows, min(1 + by[0] % 3, len(rows)))
+    compression = {0: PACKBITS, 1: LZW, 2: PLAIN}.get(by[1] % 16, DEFLATE)
+    return encode(images, compression, 1 + by[2] % 2, 256, ROW * (by[3] % 2))
+
+
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, file): each text and the TIFF that holds it."""
+    return per_row(texts(docs, id_col, text_col), "n_bytes long, file binary", lambda: lambda t: (len(t), store_text(t)))
 
 
 def feature(samples: np.ndarray) -> str:

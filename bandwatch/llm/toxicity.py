@@ -222,9 +222,10 @@ class Lexicon:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     """A tagger from at most ``TOXIC`` and ``OTHER`` labelled rows of each kind for which ``train`` holds."""
     tagger, parts = Tagger(), {}
+    lowest = labels.groupBy("doc_id").agg(F.min(label_col).alias(label_col))  # of labels that contradict each other
     for label, size in ((1, TOXIC), (0, OTHER)):
-        rows = sample_of(docs, labels.where(F.col(label_col) == label), label_col, train, size, id_col, text_col)
-        rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").distinct().limit(size)
+        rows = sample_of(docs, lowest.where(F.col(label_col) == label), label_col, train, size, id_col, text_col)
+        rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(size)
         parts[label] = sorted({t.encode() for t in rows.toArrow()["text"].to_pylist()})
     return train_on(tagger, parts)
 

@@ -63,9 +63,9 @@ def slots(address: Column) -> Column:
     marked = F.concat(F.lit("^"), address, F.lit("$"))
 
     def hashed(i: Column) -> Column:
-        a, b, c, d = (F.ascii(F.substr(marked, i + k, F.lit(1))) for k in range(4))
+        a, b, c, d = (F.ascii(F.substr(marked, i + k, F.lit(1))).cast("long") for k in range(4))  # code points: products need longs
         three = a * 7919 + b * 331 + c * 17
-        return F.array(F.pmod(three, F.lit(SLOTS)), F.pmod(three + d * 5003 + 1009, F.lit(SLOTS)))
+        return F.array(*[F.pmod(x, F.lit(SLOTS)).cast("int") for x in (three, three + d * 5003 + 1009)])
 
     begins = F.sequence(F.lit(1), F.greatest(F.length(marked) - 2, F.lit(1)))
     return F.array_distinct(F.flatten(F.transform(begins, hashed)))
