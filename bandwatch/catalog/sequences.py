@@ -111,8 +111,8 @@ WITH b AS (SELECT session_id, acq_id, start_us // 500000 AS bucket, bin // 16 AS
   FROM tile, binof GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY session_id, acq_id, col ORDER BY bucket) AS i FROM b),
 y AS (SELECT a.session_id, a.acq_id, a.col, a.bucket, a.i,
-    sum(0.4::DOUBLE * p.value * power(0.6::DOUBLE, a.i - p.i)) + -180.0::DOUBLE * power(0.6::DOUBLE, least(max(a.i), 64)) AS y
-  FROM n a JOIN n p ON a.session_id = p.session_id AND a.acq_id = p.acq_id AND a.col = p.col AND p.i <= a.i AND p.i > a.i - 64 GROUP BY ALL)
+    sum(0.4::DOUBLE * p.value * power(0.6::DOUBLE, a.i - p.i)) + -180.0::DOUBLE * power(0.6::DOUBLE, max(a.i)) AS y
+  FROM n a JOIN n p ON a.session_id = p.session_id AND a.acq_id = p.acq_id AND a.col = p.col AND p.i <= a.i GROUP BY ALL)
 SELECT session_id, acq_id, col AS "column", bucket, {r6("y")} AS smoothed FROM y""",
 )
 def wn9(t: Testbed) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwatch.functions.power import ratio
+from bandwatch.operators.ordered import affine_scan
 
 SMOOTHING = 0.4
-SMOOTHING_DEPTH = 63
 FLOOR_DBFS = -180.0
 
 
@@ -81,15 +81,8 @@ def ranges_to_columns(ranges: DataFrame, lower: Column, upper: Column, columns:
 
 
 def smoothed(peaks: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Exponential display smoothing ``y = 0.4 x + 0.6 y'`` per column, from a finite history.
+    """Exponential display smoothing ``y = 0.4 x + 0.6 y'`` per column, from the floor level on.
 
-    0.6^64 is below 1e-14, so 64 values decide the result to display precision.
-    The start level counts only where the history is complete. Rows are few:
-    one per display column and update.
+    The whole history counts. Counting the blocks of the scan is a job of its own.
     """
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(-SMOOTHING_DEPTH, 0)
-    keep = 1 - SMOOTHING
-    folded = F.aggregate(
-        F.collect_list("value").over(window), F.lit(FLOOR_DBFS), lambda y, x: SMOOTHING * x + keep * y
-    )
-    return peaks.withColumn("smoothed", folded)
+    return affine_scan(peaks, keys, order, F.lit(1 - SMOOTHING), SMOOTHING * F.col("value"), F.lit(FLOOR_DBFS), "smoothed")

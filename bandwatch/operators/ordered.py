@@ -8,8 +8,11 @@ row per chunk. Results equal the plain window for every chunk length.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +86,101 @@ def group_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts
     ``mark`` must rise with the order, so the label is a running maximum.
     """
     return running_max(df, keys, order, {out: F.when(starts, mark)})
+
+
+def greedy_starts(
+    df: DataFrame, keys: Sequence[str], time: str, begin: str, test: str, limit: Column, out: str, chunk_us: int = CHUNK_US
+) -> DataFrame:
+    """Label rows with the ``begin`` of their segment, cut greedily: a segment ends before the first row
+    whose ``test`` exceeds the segment's own ``begin`` by more than ``limit``.
+
+    ``begin`` and ``test`` (whole numbers) must not fall within ``keys``, in the order of ``time``; ``limit``
+    is one for all rows of a key. Where a segment ends depends on where it began, so cuts cannot be found row
+    by row. But a chunk is a function of the segment that reaches into it: every row knows its next
+    cut by search, hence the segment that is open at the chunk's end if one began at that row.
+    These functions (a row per chunk, entries up to ``limit`` behind the chunk's begin) are applied one after
+    the other; then each chunk is cut on its own. Rows of a chunk are held in memory, sessions are not.
+    """
+    groups = [*keys, CHUNK]
+    rows = chunked(df, time, chunk_us).withColumn("_limit", limit.cast("bigint"))
+    narrow = rows.select(*groups, F.col(begin).alias("_begin"), F.col(test).alias("_test"), "_limit")
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
+    named = ", ".join(f"{k} {kinds[k]}" for k in groups)
+
+    def sorted_columns(table: pa.Table):
+        table = table.sort_by([("_begin", "ascending"), ("_test", "ascending")])
+        return table, table["_begin"].to_numpy(), table["_test"].to_numpy(), table["_limit"][0].as_py()
+
+    def following(begins, tests, limit):
+        return np.maximum(np.arange(len(begins)) + 1, np.searchsorted(tests, begins + limit, "right"))
+
+    def function(table: pa.Table) -> pa.Table:
+        table, begins, tests, limit = sorted_columns(table)
+        after, open_ = following(begins, tests, limit), begins.copy()
+        for i in range(len(begins) - 1, -1, -1):
+            if after[i] < len(begins):
+                open_[i] = open_[after[i]]
+        entries = min(len(begins), int(np.searchsorted(tests, begins[0] + limit, "right")) + 1)
+        made = {"entry": [tests[:entries].tolist()], "open": [open_[:entries].tolist()], "_limit": [limit]}
+        return pa.table({**{k: table[k].slice(0, 1) for k in groups}, **made})
+
+    functions = narrow.groupBy(*groups).applyInArrow(function, f"{named}, entry array<bigint>, open array<bigint>, _limit bigint")
+
+    def carry(batches):
+        key = reached = None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                if key != (own := [row[k] for k in keys]):
+                    key, reached = own, None
+                found.append(reached)
+                if reached is None:
+                    reached = row["open"][0]
+                elif (at := bisect.bisect_right(row["entry"], reached + row["_limit"])) < len(row["entry"]):
+                    reached = row["open"][at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in groups), pa.array(found, pa.int64())], names=[*groups, "_reached"])
+
+    carried = functions.repartition(*keys).sortWithinPartitions(*groups).mapInArrow(carry, f"{named}, _reached bigint")
+
+    def label(table: pa.Table) -> pa.Table:
+        table, begins, tests, limit = sorted_columns(table)
+        after, reached, labels, i = following(begins, tests, limit), table["_reached"][0].as_py(), begins.copy(), 0
+        if reached is not None:
+            i = int(np.searchsorted(tests, reached + limit, "right"))
+            labels[:i] = reached
+        while i < len(begins):
+            labels[i : after[i]] = begins[i]
+            i = int(after[i])
+        return table.drop_columns(["_begin", "_test", "_limit", "_reached"]).append_column(out, pa.array(labels, pa.int64()))
+
+    held = rows.withColumn("_begin", F.col(begin)).withColumn("_test", F.col(test)).join(carried, groups, "left")
+    schema = rows.drop("_limit").withColumn(out, F.lit(0).cast("bigint")).schema
+    return held.groupBy(*groups).applyInArrow(label, schema).drop(CHUNK)
+
+
+def affine_scan(df: DataFrame, keys: Sequence[str], order: str, a: Column, b: Column, start: Column, out: str, block: int = 1024) -> DataFrame:
+    """Add the recurrence y = a * y' + b along ``order``, from ``start``.
+
+    Maps y' -> a y' + b compose to maps of the same kind, so the recurrence is an associative
+    scan: by doubling inside blocks of ``block`` rows, then over the blocks' own maps (one row per block).
+    """
+    numbered = running_sum(chunked(df.withColumn("_order", F.col(order).cast("bigint")), "_order"), keys, [order], F.lit(1), "_place")
+    rows = numbered.withColumn("_block", F.expr(f"(_place - 1) div {block}L")).withColumn("_map", F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+
+    def scanned(d: DataFrame, window, size: int) -> DataFrame:
+        step = 1
+        while step < size:
+            before = F.lag("_map", step).over(window)
+            joined = F.struct((F.col("_map.a") * before["a"]).alias("a"), (F.col("_map.a") * before["b"] + F.col("_map.b")).alias("b"))
+            d = d.withColumn("_map", F.when(before.isNull(), F.col("_map")).otherwise(joined))
+            step *= 2
+        return d
+
+    inside = scanned(rows, Window.partitionBy(*keys, "_block").orderBy("_place"), block)
+    blocks = inside.groupBy(*keys, "_block").agg(F.max_by("_map", "_place").alias("_map"))
+    most = blocks.agg(F.max("_block")).first()[0] or 0
+    whole = scanned(blocks, Window.partitionBy(*keys).orderBy("_block"), most + 1)
+    carried = whole.select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_map").alias("_carried"))
+    reached = F.coalesce(F.col("_carried.a") * start + F.col("_carried.b"), start)
+    joined = inside.join(carried, [*keys, "_block"], "left").withColumn(out, F.col("_map.a") * reached + F.col("_map.b"))
+    return joined.drop("_order", "_place", "_block", "_map", "_carried", CHUNK)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwatch.operators.ordered import (
+    greedy_starts,
     CHUNK,
     CHUNK_US,
     chunked,
@@ -207,9 +208,9 @@ def rebased(local: DataFrame, per_acquisition: DataFrame) -> DataFrame:
 def power_blocks(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUNK_US) -> DataFrame:
     """Shared power of contiguous same-grid tiles, at most one second per block.
 
-    Tiles of a run are equally long (only a run's last tile may be shorter), so
-    the greedy one-second rule is a fixed number of tiles per block, counted
-    from the run's start. Arrays are combined per bin with partial sums.
+    A block takes tiles until the next one would make it longer, whatever the tiles'
+    lengths; a tile that is longer alone is a block. Arrays are combined per bin with
+    partial sums.
     """
     rows = tiles.select(
         "session_id", "acq_id", "tile_id", "first_center_hz", "bin_width_hz", "bin_count", "frame_count",
@@ -240,13 +241,9 @@ def power_blocks(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUN
 
 
 def _block_keys(tiles: DataFrame, max_us: int, chunk_us: int) -> DataFrame:
-    """Run and block of each tile. Long runs stay in chunks: the block is arithmetic on the offset."""
+    """Run and block of each tile; a block's label is its first tile's start."""
     run = with_run_start(tiles, chunk_us)
-    lengths = run.groupBy("session_id", "run_us").agg(F.max(F.col("to_us") - F.col("from_us")).alias("tile_us"))
-    keyed = run.join(lengths, ["session_id", "run_us"])
-    per_block = F.greatest(F.lit(1), F.floor(F.lit(max_us) / F.col("tile_us")))
-    index = F.floor((F.col("from_us") - F.col("run_us")) / F.col("tile_us"))
-    return keyed.withColumn("block", F.floor(index / per_block))
+    return greedy_starts(run, ["session_id", "run_us"], "from_us", "from_us", "to_us", F.lit(max_us), "block", chunk_us)
 
 
 def background(tiles: DataFrame) -> DataFrame:
