@@ -4,7 +4,14 @@ Step 1 finds the components of each tile inside the tile's row, in Spark
 expressions. Step 2 cuts the components of a session into independent pieces:
 a new piece starts after a coverage break, a grid change, or 40 ms without
 activity, separately for the receiver-center guard, whose class never mixes
-with the rest. Step 3 walks each piece in time order, as a stream of batches.
+with the rest. Each piece is cut again into bands of bins that no component
+connects (a track never leaves the bins of its components), and each band at 40 ms
+of its own quiet. So a carrier that is always active keeps no other burst waiting.
+
+Step 3: where a band has one component at a time, each within reach of the one before,
+association has no choice: the components form one chain, which is cut greedily at
+ten seconds and summed, in parallel however long it is. All other bands are walked in
+time order, as a stream of batches that holds the open tracks.
 
 There is no bound on open tracks: a piece holds what was active within 40 ms.
 """
@@ -18,7 +25,7 @@ from pyspark.sql import functions as F
 
 from bandwatch.functions import flags
 from bandwatch.functions.binding import bound
-from bandwatch.operators.ordered import CHUNK, CHUNK_US, chunked, group_start, running_max
+from bandwatch.operators.ordered import CHUNK, CHUNK_US, bands, chunked, greedy_starts, group_start, running_max, with_previous
 from bandwatch.operators.select import GUARD_SLACK_HZ, selected_tiles
 from bandwatch.operators.sequences import with_run_start
 from bandwatch.operators.walk import names_of, typed, walk_groups
@@ -289,7 +296,7 @@ def part_of(row) -> Part:
     )
 
 
-GROUP = ["session_id", "acq_id", "run_us", "center_region", "piece_us"]
+GROUP = ["session_id", "acq_id", "run_us", "center_region", "piece_us", "band", "part_us"]
 
 
 class _Walker:
@@ -340,11 +347,48 @@ def pieces(selected: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
     return group_start(rows, keys, order, fresh, F.col("from_us"), "piece_us").drop(CHUNK, "reach")
 
 
+def parts(rows: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+    """Pieces cut into bands and at each band's own quiet; ``chain`` tells the parts without a choice."""
+    keys, order = GROUP[:-1], ["from_us", "low_bin"]
+    rows = bands(rows, GROUP[:-2], "low_bin", "high_bin", PADDING_BINS + 1, "band")
+    rows = running_max(chunked(rows, "from_us", chunk_us), keys, order, {"reach": F.col("last_us")}, inclusive=False)
+    fresh = F.col("reach").isNull() | (F.col("from_us") - F.col("reach") > QUIET_US)
+    rows = group_start(rows, keys, order, fresh, F.col("from_us"), "part_us").drop("reach")
+    before = F.struct("from_us", "last_us", "lower_hz", "upper_hz")
+    rows = with_previous(rows, GROUP, order, before, "prev").drop(CHUNK)
+    pad, prev = PADDING_BINS * F.col("bin_width_hz") + GUARD_SLACK_HZ, F.col("prev")
+    follows = (
+        (prev["from_us"] < F.col("from_us")) & (F.col("first_us") - prev["last_us"] <= QUIET_US)
+        & (F.col("lower_hz") <= prev["upper_hz"] + pad) & (F.col("upper_hz") >= prev["lower_hz"] - pad)
+    )
+    rows = written_once(rows.withColumn("follows", prev.isNull() | follows), "parts")
+    chains = rows.groupBy(*GROUP).agg(F.bool_and("follows").alias("chain"))
+    return rows.drop("follows").join(chains, GROUP)
+
+
+def chain_bursts(rows: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+    """Bursts of the chains: cut after ten seconds, summed in partial sums."""
+    test = rows.withColumn("ended_us", F.coalesce(F.col("prev.last_us"), F.col("first_us") - 1) + 1)  # at ten seconds, not beyond
+    narrow = test.select(
+        *GROUP, "from_us", "first_us", "last_us", "ended_us", "lower_hz", "upper_hz", "active_us", "peak_dbfs", "quality", "ambiguous", "run_last_us"
+    )
+    cut = greedy_starts(narrow, GROUP, "from_us", "first_us", "ended_us", F.lit(SEGMENT_US), "burst", chunk_us)
+    summed = cut.groupBy(*GROUP, "burst").agg(
+        F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us"), F.min("lower_hz").alias("lower_hz"), F.max("upper_hz").alias("upper_hz"),
+        F.sum("active_us").alias("active_us"), F.max("peak_dbfs").alias("peak_dbfs"), F.bit_or("quality").cast("int").alias("quality"),
+        F.count("*").cast("int").alias("components"), F.bool_or("ambiguous").alias("ambiguous"), F.max("run_last_us").alias("run_last_us"),
+    )
+    limited = (F.col("end_us") - F.col("start_us") >= SEGMENT_US) | (F.col("run_last_us") - F.col("end_us") <= QUIET_US)
+    return summed.select("session_id", "acq_id", "center_region", *names_of(BURST_COLUMNS)[:-1], limited.alias("limited"))
+
+
 def find_bursts(
     tiles: DataFrame, acquisitions: DataFrame, q: SurveyQuery, chunk_us: int = CHUNK_US
 ) -> DataFrame:
     """Candidate bursts of a selection."""
-    rows = pieces(selected_tiles(tiles, acquisitions, q), chunk_us)
+    rows = parts(pieces(selected_tiles(tiles, acquisitions, q), chunk_us), chunk_us)
     lead = ["session_id", "acq_id", "center_region"]
     schema = f"{typed(rows, lead)}, {BURST_COLUMNS}"
-    return walk_groups(rows, GROUP, ["from_us", "low_bin"], _Walker, schema, [*lead, *names_of(BURST_COLUMNS)])
+    mixed = rows.where(~F.col("chain")).drop("prev", "chain")
+    walked = walk_groups(mixed, GROUP, ["from_us", "low_bin"], _Walker, schema, [*lead, *names_of(BURST_COLUMNS)])
+    return chain_bursts(rows.where("chain"), chunk_us).unionByName(walked)

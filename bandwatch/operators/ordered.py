@@ -184,3 +184,16 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: str, a: Column, b: Co
     reached = F.coalesce(F.col("_carried.a") * start + F.col("_carried.b"), start)
     joined = inside.join(carried, [*keys, "_block"], "left").withColumn(out, F.col("_map.a") * reached + F.col("_map.b"))
     return joined.drop("_order", "_place", "_block", "_map", "_carried", CHUNK)
+
+
+def bands(df: DataFrame, keys: Sequence[str], low: str, high: str, reach: int, out: str) -> DataFrame:
+    """Label rows with the band of bins they lie in: rows of ``keys`` whose bins come within ``reach`` of
+    each other, directly or through others, share a band (its lowest bin).
+
+    Bands are found on one row per key and low bin, so their number is bounded by the grid.
+    """
+    edges = df.groupBy(*keys, low).agg(F.max(high).alias("_high"))
+    along = Window.partitionBy(*keys).orderBy(low)
+    below = F.max("_high").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    starts = edges.withColumn(out, F.when(below.isNull() | (F.col(low) - below > reach), F.col(low)))
+    return df.join(starts.select(*keys, low, F.max(out).over(along).alias(out)), [*keys, low])

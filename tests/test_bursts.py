@@ -110,3 +110,57 @@ def test_run_overflow_keeps_power(spark):
     runs = events.frame_runs(wide).first().runs
     assert len(runs) == 50 and sum(r["sum"] for r in runs) == 400.0
     assert all(r.quality & flags.MERGED and r.quality & flags.TRUNCATED for r in runs)
+
+
+def walked(spark, tiles, q=SurveyQuery()):
+    """The sequential association alone: each piece walked whole, not cut into bands or chains."""
+    t = Fixture(spark, tiles, center=CENTER)
+    rows = bursts.pieces(bursts.selected_tiles(t.tiles, t.acquisitions, q)).orderBy("from_us", "low_bin").toPandas()
+    out = []
+    for _, piece in rows.groupby(bursts.GROUP[:-2]):
+        walker = bursts._Walker((1, 1, 0, False))
+        out += [r for row in piece.itertuples(index=False) for r in walker.row(row)] + walker.close()
+    return sorted(r[3:] for r in out)
+
+
+def same(got, want):
+    assert sorted(tuple(r)[3:] for r in got) == want
+
+
+def test_bands_and_chains_equal_the_sequential_walk(spark):
+    """A carrier that never stops, for more than ten seconds, beside bursts that sweep, split, merge and stop."""
+    tiles = []
+    for i in range(530):
+        frames = [[20, 21] if i != 300 else [19, 20, 21] for _ in range(80)]
+        for f in range(80):
+            if i % 9 < 5:
+                frames[f] = [*frames[f], 40 + i % 9]
+            if i % 23 in (3, 4, 5):
+                frames[f] = [*frames[f], *([90, 91, 100, 101] if i % 23 == 4 else range(90, 102))]
+            if i % 31 in (1, 2):
+                frames[f] = [*frames[f], 120 if f < 40 else 126]
+        tiles.append(at(i, [sorted(x) for x in frames]))
+    t = Fixture(spark, tiles, center=CENTER)
+    rows = bursts.parts(bursts.pieces(bursts.selected_tiles(t.tiles, t.acquisitions, SurveyQuery()))).cache()
+    assert rows.select(*bursts.GROUP[:-2]).distinct().count() < 5 < 100 < rows.select(*bursts.GROUP).distinct().count()
+    assert rows.where("chain").select(*bursts.GROUP).distinct().count() > 50 and not rows.where("not chain").isEmpty()
+    carrier = rows.where("low_bin in (19, 20)").select("chain", *bursts.GROUP).distinct().collect()
+    assert len(carrier) == 1 and carrier[0]["chain"]
+    want = walked(spark, tiles)
+    for chunk_us in (3_000_000,):
+        same(grouped(spark, tiles, chunk_us=chunk_us), want)
+    assert sum(w[-1] and w[0] < 11_000_000 for w in want) >= 1 and any(w[-2] for w in want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_bursts_equal_the_sequential_walk(spark, seed):
+    import random
+
+    rng, tiles, on = random.Random(seed), [], {}
+    for i in range(120):
+        for b in (5, 8, 12, 30, 34, 70, 100, 104, 108):
+            on[b] = on.get(b, False) ^ (rng.random() < 0.25)
+        frames = [sorted({b + (rng.random() < 0.2) for b in on if on[b] and rng.random() < 0.7}) for _ in range(8)]
+        if rng.random() > 0.05:
+            tiles.append(tile(i, frames, 128, frame_us=2500))
+    same(grouped(spark, tiles, chunk_us=70_000), walked(spark, tiles))
