@@ -47,8 +47,12 @@ class Voters:
         if not len(rows):
             return
         self.idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + 1
-        x = self.weighted(rows)
-        values, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
+        # In blocks, so that the driver holds no second copy of the sample.
+        x, products = np.empty((len(rows), SLOTS), np.float32), np.zeros((SLOTS, SLOTS))
+        for begin in range(0, len(rows), BLOCK):
+            part = x[begin : begin + BLOCK] = self.weighted(rows[begin : begin + BLOCK])
+            products += part.T.astype(np.float64) @ part
+        values, vectors = np.linalg.eigh(products)
         self.space = np.ascontiguousarray(vectors[:, np.argsort(values)[::-1][: min(rank, len(rows))]].astype(np.float32))
         self.vectors = self.unit(x @ self.space)
 
@@ -97,7 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "qua
     rows = sample_of(docs, labels, label_col, train, size, id_col, text_col)
     made = per_row(rows, "counts binary", lambda: lambda t: (counts(t).astype(np.float32).tobytes(),), carry=2)
     got = made.orderBy("doc_id", "counts").limit(size).toArrow()
-    x = np.frombuffer(b"".join(got["counts"].to_pylist()), np.float32).reshape(-1, SLOTS)
+    x = np.empty((got.num_rows, SLOTS), np.float32)
+    for i, value in enumerate(v for chunk in got["counts"].chunks for v in chunk):
+        x[i] = np.frombuffer(value.as_buffer(), np.float32)
     return Voters(x, got["label"].to_numpy())
 
 
