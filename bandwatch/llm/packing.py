@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from bandwatch.llm.common import byte_values, texts, written
 
-#: Words whose ids a worker remembers: at most so many, of at most so many bytes.
+#: Words whose ids a worker remembers: about so many, and as many used before them, of at most so many bytes.
 KNOWN_WORDS, WORD_BYTES = 1 << 20, 48
 #: Texts encoded at a time.
 STEP = 1024
@@ -51,6 +51,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of_worker(cls, path: str) -> WordEncoder:
@@ -63,9 +64,12 @@ class WordEncoder:
     def encode(self, batch: list[bytes]) -> list[bytes]:
         words = [t.split() for t in batch]
         here = set().union(*words)
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
         missing = list(filterfalse(self.known.__contains__, here))
-        if len(self.known) + len(missing) > KNOWN_WORDS:
-            self.known, missing = {}, list(here)
+        if self.older:
+            self.known.update((w, self.older[w]) for w in filter(self.older.__contains__, missing))
+            missing = list(filterfalse(self.known.__contains__, missing))
         self.known.update(zip(missing, self._plain(missing)))
         ids = self.known.__getitem__
         out = [b"".join(map(ids, ws)) for ws in words]
