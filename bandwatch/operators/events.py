@@ -2,7 +2,12 @@
 
 Runs of adjacent active bins are found inside the frame's row. Frames are then
 cut into pieces at every frame without activity and at every break in the
-samples; pieces are independent and are walked in frame order as a stream.
+samples; pieces into bands of bins that no run connects, and bands at every frame
+without activity of their own. What is left is independent.
+
+Where a band has one run a frame, each touching the one before, connecting has no
+choice: the runs form one chain, which is cut greedily at the segment length and
+summed, in parallel however long it is. Other bands are walked in frame order as a stream.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from bandwatch.functions import flags
 from bandwatch.functions.binding import bound
 from bandwatch.functions.power import MINIMUM_POWER
 from bandwatch.operators.asof import segment_at
-from bandwatch.operators.ordered import CHUNK, CHUNK_US, chunked, group_start, with_previous
+from bandwatch.operators.ordered import CHUNK, CHUNK_US, bands, chunked, greedy_starts, group_start, with_previous
 from bandwatch.operators.walk import names_of, typed, walk_groups
 from bandwatch.session import written_once
 
@@ -27,11 +32,11 @@ EVENT_QUALITY = flags.UNCALIBRATED | flags.BACKGROUND_UNCERTAIN
 CENTER_BINS = 2
 
 
-def frame_runs(frames: DataFrame) -> DataFrame:
+def frame_runs(frames: DataFrame, most: int | None = MAX_RUNS) -> DataFrame:
     """Add ``runs`` to frames with ascending active ``bins`` and their linear ``powers``.
 
-    Needs ``bin_count`` and ``clipped``. More than 64 runs are merged in equal
-    groups, so that power and envelope are kept.
+    Needs ``bin_count`` and ``clipped``. More than ``most`` runs are merged in equal
+    groups, so that power and envelope are kept; None merges none.
     """
     def ends_where(bins, step: int, edge):
         numbered = F.transform(bins, lambda b, i: F.struct(b.alias("b"), i.alias("i")))
@@ -65,15 +70,16 @@ def frame_runs(frames: DataFrame) -> DataFrame:
         )
 
     def limited(runs):
-        group = F.ceil(F.size(runs) / MAX_RUNS).cast("int")
+        group = F.ceil(F.size(runs) / most).cast("int")
         groups = F.sequence(F.lit(0), F.ceil(F.size(runs) / group).cast("int") - 1)
         combined = F.transform(groups, lambda g: bound(F.slice(runs, g * group + 1, group), merged))
-        return F.when(F.size(runs) <= MAX_RUNS, runs).otherwise(combined)
+        return F.when(F.size(runs) <= most, runs).otherwise(combined)
 
     def runs(cells):
         bins, powers = cells["bins"], cells["powers"]
         starts, ends = ends_where(bins, -1, F.lit(0)), ends_where(bins, 1, F.size(bins) - 1)
-        return bound(F.zip_with(starts, ends, lambda a, b: run(powers, a, b)), limited)
+        found = F.zip_with(starts, ends, lambda a, b: run(powers, a, b))
+        return found if most is None else bound(found, limited)
 
     cells = F.struct("bins", "powers")
     return frames.where(F.size("bins") > 0).withColumn("runs", bound(cells, runs))
@@ -188,7 +194,7 @@ def runs_of(items) -> list[Run]:
     ]
 
 
-GROUP = ["session_id", "run_sample", "piece"]
+GROUP = ["session_id", "run_sample", "piece", "band", "part"]
 
 
 class _Walker:
@@ -210,7 +216,7 @@ class _Walker:
         return [(self.session, *event_tuple(e)) for e in done]
 
 
-def event_pieces(frames: DataFrame, chunk_samples: int = 1 << 30) -> DataFrame:
+def event_pieces(frames: DataFrame, chunk_samples: int = 1 << 30, most: int | None = None) -> DataFrame:
     """Frames with activity, labelled with their contiguous run and independent piece.
 
     ``frames`` has session_id, first_sample, frame_samples, segment_samples,
@@ -219,7 +225,7 @@ def event_pieces(frames: DataFrame, chunk_samples: int = 1 << 30) -> DataFrame:
     """
     keys, order = ["session_id"], ["first_sample"]
     # Scanned several times below, so the runs are written once.
-    narrow = written_once(frame_runs_or_quiet(frames), "frame-runs")
+    narrow = written_once(frame_runs_or_quiet(frames, most), "frame-runs")
     rows = chunked(narrow, "first_sample", chunk_samples)
     before = F.struct((F.col("first_sample") + F.col("frame_samples")).alias("end"), F.col("active").alias("active"))
     rows = with_previous(rows, keys, order, before, "prev")
@@ -237,19 +243,54 @@ def event_pieces(frames: DataFrame, chunk_samples: int = 1 << 30) -> DataFrame:
     )
 
 
-def frame_runs_or_quiet(frames: DataFrame) -> DataFrame:
+def frame_runs_or_quiet(frames: DataFrame, most: int | None = None) -> DataFrame:
     """Runs per frame; quiet frames stay, so that quiet and missing can be told apart."""
     keep = ["session_id", "first_sample", "frame_samples", "segment_samples"]
-    active = frame_runs(frames).select(*keep, "runs", F.lit(True).alias("active"))
+    active = frame_runs(frames, most).select(*keep, "runs", F.lit(True).alias("active"))
     quiet = frames.where(F.size("bins") == 0).select(*keep, F.lit(False).alias("active"))
     return active.unionByName(quiet, allowMissingColumns=True)
 
 
-def find_events(frames: DataFrame, chunk_samples: int = 1 << 30) -> DataFrame:
-    """Energy events of a table of frames."""
-    rows = event_pieces(frames, chunk_samples)
+def event_parts(pieces: DataFrame, chunk_samples: int = 1 << 30) -> DataFrame:
+    """A row per run, with its band and the part of its band; ``chain`` tells the parts without a choice."""
+    rows = pieces.withColumn("r", F.explode("runs")).select(*[c for c in pieces.columns if c != "runs"], "r.*")
+    rows = bands(rows, GROUP[:3], "low", "high", 1, "band")
+    keys, order = GROUP[:4], ["first_sample", "low"]
+    before = F.struct("first_sample", (F.col("first_sample") + F.col("frame_samples")).alias("end"), "low", "high")
+    rows = with_previous(chunked(rows, "first_sample", chunk_samples), keys, order, before, "prev")
+    prev, same = F.col("prev"), F.col("prev.first_sample") == F.col("first_sample")
+    fresh = prev.isNull() | ~same & (prev["end"] != F.col("first_sample"))
+    rows = group_start(rows, keys, order, fresh, F.col("first_sample"), "part").drop(CHUNK)
+    follows = ~same & (F.col("low") - 1 <= prev["high"]) & (prev["low"] - 1 <= F.col("high"))
+    rows = written_once(rows.withColumn("starts", fresh).withColumn("follows", fresh | follows).drop("prev"), "event-parts")
+    chains = rows.groupBy(*GROUP).agg(F.bool_and("follows").alias("chain"))
+    return rows.drop("follows").join(chains, GROUP)
+
+
+def chain_events(rows: DataFrame, chunk_samples: int = 1 << 30) -> DataFrame:
+    """Events of the chains: cut at the segment length, summed in partial sums."""
+    narrow = rows.withColumn("after", F.when(F.col("starts"), F.col("first_sample")).otherwise(F.col("first_sample") + 1))  # at the length, not beyond
+    cut = greedy_starts(narrow, GROUP, "first_sample", "first_sample", "after", F.col("segment_samples"), "event", chunk_samples)
+    summed = cut.groupBy(*GROUP, "event").agg(
+        F.min("first_sample").alias("first_sample"), F.max(F.col("first_sample") + F.col("frame_samples")).alias("end_sample"),
+        F.min("low").cast("int").alias("low_bin"), F.max("high").cast("int").alias("high_bin"), F.sum("sum").alias("power_sum"), F.max("peak").alias("peak"),
+        F.sum("count").alias("cells"), F.bit_or("quality").alias("quality"), F.max("segment_samples").alias("segment"),
+        F.bool_or("starts").alias("starts"), F.bool_or("last_of_run").alias("ends"),
+    )
+    cut_off = (F.col("end_sample") - F.col("first_sample") >= F.col("segment")) | F.col("ends") | ~F.col("starts")
+    quality = F.col("quality").bitwiseOR(F.lit(EVENT_QUALITY)).bitwiseOR(flags.flag(cut_off, flags.TRUNCATED)).cast("int")
+    return summed.withColumn("quality", quality).select("session_id", *names_of(EVENT_COLUMNS))
+
+
+def find_events(frames: DataFrame, chunk_samples: int = 1 << 30, most: int | None = None) -> DataFrame:
+    """Energy events of a table of frames; ``most`` merges the runs of a frame beyond that number."""
+    rows = event_parts(event_pieces(frames, chunk_samples, most), chunk_samples)
     schema = f"{typed(rows, ['session_id'])}, {EVENT_COLUMNS}"
-    return walk_groups(rows, GROUP, ["first_sample"], _Walker, schema, ["session_id", *names_of(EVENT_COLUMNS)])
+    frame = ["first_sample", "frame_samples", "segment_samples", "last_of_run"]
+    runs = F.sort_array(F.collect_list(F.struct("low", "high", "sum", "peak", "count", "quality"))).alias("runs")
+    mixed = rows.where(~F.col("chain")).groupBy(*GROUP, *frame).agg(runs)
+    walked = walk_groups(mixed, GROUP, ["first_sample"], _Walker, schema, ["session_id", *names_of(EVENT_COLUMNS)])
+    return chain_events(rows.where("chain"), chunk_samples).unionByName(walked)
 
 
 def event_levels(events: DataFrame) -> DataFrame:

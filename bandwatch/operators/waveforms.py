@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwatch.operators.ordered import CHUNK, chunked, group_start, running_max
+from bandwatch.operators.ordered import CHUNK, bands, chunked, group_start, running_max
 from bandwatch.operators.walk import names_of, typed, walk_groups
 
 TOLERANCE_FACTOR = 2.0
 
 
-@dataclass
+@dataclass(eq=False)
 class Observation:
     best: tuple
     score: float
@@ -28,7 +29,7 @@ OBSERVATION_COLUMNS = (
     "center_hz double, delimiter_sample double, up_match double, down_match double, subbands int, found int, "
     "ambiguous boolean"
 )
-GROUP = ["session_id", "bandwidth_hz", "spreading_factor", "piece"]
+GROUP = ["session_id", "bandwidth_hz", "spreading_factor", "piece", "band", "part"]
 
 
 class _Associator:
@@ -36,12 +37,28 @@ class _Associator:
 
     A finding joins an observation only if exactly one fits: a new subband,
     centers and delimiters of all members within the tolerances. If several
-    fit, it becomes an observation of its own, marked ambiguous.
+    fit, it becomes an observation of its own, marked ambiguous. Observations are
+    filed in cells of time and center, by their least values: those that may fit
+    lie within a tolerance of the finding, so only few cells are looked at.
     """
 
     def __init__(self, key: tuple) -> None:
         self.key, self.known = key[:3], []
+        self.cells: dict[tuple[int, int], list[Observation]] = {}
         self.frequency_tolerance = TOLERANCE_FACTOR * float(key[1]) / 2 ** int(key[2])
+        self.time_cell = None
+
+    def _cell(self, o: Observation) -> tuple[int, int]:
+        return math.floor(o.times[0] / self.time_cell), math.floor(o.centers[0] / self.frequency_tolerance)
+
+    def _near(self, c: float, t: float, time_tolerance: float):
+        def around(value: float, tolerance: float, size: float) -> range:
+            tolerance *= 1 + 1e-9  # rounding leaves none out
+            return range(math.floor((value - tolerance) / size), math.floor((value + tolerance) / size) + 1)
+
+        for i in around(t, time_tolerance, self.time_cell):
+            for j in around(c, self.frequency_tolerance, self.frequency_tolerance):
+                yield from self.cells.get((i, j), ())
 
     def _fits(self, o: Observation, c: float, t: float, band: int, time_tolerance: float) -> bool:
         return (
@@ -53,17 +70,24 @@ class _Associator:
     def row(self, row) -> list[tuple]:
         c, t, band = float(row.center_hz), float(row.delimiter_sample), int(row.subband)
         tolerance = TOLERANCE_FACTOR * float(row.sample_rate) / float(row.bandwidth_hz)
-        fits = [o for o in self.known if self._fits(o, c, t, band, tolerance)]
+        self.time_cell = self.time_cell or tolerance
+        fits = [o for o in self._near(c, t, tolerance) if self._fits(o, c, t, band, tolerance)]
         fit = (c, t, float(row.up_match), float(row.down_match))
         score = min(row.up_match, row.down_match)
         if len(fits) != 1:
-            self.known.append(Observation(fit, score, {band}, [c, c], [t, t], len(fits) > 1))
+            o = Observation(fit, score, {band}, [c, c], [t, t], len(fits) > 1)
+            self.known.append(o)
+            self.cells.setdefault(self._cell(o), []).append(o)
             return []
         o = fits[0]
+        was = self._cell(o)
         o.subbands.add(band)
         o.centers = [min(*o.centers, c), max(*o.centers, c)]
         o.times = [min(*o.times, t), max(*o.times, t)]
         o.found += 1
+        if (now := self._cell(o)) != was:
+            self.cells[was].remove(o)
+            self.cells.setdefault(now, []).append(o)
         if score > o.score:
             o.best, o.score = fit, score
         return []
@@ -76,8 +100,9 @@ def associate_findings(findings: DataFrame, chunk_samples: int = 1 << 30) -> Dat
     """Associate per-subband findings into observations.
 
     Findings with one bandwidth and spreading factor are cut into pieces where
-    the time since all earlier ones exceeds the tolerance, so pieces hold only
-    nearly simultaneous findings.
+    the time since all earlier ones exceeds the tolerance, pieces into bands of
+    centers that lie within the tolerance of each other, and bands again by time: so a
+    part holds only nearly simultaneous findings of one place in the spectrum.
     """
     keys = ["session_id", "bandwidth_hz", "spreading_factor"]
     order = ["delimiter_sample", "seq"]
@@ -85,7 +110,11 @@ def associate_findings(findings: DataFrame, chunk_samples: int = 1 << 30) -> Dat
     rows = running_max(rows, keys, order, {"reach": F.col("delimiter_sample")}, inclusive=False)
     tolerance = TOLERANCE_FACTOR * F.col("sample_rate") / F.col("bandwidth_hz")
     fresh = F.col("reach").isNull() | (F.col("delimiter_sample") - F.col("reach") > tolerance)
-    rows = group_start(rows, keys, order, fresh, F.col("delimiter_sample"), "piece").drop(CHUNK, "reach", "_s")
+    rows = group_start(rows, keys, order, fresh, F.col("delimiter_sample"), "piece").drop(CHUNK, "reach")
+    spread = TOLERANCE_FACTOR * F.col("bandwidth_hz") / F.pow(F.lit(2.0), F.col("spreading_factor"))
+    rows = bands(rows.withColumn("_c", F.floor(F.col("center_hz") / spread)), GROUP[:4], "_c", "_c", 1, "band")
+    rows = running_max(chunked(rows, "_s", chunk_samples), GROUP[:5], order, {"reach": F.col("delimiter_sample")}, inclusive=False)
+    rows = group_start(rows, GROUP[:5], order, fresh, F.col("delimiter_sample"), "part").drop(CHUNK, "reach", "_s", "_c")
     schema = f"{typed(rows, GROUP[:3])}, {OBSERVATION_COLUMNS}"
     return walk_groups(rows, GROUP, ["seq"], _Associator, schema, [*GROUP[:3], *names_of(OBSERVATION_COLUMNS)])
 

@@ -164,3 +164,43 @@ def test_random_bursts_equal_the_sequential_walk(spark, seed):
         if rng.random() > 0.05:
             tiles.append(tile(i, frames, 128, frame_us=2500))
     same(grouped(spark, tiles, chunk_us=70_000), walked(spark, tiles))
+
+
+def connected(spark, rows, segment=80, bins=512):
+    """Events by the cut operator, and by walking every frame's runs in order."""
+    data = spark.createDataFrame(
+        [(1, i * 8, 8, segment, bins, 0, b, [float(x % 7 + 1) for x in b]) for i, b in rows], frames(spark, [(0, [1])]).schema
+    )
+    got = sorted(tuple(r)[1:] for r in events.find_events(data, 200).collect())
+    tracks, want, end = events.EventTracks(8, segment), [], None
+    table = events.frame_runs_or_quiet(data).orderBy("first_sample").collect()
+    for r in table:
+        if end is not None and end != r["first_sample"]:
+            want += tracks.finish(True)
+        if r["active"]:
+            want += tracks.step(r["first_sample"], events.runs_of(r["runs"]))
+        else:
+            want += tracks.finish(False)
+        end = r["first_sample"] + 8
+    return got, sorted(events.event_tuple(e) for e in want + tracks.finish(True)), data
+
+
+def test_event_bands_and_chains_equal_the_sequential_walk(spark):
+    """An activity that never stops beside events that merge, split and stop; breaks in the samples."""
+    import random
+
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        active = {200, 200 + i % 2} | {b for b in range(5, 60) if rng.random() < 0.25} | ({400} if i % 40 < 25 else set())
+        if i % 97 and i not in (150, 151):
+            rows.append((i, sorted(active) if i % 131 else []))
+    got, want, data = connected(spark, rows)
+    assert got == want and len(got) > 100
+    parts = events.event_parts(events.event_pieces(data)).cache()
+    assert parts.select(*events.GROUP[:3]).distinct().count() < 15 < 50 < parts.select(*events.GROUP).distinct().count()
+    assert parts.where("band = 200").select("chain").distinct().collect() == [(True,)] and not parts.where("not chain").isEmpty()
+
+
+def test_many_runs_are_not_merged_by_default(spark):
+    got, want, _ = connected(spark, [(i, list(range(0, 400, 2))) for i in range(12)])
+    assert got == want and len(got) == 400 and {r[2] - r[3] for r in got} == {0}
