@@ -276,7 +276,7 @@ def jn1(t: Testbed) -> DataFrame:
         "session_id", "acq_id", "tile_id", "first_center_hz", "bin_width_hz", "bin_count", "frame_count",
         F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us"),
     )
-    keyed = seq._block_keys(rows, 100_000, CHUNK_US)
+    keyed = seq.block_keys(rows, 100_000, CHUNK_US)
     blocks = (
         keyed.groupBy("session_id", "run_us", "block")
         .agg(F.min("from_us").alias("power_start_us"), F.max("to_us").alias("power_end_us"))
@@ -693,3 +693,97 @@ def wn6_observations(t: Testbed) -> DataFrame:
     obs = occ.observations(t.tiles, t.acquisitions, t.coverage_gaps, OBS)
     d = seq.observation_tracks(obs, 750_000)
     return d.select("session_id", "bucket", "segment", F.col("fix.latitude").alias("latitude"), F.col("fix.longitude").alias("longitude"))
+
+
+# -- compact layout -------------------------------------------------------------------
+
+COMPACT_SQL = f"""
+{RUN_SQL},
+k AS (SELECT *, (start_us - run_us) // 20000 // 50 AS block FROM runs),
+kb AS (SELECT *, min(tile_id) OVER p AS power_id, min(start_us) OVER p AS p0, max(end_us) OVER p AS p1 FROM k WINDOW p AS (PARTITION BY session_id, run_us, block)),
+lv AS (SELECT session_id, power_id, bin, 10.0::DOUBLE * log10(sum(power(10.0::DOUBLE, (-80.0::DOUBLE + 60.0::DOUBLE * v[bin + 1]) / 10)) / count(*)) AS m,
+  max(-70.0::DOUBLE + 60.0::DOUBLE * v[bin + 1]) AS pk FROM kb, binof GROUP BY ALL)"""
+
+
+def compact_of(t: Testbed):
+    """The testbed's tiles in the compact layout, written as an archive would hold them."""
+    from bandwatch.operators.compact import compact
+
+    return tuple(written_once(d, name) for d, name in zip(compact(t.tiles, 1_000_000, CHUNK_US), ("compact", "blocks", "fixes")))
+
+
+@query(
+    "q_sc1_compact_tiles",
+    f"""
+WITH {COMPACT_SQL}
+SELECT kb.session_id, tile_id, power_id, p0 / 1e6 AS power_start_s, p1 / 1e6 AS power_end_s, {r6("m")} AS first_mean_dbfs, {r6("pk")} AS first_peak_dbfs,
+  CAST(quality | 512 AS INTEGER) AS quality, start_lat, end_lat FROM kb JOIN lv USING (session_id, power_id) WHERE bin = 0""",
+)
+def sc1_compact(t: Testbed) -> DataFrame:
+    """A compact archive read back: block, levels and fixes of each tile."""
+    from bandwatch.operators.compact import expand
+
+    d = expand(*compact_of(t))
+    return d.select(
+        "session_id", "tile_id", "power_id", s("power_start"), s("power_end"),
+        F.floor(F.get("mean_dbfs", F.lit(0)) * 1e6 + 0.5).cast("double").__truediv__(1e6).alias("first_mean_dbfs"),
+        F.floor(F.get("peak_dbfs", F.lit(0)) * 1e6 + 0.5).cast("double").__truediv__(1e6).alias("first_peak_dbfs"),
+        F.col("quality").cast("int").alias("quality"), F.col("fix_start.latitude").alias("start_lat"), F.col("fix_end.latitude").alias("end_lat"),
+    )
+
+
+@query(
+    "q_jn1_three_references",
+    f"""
+WITH {COMPACT_SQL}
+SELECT session_id, tile_id, power_id % 3 <> 0 AS has_power, start_lat IS NOT NULL AS has_start_fix, end_lat IS NOT NULL AS has_end_fix FROM kb""",
+)
+def jn1_three(t: Testbed) -> DataFrame:
+    """Tiles keep their place where every third block is missing."""
+    from bandwatch.operators.compact import expand
+
+    tiles, blocks, fixes = compact_of(t)
+    d = expand(tiles, blocks.where("power_id % 3 <> 0"), fixes)
+    return d.select(
+        "session_id", "tile_id", F.col("mean_dbfs").isNotNull().alias("has_power"), F.col("fix_start").isNotNull().alias("has_start_fix"),
+        F.col("fix_end").isNotNull().alias("has_end_fix"),
+    )
+
+
+@query(
+    "q_dq2_dangling_references",
+    f"""
+WITH {COMPACT_SQL}
+SELECT session_id, 'power_id' AS reference, CAST(power_id AS VARCHAR) AS "key", count(*) AS uses FROM kb WHERE power_id % 3 = 0 GROUP BY ALL""",
+)
+def dq2_dangling(t: Testbed) -> DataFrame:
+    """References of compact tiles to blocks and fixes that are not there; every third block was taken away."""
+    from bandwatch.operators.compact import dangling
+
+    tiles, blocks, fixes = compact_of(t)
+    return dangling(tiles, blocks.where("power_id % 3 <> 0"), fixes)
+
+
+@query(
+    "q_jn6_reference_audit",
+    """
+SELECT session_id, 'reception lane' AS reference, lane_label AS "key", count(*) AS uses FROM rec WHERE lane_label = 'lane 3' GROUP BY ALL
+UNION ALL SELECT session_id, 'waveform acquisition', CAST(delimiter_us // 5000000 + 1 AS VARCHAR), count(*) FROM wave w
+  WHERE NOT EXISTS (SELECT 1 FROM acqs a WHERE a.session_id = w.session_id AND a.acq_id = delimiter_us // 5000000 + 1) GROUP BY ALL
+UNION ALL SELECT session_id, 'gap band', CAST(subband AS VARCHAR), count(*) FROM dgap g
+  WHERE NOT EXISTS (SELECT 1 FROM dband b WHERE b.session_id = g.session_id AND b.subband = g.subband) GROUP BY ALL
+UNION ALL SELECT session_id, 'reception tile', CAST(elapsed_us // 20000 + 1 AS VARCHAR), count(*) FROM rec r
+  WHERE NOT EXISTS (SELECT 1 FROM tile t WHERE t.session_id = r.session_id AND t.tile_id = r.elapsed_us // 20000 + 1) GROUP BY ALL""",
+)
+def jn6_audit(t: Testbed) -> DataFrame:
+    """All references of a survey in one shuffle: lanes (one is not configured), acquisitions, bands, tiles."""
+    from bandwatch.operators.compact import orphans
+
+    lanes = t.receptions.select("session_id", "lane_label").distinct().where("lane_label <> 'lane 3'")
+    segment, tile = F.expr("delimiter_us div 5000000") + 1, F.expr("elapsed_us div 20000") + 1
+    return orphans({
+        "reception lane": (t.receptions, F.col("lane_label"), lanes, F.col("lane_label")),
+        "waveform acquisition": (t.waveforms, segment, t.acquisitions, F.col("acq_id")),
+        "gap band": (t.discovery_gaps, F.col("subband"), t.discovery_bands, F.col("subband")),
+        "reception tile": (t.receptions, tile, t.tiles, F.col("tile_id")),
+    })

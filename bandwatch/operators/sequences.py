@@ -216,7 +216,7 @@ def power_blocks(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUN
         "session_id", "acq_id", "tile_id", "first_center_hz", "bin_width_hz", "bin_count", "frame_count",
         F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us"), "mean_dbfs", "peak_dbfs",
     )
-    keyed = _block_keys(rows.drop("mean_dbfs", "peak_dbfs"), max_us, chunk_us)
+    keyed = block_keys(rows.drop("mean_dbfs", "peak_dbfs"), max_us, chunk_us)
     extent = keyed.groupBy("session_id", "acq_id", "run_us", "block").agg(
         F.min("from_us").alias("power_start_us"),
         F.max("to_us").alias("power_end_us"),
@@ -240,7 +240,7 @@ def power_blocks(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUN
     )
 
 
-def _block_keys(tiles: DataFrame, max_us: int, chunk_us: int) -> DataFrame:
+def block_keys(tiles: DataFrame, max_us: int, chunk_us: int) -> DataFrame:
     """Run and block of each tile; a block's label is its first tile's start."""
     run = with_run_start(tiles, chunk_us)
     return greedy_starts(run, ["session_id", "run_us"], "from_us", "from_us", "to_us", F.lit(max_us), "block", chunk_us)

@@ -47,6 +47,16 @@ TABLES: dict[str, str] = {
     "sentence string",
     "discovery_bands": "session_id bigint, acq_id bigint, subband int, center_hz double, processed_samples bigint, "
     "abandoned_samples bigint, gap_samples bigint, candidate_limit_hits bigint, track_limit_hits bigint",
+    # The compact layout: tiles that refer to power blocks and fixes, see operators/compact.py.
+    "compact_tiles": "session_id bigint, acq_id bigint, tile_id bigint, first_sample bigint, end_sample bigint, "
+    "start_us bigint, end_us bigint, utc_start_us bigint, utc_end_us bigint, first_center_hz double, "
+    "bin_width_hz double, fft_size int, frame_count int, bin_count int, background_dbfs double, clipped bigint, "
+    "quality int, activity array<array<int>>, power_id bigint, start_fix bigint, end_fix bigint",
+    "power_blocks": "session_id bigint, power_id bigint, first_center_hz double, bin_width_hz double, fft_size int, "
+    "bin_count int, first_sample bigint, end_sample bigint, start_us bigint, end_us bigint, utc_start_us bigint, "
+    "utc_end_us bigint, frame_count bigint, mean_dbfs array<double>, peak_dbfs array<double>",
+    "fixes": "session_id bigint, fix_id bigint, latitude double, longitude double, altitude_m double, manual boolean, "
+    "utc_us bigint, monotonic_us bigint, source string, hdop double, satellites int",
     "discovery_gaps": "session_id bigint, gap_id bigint, first_input_sample bigint, end_input_sample bigint, "
     "subband int, reason string",
 }

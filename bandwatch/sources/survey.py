@@ -29,6 +29,12 @@ class Survey:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
 
+    def compact_tiles_expanded(self) -> DataFrame:
+        """The tiles of a compact archive in the columns of the detailed layout."""
+        from bandwatch.operators.compact import expand
+
+        return expand(self.compact_tiles, self.power_blocks, self.fixes)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
