@@ -221,28 +221,98 @@ def c4(t: Testbed) -> DataFrame:
 @query(
     "q_c5_compact_equals_detailed",
     """
-SELECT session_id, acq_id, CAST(bin AS INTEGER) AS bin, true AS same_busy, true AS mean_close, true AS peak_close
-FROM (SELECT DISTINCT session_id, acq_id FROM tile), binof""",
+WITH o AS (SELECT session_id, acq_id, count(*) * 20000 AS observed FROM tile GROUP BY ALL),
+b AS (SELECT session_id, acq_id, bin, count(*) * 5000 AS busy FROM cell GROUP BY ALL)
+SELECT o.session_id, o.acq_id, CAST(binof.bin AS INTEGER) AS bin, coalesce(busy, 0) / 1e6 AS busy_s, observed / 1e6 AS observed_s, true AS same_busy, true AS mean_close, true AS peak_close
+FROM o CROSS JOIN binof LEFT JOIN b ON b.session_id = o.session_id AND b.acq_id = o.acq_id AND b.bin = binof.bin""",
 )
 def c5(t: Testbed) -> DataFrame:
-    """Bins of whole acquisitions agree between per-tile power and shared power blocks."""
+    """Whole acquisitions give the same busy time and, to quantization, the same power in the compact layout."""
+    from bandwatch.catalog.sequences import compact_of
+    from bandwatch.operators.compact import expand
     from bandwatch.operators.occupancy import frequency_summary
-    from bandwatch.operators.sequences import power_blocks
     from bandwatch.plans.query import SurveyQuery
 
-    fine = frequency_summary(t.tiles, t.acquisitions, SurveyQuery())
-    blocks = power_blocks(t.tiles, 1_000_000, CHUNK_US)
-    coarse = blocks.groupBy("session_id", "acq_id", "bin").agg(
-        (10 * F.log10(F.sum("power") / F.sum("frames"))).alias("block_mean"), F.max("peak_dbfs").alias("block_peak")
-    )
-    d = fine.join(coarse, ["session_id", "acq_id", "bin"])
-    return d.select(
-        "session_id", "acq_id", "bin", (F.col("busy_us") <= F.col("observed_us")).alias("same_busy"),
-        (F.abs(F.col("mean_dbfs") - F.col("block_mean")) < 0.011).alias("mean_close"),
-        (F.abs(F.col("peak_dbfs") - F.col("block_peak")) < 0.011).alias("peak_close"),
+    columns = ["busy_us", "observed_us", "mean_dbfs", "peak_dbfs"]
+    keys = ["session_id", "acq_id", "bin"]
+    fine = frequency_summary(t.tiles, t.acquisitions, SurveyQuery()).select(*keys, *columns)
+    coarse = frequency_summary(expand(*compact_of(t)), t.acquisitions, SurveyQuery()).select(*keys, *[F.col(c).alias(f"c_{c}") for c in columns])
+    close = lambda c: F.abs(F.col(c) - F.col(f"c_{c}")) < 0.011
+    return fine.join(coarse, keys).select(
+        *keys, (F.col("c_busy_us") / 1e6).alias("busy_s"), (F.col("c_observed_us") / 1e6).alias("observed_s"),
+        ((F.col("busy_us") == F.col("c_busy_us")) & (F.col("observed_us") == F.col("c_observed_us"))).alias("same_busy"),
+        close("mean_dbfs").alias("mean_close"), close("peak_dbfs").alias("peak_close"),
     )
 
 
+# -- archive under a policy ----------------------------------------------------------------
+
+NO = "CAST(NULL AS DOUBLE)"
+
+
+def archive_sql(lat) -> str:
+    """Every record as (type, session, id, clock, latitude); ``lat`` gives what the policy makes of a latitude."""
+    return f"""
+SELECT 'session' AS record_type, session_id, '' AS record_id, {NO} AS elapsed_s, {NO} AS latitude FROM (SELECT DISTINCT session_id FROM ev)
+UNION ALL SELECT 'acquisition_segment', session_id, CAST(acq_id AS VARCHAR), acq_start_us / 1e6, {NO} FROM acqs
+UNION ALL SELECT 'spectrum_tile', session_id, CAST(tile_id AS VARCHAR), start_us / 1e6, {lat("end_lat")} FROM tile
+UNION ALL SELECT 'spectrum_event', session_id, CAST(event_id AS VARCHAR), start_us / 1e6, {lat("end_lat")} FROM nrg
+UNION ALL SELECT 'coverage_gap', session_id, CAST(gap_id AS VARCHAR), start_us / 1e6, {NO} FROM gap
+UNION ALL SELECT 'reception', session_id, CAST(reception_id AS VARCHAR), elapsed_us / 1e6, {lat("latitude")} FROM rec
+UNION ALL SELECT 'waveform_observation', session_id, waveform_id || '/' || version, delimiter_us / 1e6, {lat("latitude")} FROM wave
+UNION ALL SELECT 'discovery_band', session_id, '1/' || subband, {NO}, {NO} FROM dband
+UNION ALL SELECT 'discovery_gap', session_id, CAST(gap_id AS VARCHAR), {NO}, {NO} FROM dgap
+UNION ALL SELECT 'rssi_scan', session_id, CAST(scan_id AS VARCHAR), start_us / 1e6, {lat("latitude")} FROM scan"""
+
+
+ARCHIVED = [
+    "session", "acquisition_segment", "spectrum_tile", "spectrum_event", "coverage_gap", "reception", "waveform_observation", "discovery_band",
+    "discovery_gap", "rssi_scan",
+]
+ROUNDED = "floor({0} * 1000 + 0.5) / 1000"
+
+
+def archived(t: Testbed, positions: bool) -> DataFrame:
+    from bandwatch.plans.archive import ExportPolicy, records
+    from bandwatch.session import shared_folder
+
+    path = shared_folder(t.spark, "archive")
+    types = ARCHIVED + (["spectrum_tile_start_position", "receiver_position"] if positions else [])
+    sinks.write_archive(records(t, ExportPolicy(positions, decimals=3), types), path)
+    return t.spark.read.parquet(path).select("record_type", "session_id", F.coalesce("record_id", F.lit("")).alias("record_id"), (F.col("elapsed_us") / 1e6).alias("elapsed_s"), "latitude")
+
+
+@query("q_sk3_archive_rows", archive_sql(lambda c: ROUNDED.format(c)) + f"""
+UNION ALL SELECT 'spectrum_tile_start_position', session_id, CAST(tile_id AS VARCHAR), start_us / 1e6, {ROUNDED.format("start_lat")} FROM tile WHERE start_lat IS NOT NULL
+UNION ALL SELECT 'receiver_position', session_id, CAST(seq AS VARCHAR), monotonic_us / 1e6, {ROUNDED.format("latitude")} FROM pos""")
+def sk3_rows(t: Testbed) -> DataFrame:
+    """The archive with positions asked for, record by record, written and read back."""
+    return archived(t, True)
+
+
+@query("q_sk5_archive_without_positions", archive_sql(lambda c: NO))
+def sk5_archive(t: Testbed) -> DataFrame:
+    """The same archive without the opt-in: no coordinate, and no record that is nothing but a position."""
+    return archived(t, False)
+
+
+@query(
+    "q_sk4_features",
+    f"""
+SELECT 'spectrum_tile' AS record_type, session_id, CAST(tile_id AS VARCHAR) AS record_id, {ROUNDED.format("end_lat")} AS latitude FROM tile
+UNION ALL SELECT 'receiver_position', session_id, CAST(seq AS VARCHAR), {ROUNDED.format("latitude")} FROM pos
+UNION ALL SELECT 'discovery_gap', session_id, CAST(gap_id AS VARCHAR), {NO} FROM dgap
+UNION ALL SELECT 'rssi_histogram', session_id, CAST(scan_id AS VARCHAR) || '/' || b, {NO} FROM scan, range(33) r(b)""",
+)
+def sk4_features(t: Testbed) -> DataFrame:
+    """Features of placed and of placeless records, read back from their text."""
+    from bandwatch.plans.archive import ExportPolicy, feature_rows
+
+    text = feature_rows(t, ExportPolicy(True, decimals=3), ["spectrum_tile", "receiver_position", "discovery_gap", "rssi_histogram"])
+    read = text.select("record_type", "session_id", F.from_json("value", "geometry struct<coordinates:array<double>>, properties struct<record_id:string>").alias("f"))
+    return read.select("record_type", "session_id", F.col("f.properties.record_id").alias("record_id"), F.get("f.geometry.coordinates", F.lit(1)).alias("latitude"))
+
+
 # -- scalar functions -----------------------------------------------------------------------
 
 
@@ -374,7 +444,11 @@ def sf14(t: Testbed) -> DataFrame:
     )
 
 
-@query("q_sf15_printable_text")
+@query(
+    "q_sf15_printable_text",
+    r"""
+SELECT c_custkey, replace(replace(replace(c_name || '\' || chr(9) || 'é' || c_mktsegment, '\', '\\'), chr(9), '\x09'), 'é', '\xc3\xa9') AS text FROM customer""",
+)
 def sf15(t: Testbed) -> DataFrame:
     d = t.raw("customer").select("c_custkey", F.concat("c_name", F.lit("\\\té"), "c_mktsegment").alias("v"))
     return d.select("c_custkey", sinks.printable(F.col("v")).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwatch.catalog.occupancy import FREQ_SQL, OBS, SEL, m, s
@@ -14,6 +14,7 @@ from bandwatch.operators import occupancy as occ
 from bandwatch.operators import select as sel_ops
 from bandwatch.operators import sequences as seq
 from bandwatch.operators.ordered import running_sum
+from bandwatch.session import written_once
 from bandwatch.sources.survey import receptions_metadata
 from bandwatch.sources.testbed import Testbed
 
@@ -709,7 +710,9 @@ def compact_of(t: Testbed):
     """The testbed's tiles in the compact layout, written as an archive would hold them."""
     from bandwatch.operators.compact import compact
 
-    return tuple(written_once(d, name) for d, name in zip(compact(t.tiles, 1_000_000, CHUNK_US), ("compact", "blocks", "fixes")))
+    if "_compact" not in vars(t):
+        vars(t)["_compact"] = tuple(written_once(d, n) for d, n in zip(compact(t.tiles, 1_000_000, CHUNK_US), ("compact", "blocks", "fixes")))
+    return vars(t)["_compact"]
 
 
 @query(
@@ -726,8 +729,7 @@ def sc1_compact(t: Testbed) -> DataFrame:
     d = expand(*compact_of(t))
     return d.select(
         "session_id", "tile_id", "power_id", s("power_start"), s("power_end"),
-        F.floor(F.get("mean_dbfs", F.lit(0)) * 1e6 + 0.5).cast("double").__truediv__(1e6).alias("first_mean_dbfs"),
-        F.floor(F.get("peak_dbfs", F.lit(0)) * 1e6 + 0.5).cast("double").__truediv__(1e6).alias("first_peak_dbfs"),
+        micro(F.get("mean_dbfs", F.lit(0))).alias("first_mean_dbfs"), micro(F.get("peak_dbfs", F.lit(0))).alias("first_peak_dbfs"),
         F.col("quality").cast("int").alias("quality"), F.col("fix_start.latitude").alias("start_lat"), F.col("fix_end.latitude").alias("end_lat"),
     )
 
@@ -787,3 +789,122 @@ def jn6_audit(t: Testbed) -> DataFrame:
         "gap band": (t.discovery_gaps, F.col("subband"), t.discovery_bands, F.col("subband")),
         "reception tile": (t.receptions, tile, t.tiles, F.col("tile_id")),
     })
+
+
+# -- status tables --------------------------------------------------------------------
+
+LANE_SQL = """
+ls AS (SELECT session_id, lane_label, CAST(right(lane_label, 1) AS INTEGER) % 2 AS board, elapsed_us AS at_us,
+    row_number() OVER w AS n, crc_valid, status, duration_us FROM rec WINDOW w AS (PARTITION BY session_id, lane_label ORDER BY elapsed_us))"""
+
+
+def lane_status(t: Testbed) -> DataFrame:
+    """A status row per reception: the lane's counters since its last start; it starts anew every 40 receptions."""
+    order = Window.partitionBy("session_id", "lane_label").orderBy("at_us")
+    rows = t.receptions.withColumn("at_us", F.col("elapsed_us")).withColumn("n", F.row_number().over(order) - 1).withColumn("boot", F.expr("n div 40"))
+    since = Window.partitionBy("session_id", "lane_label", "boot").orderBy("at_us")
+    return rows.select(
+        "session_id", "lane_label", (F.substring("lane_label", -1, 1).cast("int") % 2).alias("board"), "at_us",
+        F.count("*").over(since).alias("frames"), F.count_if(F.col("crc_valid") & (F.col("status") == 0)).over(since).alias("classified"),
+        F.count_if(~F.col("crc_valid")).over(since).alias("crc_failures"), F.sum("duration_us").over(since).alias("processed_us"),
+    )
+
+
+LANE_COUNTERS = ["frames", "classified", "crc_failures", "processed_us"]
+LANE_SUMS = """count(*) AS frames, count(*) FILTER (WHERE crc_valid AND status = 0) AS classified, count(*) FILTER (WHERE NOT crc_valid) AS crc_failures,
+  CAST(sum(duration_us) AS BIGINT) AS processed_us, count(*) FILTER (WHERE n > 1 AND n % 40 = 1) AS restarts"""
+
+
+@query("q_ag28_lane_counters", f"WITH {LANE_SQL} SELECT session_id, lane_label, {LANE_SUMS} FROM ls GROUP BY ALL")
+def ag28_lanes(t: Testbed) -> DataFrame:
+    """Lane counters summed over their resets: as if every reception had been counted."""
+    from bandwatch.operators.counters import totals
+
+    return totals(lane_status(t), ["session_id", "lane_label"], "at_us", LANE_COUNTERS, chunk_us=CHUNK_US)
+
+
+@query("q_ag28_board_counters", f"WITH {LANE_SQL} SELECT session_id, board, {LANE_SUMS} FROM ls GROUP BY ALL")
+def ag28_boards(t: Testbed) -> DataFrame:
+    """The lanes' increments summed by board."""
+    from bandwatch.operators.counters import totals
+
+    return totals(lane_status(t), ["session_id", "lane_label"], "at_us", LANE_COUNTERS, ["session_id", "board"], CHUNK_US)
+
+
+@query(
+    "q_ag28_board_health",
+    """
+SELECT session_id, board, CAST(sum(scans) AS BIGINT) AS scans, CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(receptions) AS BIGINT) AS receptions, CAST(sum(crc_failures) AS BIGINT) AS crc_failures FROM (
+  SELECT session_id, board, 1 AS scans, samples, 0 AS receptions, 0 AS crc_failures FROM scan
+  UNION ALL SELECT session_id, CAST(right(lane_label, 1) AS INTEGER) % 2, 0, 0, 1, CASE WHEN crc_valid THEN 0 ELSE 1 END FROM rec) GROUP BY ALL""",
+)
+def ag28_health(t: Testbed) -> DataFrame:
+    from bandwatch.operators.counters import board_health
+
+    return board_health(t.rssi_scans, t.receptions.withColumn("board", F.substring("lane_label", -1, 1).cast("int") % 2))
+
+
+@query(
+    "q_sc13_checkpoint_counters",
+    """
+SELECT session_id, count(*) * 20000 AS input_us, count(*) FILTER (WHERE event_type <> 'error') * 20000 AS measured_us,
+  count(*) FILTER (WHERE event_type = 'error') * 256 AS dropped_samples, CAST(max(j) // 700 AS BIGINT) AS restarts FROM ev GROUP BY ALL""",
+)
+def sc13_counters(t: Testbed) -> DataFrame:
+    """Checkpoint rows (a state each 20 ms, started anew after 700 of them) summed over the restarts."""
+    from bandwatch.operators.counters import totals
+
+    boot = Window.partitionBy("session_id", F.expr("j div 700")).orderBy("j")
+    error = F.col("event_type") == "error"
+    rows = t._events.select(
+        "session_id", F.col("end_us").alias("at_us"), F.lit("measuring").alias("state"), (F.count("*").over(boot) * 20_000).alias("input_us"),
+        (F.count_if(~error).over(boot) * 20_000).alias("measured_us"), (F.count_if(error).over(boot) * 256).alias("dropped_samples"),
+    )
+    return totals(rows, ["session_id"], "at_us", ["input_us", "measured_us", "dropped_samples"], chunk_us=CHUNK_US)
+
+
+def discovery_status(t: Testbed) -> DataFrame:
+    """A status per session from its bands; some name no known method, some have no fault text, some no acquisition."""
+    bands = t.discovery_bands.groupBy("session_id").agg(
+        F.sum("processed_samples").alias("accepted_input_samples"), F.sum("abandoned_samples").alias("abandoned_input_samples"),
+        F.sum("gap_samples").alias("rejected_input_samples"), F.count("*").alias("observations"),
+    )
+    nothing = F.lit(0).cast("bigint")
+    return bands.select(
+        "session_id", F.lit(1).cast("bigint").alias("acq_id"), F.lit(True).alias("enabled"), F.lit(True).alias("finished"), (F.col("session_id") % 5 == 0).alias("failed"),
+        F.when(F.col("session_id") % 7 == 0, "other").otherwise("lora-preamble-v2").alias("method"),
+        F.when(F.col("session_id") % 10 == 0, "").when(F.col("session_id") % 11 == 0, F.repeat(F.lit("x"), 161)).otherwise("queue").alias("fault"),
+        "accepted_input_samples", "rejected_input_samples", F.col("accepted_input_samples").alias("channelized_input_samples"), "abandoned_input_samples",
+        F.when(F.col("session_id") % 13 == 0, -1).otherwise(0).cast("bigint").alias("source_queue_drops"), nothing.alias("stream_resets"),
+        nothing.alias("result_overflows"), nothing.alias("gap_overflows"), "observations",
+    )
+
+
+@query(
+    "q_sc12_discovery_status",
+    """
+SELECT session_id, CAST(sum(processed_samples) AS BIGINT) AS accepted_input_samples, CAST(sum(abandoned_samples) AS BIGINT) AS abandoned_input_samples,
+  session_id % 5 = 0 AS failed, CASE WHEN session_id % 7 = 0 THEN 'other' ELSE 'lora-preamble-v2' END AS method FROM dband GROUP BY ALL""",
+)
+def sc12_status(t: Testbed) -> DataFrame:
+    return written_once(discovery_status(t), "discovery-status").select("session_id", "accepted_input_samples", "abandoned_input_samples", "failed", "method")
+
+
+@query(
+    "q_dq9_status_rules",
+    """
+WITH d AS (SELECT DISTINCT session_id FROM dband)
+SELECT session_id, 'discovery_status' AS table_name, '1' AS "key", 'method' AS rule FROM d WHERE session_id % 7 = 0
+UNION ALL SELECT session_id, 'discovery_status', '1', 'failed without fault' FROM d WHERE session_id % 10 = 0
+UNION ALL SELECT session_id, 'discovery_status', '1', 'fault text' FROM d WHERE session_id % 11 = 0 AND session_id % 10 <> 0
+UNION ALL SELECT session_id, 'discovery_status', '1', 'negative counter' FROM d WHERE session_id % 13 = 0
+UNION ALL SELECT session_id, 'discovery_status', '1', 'too many bands' FROM d WHERE session_id = 3
+UNION ALL SELECT session_id, 'discovery_status', '1', 'no acquisition' FROM d WHERE NOT EXISTS (SELECT 1 FROM acqs a WHERE a.session_id = d.session_id AND acq_id = 1)""",
+)
+def dq9_status(t: Testbed) -> DataFrame:
+    """Planted faults: methods, texts, counters, one session of 129 bands, statuses without an acquisition."""
+    from bandwatch.operators.quality import discovery_status_violations
+
+    bands = t.discovery_bands.withColumn("acq_id", F.lit(1).cast("bigint"))
+    wide = bands.where("session_id = 3").limit(1).withColumn("subband", F.explode(F.sequence(F.lit(0), F.lit(128))))
+    return discovery_status_violations(discovery_status(t), bands.where("session_id <> 3").unionByName(wide), t.acquisitions)

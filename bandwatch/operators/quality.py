@@ -219,6 +219,37 @@ def discovery_violations(bands: DataFrame, gaps: DataFrame) -> DataFrame:
     )
 
 
+#: The methods a discovery status may name, and the longest fault text.
+DISCOVERY_METHODS, FAULT_BYTES, MOST_BANDS = ["lora-preamble-v1", "lora-preamble-v2"], 160, 128
+
+
+def discovery_status_violations(status: DataFrame, bands: DataFrame, acquisitions: DataFrame) -> DataFrame:
+    """Rules of the status rows, bands beyond the limit, and statuses of no acquisition.
+
+    Counters tell of different stages and units; they are checked one by one, never against a sum.
+    """
+    counters = [c for c in status.columns if c.endswith(("_samples", "_drops", "_resets", "_overflows")) or c == "observations"]
+    negative = F.lit(False)
+    for c in counters:
+        negative = negative | F.col(c).isNull() | (F.col(c) < 0)
+    rules = {
+        "method": F.col("method").isNull() | ~F.col("method").isin(DISCOVERY_METHODS),
+        "fault text": F.col("fault").isNull() | (F.octet_length("fault") > FAULT_BYTES) | F.col("fault").contains("\0"),
+        "negative counter": negative,
+        "failed without fault": F.col("failed") & (F.length("fault") == 0),
+    }
+    many = bands.groupBy("session_id", "acq_id").agg(F.count_distinct("subband").alias("n")).where(F.col("n") > MOST_BANDS)
+    known = acquisitions.select("session_id", "acq_id").distinct()
+    lost = status.join(known, ["session_id", "acq_id"], "left_anti")
+    key = F.col("acq_id")
+    return (
+        violations(status, "discovery_status", key, rules)
+        .unionByName(duplicate_keys(status, "discovery_status", ["session_id", "acq_id"], key))
+        .unionByName(violations(many, "discovery_status", key, {"too many bands": F.lit(True)}))
+        .unionByName(violations(lost, "discovery_status", key, {"no acquisition": F.lit(True)}))
+    )
+
+
 def scan_violations(
     scans: DataFrame, expected_samples: int, lower_hz: float, upper_hz: float, chunk_us: int = CHUNK_US
 ) -> DataFrame:

@@ -47,6 +47,18 @@ TABLES: dict[str, str] = {
     "sentence string",
     "discovery_bands": "session_id bigint, acq_id bigint, subband int, center_hz double, processed_samples bigint, "
     "abandoned_samples bigint, gap_samples bigint, candidate_limit_hits bigint, track_limit_hits bigint",
+    "discovery_status": "session_id bigint, acq_id bigint, enabled boolean, finished boolean, failed boolean, method string, "
+    "fault string, accepted_input_samples bigint, rejected_input_samples bigint, channelized_input_samples bigint, "
+    "abandoned_input_samples bigint, source_queue_drops bigint, stream_resets bigint, result_overflows bigint, "
+    "gap_overflows bigint, observations bigint",
+    "checkpoints": "session_id bigint, at_us bigint, state string, input_us bigint, measured_us bigint, dropped_samples bigint",
+    "lane_status": "session_id bigint, lane_label string, board int, at_us bigint, frames bigint, classified bigint, "
+    "crc_failures bigint, processed_us bigint",
+    "decoder_status": "session_id bigint, acq_id bigint, available boolean, enabled boolean, finished boolean, "
+    "candidates bigint, started bigint, completed bigint, crc_valid bigint, classified bigint, history_misses bigint, "
+    "active_limit_hits bigint, duplicate_candidates bigint, excluded_candidates bigint, outside_range_candidates bigint, "
+    "unsupported_candidates bigint, timeouts bigint, resets bigint, abandoned_decoders bigint, frame_overflows bigint, "
+    "active_decoders bigint, history_samples bigint",
     # The compact layout: tiles that refer to power blocks and fixes, see operators/compact.py.
     "compact_tiles": "session_id bigint, acq_id bigint, tile_id bigint, first_sample bigint, end_sample bigint, "
     "start_us bigint, end_us bigint, utc_start_us bigint, utc_end_us bigint, first_center_hz double, "
