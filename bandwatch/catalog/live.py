@@ -11,6 +11,7 @@ from bandwatch.catalog.occupancy import SEL, TIME_SQL, m, s
 from bandwatch.catalog.places import CELL_M, GEO_SQL, SCAN_HI, SCAN_LO, SCAN_Q, SCAN_SQL
 from bandwatch.catalog.prelude import SEL_HI_US, SEL_LO_US, pct, r6
 from bandwatch.catalog.registry import query
+from bandwatch.functions.power import micro
 from bandwatch.operators.occupancy import seconds_columns
 from bandwatch.plans import reports
 from bandwatch.session import shared_folder
@@ -41,11 +42,18 @@ def session_ends(l: Testbed, t: Testbed) -> DataFrame:
 
 @query(
     "q_st1_live_bin_totals",
-    "SELECT session_id, acq_id, CAST(bin AS INTEGER) AS bin, count(*) * 5000 / 1e6 AS active_s, count(*) AS cells FROM cell GROUP BY ALL",
+    f"""
+WITH c AS (SELECT session_id, acq_id, bin, count(*) AS n FROM cell GROUP BY ALL),
+l AS (SELECT session_id, acq_id, bin, count(*) AS tiles, avg(power(10.0::DOUBLE, (-80.0::DOUBLE + 60.0::DOUBLE * v[bin + 1]) / 10)) AS p, max(-70.0::DOUBLE + 60.0::DOUBLE * v[bin + 1]) AS pk
+  FROM tile, binof GROUP BY ALL)
+SELECT l.session_id, l.acq_id, CAST(l.bin AS INTEGER) AS bin, coalesce(n, 0) * 5000 / 1e6 AS active_s, coalesce(n, 0) AS cells, tiles * 20000 / 1e6 AS observed_s,
+  {r6("10.0::DOUBLE * log10(p)")} AS mean_dbfs, {r6("pk")} AS peak_dbfs
+FROM l LEFT JOIN c ON c.session_id = l.session_id AND c.acq_id = l.acq_id AND c.bin = l.bin""",
 )
 def st1(t: Testbed) -> DataFrame:
-    d = jobs.bin_totals(live(t, "events").tiles, t.acquisitions)
-    return jobs.drained(d, ["session_id", "acq_id", "bin"]).select("session_id", "acq_id", "bin", s("active"), "cells")
+    d = jobs.drained(jobs.bin_totals(live(t, "events").tiles, t.acquisitions), ["session_id", "acq_id", "bin"])
+    mean = 10 * F.log10(F.col("energy") / F.col("observed_us"))
+    return d.select("session_id", "acq_id", "bin", s("active"), "cells", s("observed"), micro(mean).alias("mean_dbfs"), micro(F.col("peak_dbfs")).alias("peak_dbfs"))
 
 
 @query(
@@ -189,11 +197,15 @@ def st11(t: Testbed) -> DataFrame:
 
 @query(
     "q_st12_checkpoint_counters",
-    "SELECT session_id, utc_start_us // 1000000 * 1000000 AS second_us, count(*) * 20000 / 1e6 AS measured_s, CAST(sum(clipped) AS BIGINT) AS clipped, count(*) AS tiles FROM tile GROUP BY ALL",
+    """
+SELECT session_id, utc_start_us // 1000000 * 1000000 AS second_us, count(*) * 20000 / 1e6 AS input_s, count(*) FILTER (WHERE event_type <> 'error') * 20000 / 1e6 AS measured_s,
+  count(*) FILTER (WHERE event_type = 'error') * 256 AS dropped_samples, count(*) FILTER (WHERE event_type = 'purchase') * 3 AS clipped, count(*) FILTER (WHERE event_type <> 'error') AS tiles
+FROM ev GROUP BY ALL""",
 )
 def st12(t: Testbed) -> DataFrame:
-    d = jobs.drained(jobs.checkpoint_counters(live(t, "events").tiles), ["session_id", "second_us"])
-    return d.select("session_id", "second_us", s("measured"), "clipped", "tiles")
+    l = live(t, "events")
+    d = jobs.drained(jobs.checkpoint_counters(l.tiles, l.coverage_gaps), ["session_id", "second_us"])
+    return d.select("session_id", "second_us", s("input"), s("measured"), "dropped_samples", "clipped", "tiles")
 
 
 @query(

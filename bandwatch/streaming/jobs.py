@@ -71,11 +71,25 @@ def drained_parts(df: DataFrame, keys: list[str] | None = None) -> tuple[DataFra
 
 
 def bin_totals(tiles: DataFrame, acquisitions: DataFrame) -> DataFrame:
-    """Running busy time per bin."""
-    cells = active_cells(selected_tiles(tiles, acquisitions, SurveyQuery()))
-    return cells.groupBy("session_id", "acq_id", "bin").agg(
-        F.sum(F.col("f1_us") - F.col("f0_us")).alias("active_us"), F.count("*").alias("cells")
-    )
+    """Running totals per bin: busy time, active cells, observed time, energy and peak.
+
+    Active cells and the levels of each tile meet as rows of one aggregation, so there is one
+    state row for each bin of an acquisition: its number is bounded by the grids, not by time.
+    """
+    selected = selected_tiles(tiles, acquisitions, SurveyQuery())
+    keys, no, zero = ["session_id", "acq_id", "bin"], F.lit(None).cast("double"), F.lit(0).cast("bigint")
+    cells = active_cells(selected).select(
+        *[F.col(k) if k != "bin" else F.col(k).cast("int").alias(k) for k in keys], (F.col("f1_us") - F.col("f0_us")).cast("bigint").alias("active_us"),
+        F.lit(1).cast("bigint").alias("cells"), zero.alias("observed_us"), F.lit(0.0).alias("energy"), no.alias("peak_dbfs"),
+    )
+    length = F.col("to_us") - F.col("from_us")
+    levels = selected.select("session_id", "acq_id", length.cast("bigint").alias("d"), F.posexplode(F.arrays_zip("mean_dbfs", "peak_dbfs")).alias("bin", "p"))
+    levels = levels.select(
+        *keys, zero.alias("active_us"), zero.alias("cells"), F.col("d").alias("observed_us"),
+        (F.pow(F.lit(10.0), F.col("p.mean_dbfs") / 10) * F.col("d")).alias("energy"), F.col("p.peak_dbfs").alias("peak_dbfs"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("active_us", "cells", "observed_us", "energy")]
+    return cells.unionByName(levels).groupBy(*keys).agg(*sums, F.max("peak_dbfs").alias("peak_dbfs"))
 
 
 def busy_tiles(tiles: DataFrame, acquisitions: DataFrame) -> DataFrame:
@@ -207,18 +221,21 @@ def latest_readings(scans: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint_counters(tiles: DataFrame, every: str = "1 second", late: str = "5 seconds") -> DataFrame:
-    """Measured and clipped samples per second of UTC."""
-    timed = tiles.withColumn("ts", F.timestamp_micros("utc_start_us")).withWatermark("ts", late)
-    return (
-        timed.groupBy("session_id", F.window("ts", every).alias("w"))
-        .agg(
-            F.sum(F.col("end_us") - F.col("start_us")).alias("measured_us"),
-            F.sum("clipped").alias("clipped"),
-            F.count("*").alias("tiles"),
-        )
-        .select("session_id", F.unix_micros("w.start").alias("second_us"), "measured_us", "clipped", "tiles")
+def checkpoint_counters(tiles: DataFrame, gaps: DataFrame, every: str = "1 second", late: str = "5 seconds") -> DataFrame:
+    """Input, measured and dropped per second of UTC: tiles are measured, gaps are input that was dropped."""
+    length, zero = (F.col("end_us") - F.col("start_us")).cast("bigint"), F.lit(0).cast("bigint")
+    lead = ["session_id", "utc_start_us"]
+    measured = tiles.select(
+        *lead, length.alias("input_us"), length.alias("measured_us"), zero.alias("dropped_samples"), F.col("clipped").cast("bigint").alias("clipped"),
+        F.lit(1).cast("bigint").alias("tiles"),
+    )
+    dropped = gaps.select(
+        *lead, length.alias("input_us"), zero.alias("measured_us"), F.col("missing_samples").cast("bigint").alias("dropped_samples"), zero.alias("clipped"), zero.alias("tiles")
     )
+    timed = measured.unionByName(dropped).withColumn("ts", F.timestamp_micros("utc_start_us")).withWatermark("ts", late)
+    counters = ["input_us", "measured_us", "dropped_samples", "clipped", "tiles"]
+    counted = timed.groupBy("session_id", F.window("ts", every).alias("w")).agg(*[F.sum(c).alias(c) for c in counters])
+    return counted.select("session_id", F.unix_micros("w.start").alias("second_us"), *counters)
 
 
 PARTS = 16

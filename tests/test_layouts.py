@@ -5,7 +5,7 @@ from conftest import Fixture, fix, tile
 from pyspark.sql import functions as F
 
 from bandwatch.operators import compact, counters
-from bandwatch.operators.occupancy import frequency_summary, survey_totals
+from bandwatch.operators.occupancy import frequency_summary, totals
 from bandwatch.plans.archive import REGISTRY, ExportPolicy, feature_rows, records
 from bandwatch.plans.query import SurveyQuery
 
@@ -30,8 +30,8 @@ def test_both_layouts_give_equal_answers(survey):
     for b in range(3):
         assert (fine[b]["busy_us"], fine[b]["observed_us"]) == (coarse[b]["busy_us"], coarse[b]["observed_us"])
         assert fine[b]["mean_dbfs"] == pytest.approx(coarse[b]["mean_dbfs"], abs=0.011) and fine[b]["peak_dbfs"] == coarse[b]["peak_dbfs"]
-    busy = [c for c in survey_totals(survey.tiles, a, survey.coverage_gaps, q).columns if c.endswith("_us")]
-    assert survey_totals(survey.tiles, a, survey.coverage_gaps, q).select(busy).collect() == survey_totals(back, a, survey.coverage_gaps, q).select(busy).collect()
+    busy = [c for c in totals(survey.tiles, a, survey.coverage_gaps, q).columns if c.endswith("_us")]
+    assert totals(survey.tiles, a, survey.coverage_gaps, q).select(busy).collect() == totals(back, a, survey.coverage_gaps, q).select(busy).collect()
     assert compact.dangling(*parts).isEmpty()
     lost = compact.dangling(tiles, blocks.where("power_id <> 1"), fixes.where("false")).collect()
     assert {(r["reference"], r["uses"]) for r in lost if r["reference"] == "power_id"} == {("power_id", 4)}
