@@ -181,7 +181,32 @@ def ev5(t: Testbed) -> DataFrame:
 # -- waveforms -----------------------------------------------------------------------
 
 
-@query("q_wf1_associated_findings")
+# One step of the association per finding of a moment (moments lie far beyond the tolerance): the state is the list of observations.
+FITS = """list_filter(range(1, len(obs) + 1), lambda i: NOT list_contains(obs[i].bands, band)
+    AND greatest(obs[i].c1, c) - least(obs[i].c0, c) <= 2.0::DOUBLE * bw / power(2, sf) AND greatest(obs[i].t1, t) - least(obs[i].t0, t) <= 2.0::DOUBLE * 2000000 / bw)"""
+WF1_SQL = f"""
+WITH RECURSIVE fnd AS (
+  SELECT o_orderkey // 5000 AS session_id, o_orderkey // 4 AS g, CASE o_orderkey // 4 % 3 WHEN 0 THEN 125000 WHEN 1 THEN 250000 ELSE 62500 END AS bw,
+    CAST(7 + o_orderkey // 4 % 6 AS INTEGER) AS sf, 906000000.0::DOUBLE + o_orderkey // 4 % 50 * 100000 + o_custkey % 8 * 100.0::DOUBLE AS c,
+    o_orderkey // 4 * 20000 + o_custkey % 5 * 8.0::DOUBLE AS t, CAST(o_custkey % 4 AS INTEGER) AS band, o_totalprice / 500000.0::DOUBLE AS up, o_totalprice / 520000.0::DOUBLE AS down,
+    row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderkey // 4) AS n FROM orders),
+st AS (
+  SELECT session_id, g, bw, sf, n, 1 AS k, [struct_pack(bands := [band], c0 := c, c1 := c, t0 := t, t1 := t, bc := c, bt := t, bu := up, bd := down, found := 1, amb := false)] AS obs FROM fnd WHERE k = 1
+  UNION ALL
+  SELECT session_id, g, bw, sf, n, CAST(k AS INTEGER),
+    CASE WHEN len(fits) = 1 THEN list_transform(obs, lambda o, i: CASE WHEN i <> fits[1] THEN o ELSE struct_pack(
+        bands := list_append(o.bands, band), c0 := least(o.c0, c), c1 := greatest(o.c1, c), t0 := least(o.t0, t), t1 := greatest(o.t1, t),
+        bc := CASE WHEN least(up, down) > least(o.bu, o.bd) THEN c ELSE o.bc END, bt := CASE WHEN least(up, down) > least(o.bu, o.bd) THEN t ELSE o.bt END,
+        bu := CASE WHEN least(up, down) > least(o.bu, o.bd) THEN up ELSE o.bu END, bd := CASE WHEN least(up, down) > least(o.bu, o.bd) THEN down ELSE o.bd END,
+        found := o.found + 1, amb := o.amb) END)
+      ELSE list_append(obs, struct_pack(bands := [band], c0 := c, c1 := c, t0 := t, t1 := t, bc := c, bt := t, bu := up, bd := down, found := 1, amb := len(fits) > 1)) END
+  FROM (SELECT f.*, obs, {FITS} AS fits FROM (SELECT f.*, st.obs FROM st JOIN fnd f ON f.g = st.g AND f.k = st.k + 1) f))
+SELECT session_id, CAST(bw AS INTEGER) AS bandwidth_hz, sf AS spreading_factor, o.bc AS center_hz, o.bt AS delimiter_sample, o.bu AS up_match, o.bd AS down_match,
+  CAST(len(o.bands) AS INTEGER) AS subbands, CAST(o.found AS INTEGER) AS found, o.amb AS ambiguous
+FROM (SELECT session_id, bw, sf, unnest(obs) AS o FROM st WHERE k = n)"""
+
+
+@query("q_wf1_associated_findings", WF1_SQL)
 def wf1(t: Testbed) -> DataFrame:
     """Findings of neighbouring subbands, four per moment, associated into observations."""
     o = t.raw("orders")
