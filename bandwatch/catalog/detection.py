@@ -44,10 +44,85 @@ def bu1(t: Testbed) -> DataFrame:
     )
 
 
-@query("q_bu2_bursts")
+# The association step by step: one step per tile of a run and guard class, the state is the list of open tracks and what has closed.
+TRACK = "STRUCT(first BIGINT, last BIGINT, lo BIGINT, hi BIGINT, act BIGINT, pk DOUBLE, q BIGINT, amb BOOLEAN, lim BOOLEAN, n BIGINT, blo BIGINT, bhi BIGINT)"
+BURST_SQL = f"""
+WITH RECURSIVE seed AS (SELECT session_id, acq_id, tile_id, bin, bool_and(guarded) AS guarded FROM selcell GROUP BY ALL HAVING count(*) >= 2),
+mk AS (SELECT *, CASE WHEN lag(bin) OVER w IS NULL OR bin - lag(bin) OVER w > 3 OR guarded <> lag(guarded) OVER w THEN 1 ELSE 0 END AS st
+  FROM seed WINDOW w AS (PARTITION BY session_id, tile_id ORDER BY bin)),
+isl AS (SELECT *, sum(st) OVER (PARTITION BY session_id, tile_id ORDER BY bin) AS cid FROM mk),
+comp AS (SELECT session_id, acq_id, tile_id, cid, min(bin) AS lo, max(bin) AS hi, count(*) AS n, bool_and(guarded) AS center FROM isl GROUP BY ALL),
+fr AS (SELECT DISTINCT c.session_id, c.tile_id, i.cid, c.f, c.f0, c.f1 FROM selcell c JOIN isl i USING (session_id, tile_id, bin)),
+tm AS (SELECT session_id, tile_id, cid, list(struct_pack(f := f, f0 := f0, f1 := f1)) AS fr FROM fr GROUP BY ALL),
+pk AS (SELECT c.session_id, c.tile_id, cid, max(-70.0::DOUBLE + 60.0::DOUBLE * v[bin + 1]) AS pk FROM comp c JOIN tile t USING (session_id, tile_id) JOIN binof ON bin BETWEEN lo AND hi GROUP BY ALL),
+lim AS (SELECT acq_id, min(bin) AS b0, max(bin) AS b1 FROM selbin GROUP BY ALL),
+rn AS (SELECT *, CASE WHEN lag(b) OVER w = a AND lag(acq_id) OVER w = acq_id THEN 0 ELSE 1 END AS st FROM sel WINDOW w AS (PARTITION BY session_id ORDER BY a)),
+rr AS (SELECT *, sum(st) OVER (PARTITION BY session_id ORDER BY a) AS rid FROM rn),
+re AS (SELECT *, max(a) OVER (PARTITION BY session_id, rid) AS run_last FROM rr),
+step AS (SELECT r.session_id, r.acq_id, rid, center, a AS now, run_last, row_number() OVER (PARTITION BY r.session_id, rid, center ORDER BY a) AS k, p FROM (
+  SELECT c.session_id, c.tile_id, c.center, list(struct_pack(
+    first := list_min(list_transform(fr, lambda x: x.f0)), last := list_max(list_transform(fr, lambda x: x.f1)), lo := lo, hi := hi,
+    act := CAST(list_sum(list_transform(fr, lambda x: x.f1 - x.f0)) AS BIGINT), pk := pk.pk,
+    q := CAST(s.quality | CASE WHEN center THEN 256 ELSE 0 END | CASE WHEN a > s.start_us OR b < s.end_us OR lo = b0 OR hi = b1 THEN 16 ELSE 0 END AS BIGINT),
+    amb := n < hi - lo + 1, fr := fr) ORDER BY lo) AS p
+  FROM comp c JOIN tm USING (session_id, tile_id, cid) JOIN pk USING (session_id, tile_id, cid)
+  JOIN sel s ON s.session_id = c.session_id AND s.tile_id = c.tile_id JOIN lim ON lim.acq_id = c.acq_id GROUP BY ALL) x
+  JOIN re r ON r.session_id = x.session_id AND r.tile_id = x.tile_id),
+asc_ AS (
+  SELECT session_id, acq_id, rid, center, run_last, CAST(0 AS BIGINT) AS k, CAST([] AS {TRACK}[]) AS tr, CAST([] AS {TRACK}[]) AS done
+  FROM (SELECT DISTINCT session_id, acq_id, rid, center, run_last FROM step)
+  UNION ALL
+  SELECT session_id, acq_id, rid, center, run_last, k,
+    list_filter(nt, lambda t: t.last - t.first < 10000000),
+    list_concat(done, list_concat(gone, list_transform(list_filter(nt, lambda t: t.last - t.first >= 10000000), lambda t: struct_pack(
+      first := t.first, last := t.last, lo := t.lo, hi := t.hi, act := t.act, pk := t.pk, q := t.q, amb := t.amb, lim := true, n := t.n, blo := t.blo, bhi := t.bhi))))
+  FROM (
+    SELECT *, list_concat(
+        list_transform(list_filter(range(1, len(live) + 1), lambda j: NOT list_contains(retired, j)), lambda j: CASE WHEN len(list_filter(ext, lambda e: e.j = j)) = 0 THEN live[j] ELSE
+          list_transform(list_filter(ext, lambda e: e.j = j), lambda e: struct_pack(first := live[j].first, last := e.c.last, lo := least(live[j].lo, e.c.lo), hi := greatest(live[j].hi, e.c.hi),
+            act := live[j].act + e.c.act, pk := greatest(live[j].pk, e.c.pk), q := live[j].q | e.c.q, amb := live[j].amb OR e.c.amb, lim := false, n := live[j].n + 1, blo := e.c.lo, bhi := e.c.hi))[1] END),
+        list_transform(fresh, lambda e: struct_pack(first := e.c.first, last := e.c.last, lo := e.c.lo, hi := e.c.hi, act := e.c.act, pk := e.c.pk, q := e.c.q,
+          amb := e.c.amb OR len(e.o) > 0, lim := false, n := CAST(1 AS BIGINT), blo := e.c.lo, bhi := e.c.hi))) AS nt,
+      list_concat(old, list_transform(retired, lambda j: struct_pack(first := live[j].first, last := live[j].last, lo := live[j].lo, hi := live[j].hi, act := live[j].act, pk := live[j].pk,
+        q := live[j].q, amb := true, lim := live[j].lim, n := live[j].n, blo := live[j].blo, bhi := live[j].bhi))) AS gone
+    FROM (
+      SELECT *, list_distinct(flatten(list_transform(fresh, lambda e: e.o))) AS retired FROM (
+        SELECT *, list_transform(list_filter(todo, lambda e: len(e.o) = 1 AND (len(used[e.o[1]]) = 1 OR swept[e.o[1]])), lambda e: struct_pack(j := e.o[1], c := e.c)) AS ext,
+          list_filter(todo, lambda e: NOT (len(e.o) = 1 AND (len(used[e.o[1]]) = 1 OR swept[e.o[1]]))) AS fresh
+        FROM (
+          SELECT *, list_transform(list_filter(range(1, len(p) + 1), lambda i: NOT (len(own[i]) = 1 AND swept[own[i][1]] AND used[own[i][1]][1] <> i)), lambda i: struct_pack(o := own[i], c :=
+            CASE WHEN len(own[i]) = 1 AND swept[own[i][1]] THEN struct_pack(
+              first := list_min(list_transform(used[own[i][1]], lambda m: p[m].first)), last := list_max(list_transform(used[own[i][1]], lambda m: p[m].last)),
+              lo := list_min(list_transform(used[own[i][1]], lambda m: p[m].lo)), hi := list_max(list_transform(used[own[i][1]], lambda m: p[m].hi)),
+              act := CAST(list_sum(list_transform(list_distinct(flatten(list_transform(used[own[i][1]], lambda m: p[m].fr))), lambda x: x.f1 - x.f0)) AS BIGINT),
+              pk := list_max(list_transform(used[own[i][1]], lambda m: p[m].pk)), q := list_reduce(list_transform(used[own[i][1]], lambda m: p[m].q), lambda x, y: x | y), amb := true,
+              fr := list_distinct(flatten(list_transform(used[own[i][1]], lambda m: p[m].fr)))) ELSE p[i] END)) AS todo
+          FROM (
+            SELECT *, list_transform(range(1, len(live) + 1), lambda j: len(used[j]) > 1
+                AND len(list_filter(used[j], lambda i: len(own[i]) <> 1 OR p[i].lo < live[j].lo - 2 OR p[i].hi > live[j].hi + 2)) = 0
+                AND 4 * len(list_filter(list_distinct(flatten(list_transform(used[j], lambda i: p[i].fr))), lambda x: len(list_filter(used[j], lambda i: list_contains(p[i].fr, x))) > 1))
+                  <= len(list_distinct(flatten(list_transform(used[j], lambda i: p[i].fr))))) AS swept
+            FROM (
+              SELECT *, list_transform(range(1, len(live) + 1), lambda j: list_filter(range(1, len(p) + 1), lambda i: list_contains(own[i], j))) AS used FROM (
+                SELECT *, list_transform(p, lambda c: list_filter(range(1, len(live) + 1), lambda j: c.first - live[j].last <= 40000 AND c.lo <= live[j].bhi + 3 AND c.hi >= live[j].blo - 3)) AS own
+                FROM (SELECT s.*, z.done, list_filter(z.tr, lambda t: s.now - t.last <= 40000) AS live, list_filter(z.tr, lambda t: s.now - t.last > 40000) AS old
+                  FROM asc_ z JOIN step s ON s.session_id = z.session_id AND s.rid = z.rid AND s.center = z.center AND s.k = z.k + 1))))))))),
+last_ AS (SELECT * FROM asc_ QUALIFY k = max(k) OVER (PARTITION BY session_id, rid, center)),
+brst AS (
+  SELECT session_id, acq_id, center, t, t.lim AS lim FROM (SELECT session_id, acq_id, center, unnest(done) AS t FROM last_)
+  UNION ALL SELECT session_id, acq_id, center, t, t.lim OR run_last - t.last <= 40000 FROM (SELECT session_id, acq_id, center, run_last, unnest(tr) AS t FROM last_))"""
+
+
+@query(
+    "q_bu2_bursts",
+    f"""{BURST_SQL}
+SELECT b.session_id, b.acq_id, b.center AS center_region, t.first / 1e6 AS start_s, t.last / 1e6 AS end_s, g.fc + (t.lo - 0.5::DOUBLE) * 200 AS lower_hz, g.fc + (t.hi + 0.5::DOUBLE) * 200 AS upper_hz,
+  t.act / 1e6 AS active_s, {r6("t.pk")} AS peak_dbfs, CAST(t.q AS INTEGER) AS quality, CAST(t.n AS INTEGER) AS components, t.amb AS ambiguous, b.lim AS limited
+FROM brst b JOIN (SELECT DISTINCT acq_id, first_center_hz AS fc FROM tile) g ON g.acq_id = b.acq_id""",
+)
 def bu2(t: Testbed) -> DataFrame:
-    """Bursts of the selection (sequential association; checked on fixtures)."""
-    return seconds_columns(bursts.find_bursts(t.tiles, t.acquisitions, SEL, CHUNK_US))
+    """Bursts of the selection; the association in chains and walks equals the recursion step by step."""
+    return seconds_columns(bursts.find_bursts(t.tiles, t.acquisitions, SEL, CHUNK_US)).withColumn("peak_dbfs", m("peak_dbfs"))
 
 
 @query(
