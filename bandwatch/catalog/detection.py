@@ -148,7 +148,11 @@ def bu3(t: Testbed) -> DataFrame:
     )
 
 
-@query("q_jn9_overlap_matches")
+@query(
+    "q_jn9_overlap_matches",
+    f"""{BURST_SQL}
+SELECT session_id, acq_id, center AS center_region, t.amb AS ambiguous, lim AS limited, count(*) AS bursts, CAST(sum(t.n) AS BIGINT) AS components FROM brst GROUP BY ALL""",
+)
 def jn9(t: Testbed) -> DataFrame:
     """Bursts that took in more than one component, by outcome of the overlap match."""
     d = bursts.find_bursts(t.tiles, t.acquisitions, SEL, CHUNK_US)
