@@ -100,9 +100,18 @@ def greedy_starts(
     cut by search, hence the segment that is open at the chunk's end if one began at that row.
     These functions (a row per chunk, entries up to ``limit`` behind the chunk's begin) are applied one after
     the other; then each chunk is cut on its own. Rows of a chunk are held in memory, sessions are not.
+    Keys that are no longer than the limit as a whole are one segment and take none of these steps.
     """
+    whole = df.groupBy(*keys).agg(F.min(begin).alias("_first"), F.max(test).alias("_most"))
+    placed = df.join(whole, [*keys]).withColumn("_limit", limit.cast("bigint"))
+    one = F.col("_most") - F.col("_first") <= F.col("_limit")
+    short = placed.where(one).withColumn(out, F.col("_first").cast("bigint")).select(*df.columns, out)
+    return short.unionByName(_greedy_chunks(placed.where(~one).select(*df.columns, "_limit"), keys, time, begin, test, out, chunk_us))
+
+
+def _greedy_chunks(df: DataFrame, keys: Sequence[str], time: str, begin: str, test: str, out: str, chunk_us: int) -> DataFrame:
     groups = [*keys, CHUNK]
-    rows = chunked(df, time, chunk_us).withColumn("_limit", limit.cast("bigint"))
+    rows = chunked(df, time, chunk_us)
     narrow = rows.select(*groups, F.col(begin).alias("_begin"), F.col(test).alias("_test"), "_limit")
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
     named = ", ".join(f"{k} {kinds[k]}" for k in groups)

@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwatch.operators.ordered import (
-    greedy_starts,
     CHUNK,
     CHUNK_US,
     chunked,
+    greedy_starts,
     group_start,
     running_max,
     running_sum,
     with_previous,
 )
+from bandwatch.session import written_once
 
 SESSION = ["session_id"]
 
@@ -242,7 +243,7 @@ def power_blocks(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUN
 
 def block_keys(tiles: DataFrame, max_us: int, chunk_us: int) -> DataFrame:
     """Run and block of each tile; a block's label is its first tile's start."""
-    run = with_run_start(tiles, chunk_us)
+    run = written_once(with_run_start(tiles, chunk_us), "runs")  # narrow rows, read several times
     return greedy_starts(run, ["session_id", "run_us"], "from_us", "from_us", "to_us", F.lit(max_us), "block", chunk_us)
 
 
