@@ -20,7 +20,7 @@ the whitened vectors, which is measured and not derived.
 Nulls and odd rows: a null vector, or one with a null or non-finite entry, gives no row;
 a null id is kept; repeated rows give a row each and count once in the fit; shorter
 vectors count as ended by zeros. Components whose eigenvalue is zero to double precision
-cannot be scaled to variance one and are left out, so an empty table, a single distinct
+cannot be scaled to variance one and are left out (a deviation beyond 38 digits is null), so an empty table, a single distinct
 vector and vectors of length zero give no rows. Other columns are ignored.
 """
 
