@@ -14,9 +14,12 @@ in numbers that vary together. So:
    must nest, the one that breaks into another is dropped. Text made of the valid
    classes' tokens is template, what remains fills the slots. Long text and text inside an
    article element is never template: repetition alone does not tell it from articles.
-4. The article is what remains in the slots: outside of menus, headers, footers,
-   sidebars, notices, adverts, forms and comments, as elements and class names tell
-   them, and inside the article element where the page has one.
+4. The article's slot is found from the valid classes: of the template's containers, the
+   innermost that holds ``MOST`` of the words in the slots. The article is what remains of
+   its text. Markup is a veto: menus, headers, footers, sidebars, notices, adverts, forms
+   and comments, as elements and class names tell them, never count. An article element
+   around the slot is taken whole, one inside is the article alone, one elsewhere on the page is
+   none of it. Only pages without valid classes are judged by their markup alone.
 
 A host's template has at most as many tokens as its pages have on average, times two; it
 is joined to the pages by host (broadcast or skew-split shuffle, by its written size).
@@ -44,6 +47,8 @@ from bandwatch.llm.urls import host_and_path
 LEAST_PAGES, SUPPORT = 3, 0.5
 #: Text of so many words is compared word by word, longer text as a whole; that is never dropped for being repeated.
 SHORT = 8
+#: Share of the slots' words that the article's element holds.
+MOST = 0.9
 #: Partial sums that a task holds before it hands them on.
 HELD = 200_000
 
@@ -64,6 +69,8 @@ ASIDE_NAMES = set(
     "masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar "
     "social sponsor sponsored subscribe widget".split()
 )
+#: Elements that may hold a whole article.
+CONTAINERS = set("article body center div fieldset main section table tbody td tr".split())
 INLINE_IN_P = BLOCKS - {"body", "html", "head"}
 
 _TOKEN = re.compile(
@@ -76,26 +83,29 @@ _SPLIT = re.compile(r"[\s_-]+")
 
 
 #: Stands for the element around a page.
-NOTHING = ("", False, False, 0, False)
+NOTHING = ("", False, False, 0, False, -1)
 
 
 class Run:
     """A piece of text between tags, with where it stands."""
 
-    __slots__ = ("article", "aside", "block", "text", "tokens")
+    __slots__ = ("article", "aside", "block", "element", "text", "tokens")
 
-    def __init__(self, text, block, aside, article):
-        self.text, self.block, self.aside, self.article, self.tokens = text, block, aside, article, []
+    def __init__(self, text, block, aside, article, element):
+        self.text, self.block, self.aside, self.article, self.element, self.tokens = text, block, aside, article, element, []
 
 
-def read(page: str) -> tuple[list[Run], list[int]]:
-    """The text runs of a page, and the hashes of all its tokens in their order.
+def read(page: str) -> tuple[list[Run], list[int], list[tuple[int, int, bool, bool]]]:
+    """The text runs of a page, the hashes of all its tokens, and its elements, in their order.
 
-    Runs point into the tokens by position.
+    Runs point into the tokens by position and to their element (-1: none). An element is
+    the number of its parent, the position of its token, whether it is in an article or one, and
+    whether it is a container.
     """
     runs: list[Run] = []
     tokens: list[int] = []
-    stack: list[tuple[str, bool, bool, int, bool]] = []  # element, aside, in article, hash of the path, in a paragraph that a block ends
+    elements: list[tuple[int, int, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int, bool, int]] = []  # name, aside, in article, hash of the path, in a paragraph that a block ends, element
     open_: Counter[str] = Counter()
     block, at = 0, 0
     digest = xxhash.xxh64_intdigest
@@ -105,9 +115,9 @@ def read(page: str) -> tuple[list[Run], list[int]]:
             if text and runs and runs[-1].block == block:
                 runs[-1].text += " "
             return
-        _, aside, article, path, _ = stack[-1] if stack else NOTHING
+        _, aside, article, path, _, element = stack[-1] if stack else NOTHING
         plain = html.unescape(text) if "&" in text else text
-        run = Run(plain, block, aside, article)
+        run = Run(plain, block, aside, article, element)
         words = plain.split()
         for w in words if len(words) <= SHORT else [" ".join(words)]:
             run.tokens.append(len(tokens))
@@ -134,7 +144,7 @@ def read(page: str) -> tuple[list[Run], list[int]]:
             ends = CLOSES.get(name, {"p"})
             while stack and (stack[-1][0] in ends or name in INLINE_IN_P and stack[-1][4]):
                 open_[stack.pop()[0]] -= 1
-        _, aside, article, path, paragraph = stack[-1] if stack else NOTHING
+        _, aside, article, path, paragraph, parent = stack[-1] if stack else NOTHING
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m["attributes"])).lower() if m["attributes"] else ""
         path = digest(f"{name} {named}", path)
         tokens.append(path)
@@ -144,10 +154,11 @@ def read(page: str) -> tuple[list[Run], list[int]]:
             continue
         within = article or name in ("article", "main")
         aside = aside or name in ASIDE and not (name == "header" and within) or not ASIDE_NAMES.isdisjoint(_SPLIT.split(named)) and not name in ("body", "html", "article", "main")
-        stack.append((name, aside, within, path, name == "p" or paragraph and name not in BLOCKS))
+        stack.append((name, aside, within, path, name == "p" or paragraph and name not in BLOCKS, len(elements)))
+        elements.append((parent, len(tokens) - 1, within, name in CONTAINERS))
         open_[name] += 1
     emit(page[at:])
-    return runs, tokens
+    return runs, tokens, elements
 
 
 def template_positions(tokens: list[int], template: dict[int, tuple], least: float) -> set[int]:
@@ -181,16 +192,35 @@ def template_positions(tokens: list[int], template: dict[int, tuple], least: flo
     return {i for c in good for i, _ in places[c]}
 
 
+def article_runs(runs: list[Run], elements: list[tuple[int, int, bool, bool]], outside: set[int]) -> list[Run]:
+    """The runs in the article's slot of a page whose template has the tokens at the positions ``outside``."""
+    slots = [0 if r.aside or len(r.text.split()) <= SHORT and all(i in outside for i in r.tokens) else len(r.text.split()) for r in runs]
+    words = [0] * len(elements)
+    for r, n in zip(runs, slots):
+        if r.element >= 0:
+            words[r.element] += n
+    for e in range(len(elements) - 1, 0, -1):  # parents come before their elements
+        if elements[e][0] >= 0:
+            words[elements[e][0]] += words[e]
+    total = sum(slots)
+    # More than half of the words: such elements lie in each other, the last is the innermost.
+    found = max((e for e, (_, at, _, holds) in enumerate(elements) if holds and at in outside and words[e] >= MOST * total), default=-1) if total else -1
+    while found >= 0 and elements[found][2] and elements[found][0] >= 0 and elements[elements[found][0]][2]:
+        found = elements[found][0]
+    inside = [False] * len(elements)
+    for e, (parent, *_) in enumerate(elements):
+        inside[e] = e == found or parent >= 0 and inside[parent]
+    chosen = [r for r in runs if not r.aside and (found < 0 or r.element >= 0 and inside[r.element])]
+    return [r for r in chosen if r.article] if any(r.article for r in chosen) else chosen
+
+
 def main_text(page: str, template: dict[int, tuple] | None = None, pages: int = 0) -> str:
     """The article of a page, a line for each block."""
-    runs, tokens = read(page)
+    runs, tokens, elements = read(page)
     outside = template_positions(tokens, template, SUPPORT) if template and pages >= LEAST_PAGES else set()
-    has_article = any(r.article and not r.aside for r in runs)
     lines: list[str] = []
     last = None
-    for r in runs:
-        if r.aside or has_article and not r.article:
-            continue
+    for r in article_runs(runs, elements, outside):
         if not r.article and len(r.text.split()) <= SHORT and all(i in outside for i in r.tokens):
             continue
         if r.block == last:

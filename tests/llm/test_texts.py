@@ -133,6 +133,22 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(got[300 + i] == f"Own text {i} of {i * i} words\nOne long sentence that half of the pages of this host have" for i in range(6))
 
 
+def test_classes_find_the_slot_of_the_article(spark):
+    from bandwatch.llm.templates import extract
+
+    story = [f"<h2>Title {i}</h2><p>{' '.join(f'word{i}x{j}' for j in range(60))}</p>" for i in range(6)]
+    want = [f"Title {i}\n{' '.join(f'word{i}x{j}' for j in range(60))}" for i in range(6)]
+    beside = "<div class=a><a>Read {0} too</a></div>"
+    page = "<body>" + beside + "<div class=b>{1}</div><div>All rights kept</div></body>"
+    rows = [(i, f"http://bare.example/{i}", page.format(i * 7, story[i])) for i in range(6)]
+    # An article element elsewhere on the page is not the article.
+    rows += [(10 + i, f"http://odd.example/{i}", page.replace("div class=a", "article", 1).replace("</div>", "</article>", 1).format(i * 7, story[i])) for i in range(6)]
+    rows += [(20 + i, f"http://marked.example/{i}", f"<body><p>Out {i}</p><article><div>In {i}</div><section>{story[i]}</section></article></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == want and [got[10 + i] for i in range(6)] == want
+    assert [got[20 + i] for i in range(6)] == [f"In {i}\n{w}" for i, w in enumerate(want)]
+
+
 def test_decontamination_of_odd_rows(spark):
     item = " ".join(f"w{i}" for i in range(30))
     worse = item.replace("w3 ", "x ")  # an early word: 26 of 26 shingles minus 4
