@@ -711,7 +711,8 @@ def compact_of(t: Testbed):
     from bandwatch.operators.compact import compact
 
     if "_compact" not in vars(t):
-        vars(t)["_compact"] = tuple(written_once(d, n) for d, n in zip(compact(t.tiles, 1_000_000, CHUNK_US), ("compact", "blocks", "fixes")))
+        tiles, blocks, fixes = compact(t.tiles, 1_000_000, CHUNK_US)  # fixes are written there
+        vars(t)["_compact"] = (written_once(tiles, "compact"), written_once(blocks, "blocks"), fixes)
     return vars(t)["_compact"]
 
 

@@ -8,12 +8,16 @@ whose block or fix is missing stays, with nulls in its place and its reference k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwatch.functions import flags
-from bandwatch.operators.ordered import CHUNK_US
+from bandwatch.operators.ordered import CHUNK, CHUNK_US, chunked
 from bandwatch.operators.sequences import block_keys
+from bandwatch.session import written_once
 
 #: What a compact tile does not hold itself.
 SHARED = ["mean_dbfs", "peak_dbfs", "power_start_us", "power_end_us", "fix_start", "fix_end"]
@@ -24,43 +28,82 @@ def compact(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUNK_US)
     """(compact tiles, power blocks, fixes) of detailed tiles. A block has the id of its first tile."""
     grid = ["session_id", "acq_id", "tile_id", "first_center_hz", "bin_width_hz", "bin_count"]
     keyed = block_keys(tiles.select(*grid, F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")), max_us, chunk_us)
-    firsts = keyed.groupBy("session_id", "run_us", "block").agg(F.min("tile_id").alias("power_id"))
-    members = keyed.select("session_id", "tile_id", "run_us", "block").join(firsts, ["session_id", "run_us", "block"]).drop("run_us", "block")
-    rows = tiles.join(members, ["session_id", "tile_id"])
+    members = keyed.select("session_id", "tile_id", "from_us", F.min("tile_id").over(Window.partitionBy("session_id", "run_us", "block")).alias("power_id"))
 
     # A fix has the number of its first use: twice the tile, odd at its end.
-    sides = [("fix_start", F.col("tile_id") * 2), ("fix_end", F.col("tile_id") * 2 + 1)]
-    uses = [tiles.where(F.col(c).isNotNull()).select("session_id", F.col(c).alias("fix"), i.alias("fix_id")) for c, i in sides]
-    fixes = uses[0].unionByName(uses[1]).groupBy("session_id", "fix").agg(F.min("fix_id").alias("fix_id"))
-    for side, name in (("fix_start", "start_fix"), ("fix_end", "end_fix")):
-        known = fixes.select("session_id", F.col("fix").alias(side), F.col("fix_id").alias(name))
-        rows = rows.join(known, ["session_id", side], "left")
+    side = lambda c, i: F.struct(F.col(c).alias("fix"), (F.col("tile_id") * 2 + i).alias("use"))
+    uses = tiles.select("session_id", "tile_id", F.explode(F.array(side("fix_start", 0), side("fix_end", 1))).alias("u")).select("session_id", "tile_id", "u.*").where("fix IS NOT NULL")
+    fixes = written_once(uses.groupBy("session_id", "fix").agg(F.min("use").alias("fix_id")), "fixes")
+    number = lambda odd: F.max(F.when(F.col("use") % 2 == odd, F.col("fix_id")))
+    placed = uses.join(fixes, ["session_id", "fix"]).groupBy("session_id", "tile_id").agg(number(0).alias("start_fix"), number(1).alias("end_fix"))
+    # All references of a tile in one narrow row: what is wide moves once, to meet them.
+    refs = written_once(members.join(placed, ["session_id", "tile_id"], "left"), "references")
+    of = refs.select("session_id", "tile_id", "power_id")
 
     lead = ["session_id", "power_id", "first_center_hz", "bin_width_hz", "fft_size", "bin_count"]
-    extent = rows.groupBy(*lead).agg(
+    narrow = ["session_id", "tile_id", *lead[2:], "first_sample", "end_sample", "start_us", "end_us", "utc_start_us", "utc_end_us", "frame_count"]
+    extent = tiles.select(*narrow).join(of, ["session_id", "tile_id"]).groupBy(*lead).agg(
         F.min("first_sample").alias("first_sample"), F.max("end_sample").alias("end_sample"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
         F.min("utc_start_us").alias("utc_start_us"), F.max("utc_end_us").alias("utc_end_us"), F.sum("frame_count").alias("frame_count"),
     )
     bins = (
-        rows.select("session_id", "power_id", "frame_count", F.posexplode(F.arrays_zip("mean_dbfs", "peak_dbfs")).alias("bin", "p"))
+        _chunk_levels(tiles, refs, chunk_us)
         .groupBy("session_id", "power_id", "bin")
-        .agg(F.sum(F.pow(F.lit(10.0), F.col("p.mean_dbfs") / 10) * F.col("frame_count")).alias("power"), F.max("p.peak_dbfs").alias("peak"), F.sum("frame_count").alias("n"))
+        .agg(F.sum("power").alias("power"), F.max("peak").alias("peak"), F.sum("n").alias("n"))
         .groupBy("session_id", "power_id")
         .agg(F.sort_array(F.collect_list(F.struct("bin", (10 * F.log10(F.col("power") / F.col("n"))).alias("mean"), "peak"))).alias("b"))
     )
     levels = [F.transform("b", lambda x: x["mean"]).alias("mean_dbfs"), F.transform("b", lambda x: x["peak"]).alias("peak_dbfs")]
     blocks = extent.join(bins, ["session_id", "power_id"]).select(*lead, *[c for c in extent.columns if c not in lead], *levels)
     kept = [c for c in tiles.columns if c not in SHARED]
+    rows = tiles.select(*kept).join(refs.drop("from_us"), ["session_id", "tile_id"])
     return rows.select(*kept, "power_id", "start_fix", "end_fix"), blocks, fixes.select("session_id", "fix_id", "fix.*")
 
 
+def _chunk_levels(tiles: DataFrame, refs: DataFrame, chunk_us: int) -> DataFrame:
+    """(session_id, power_id, bin, power, peak, n): partial sums of each block's bins, a row per time chunk that it meets.
+
+    A chunk's power arrays meet the references of its tiles in one shuffle and leave it as sums.
+    """
+    groups = ["session_id", CHUNK]
+    arrays = chunked(tiles, "start_us", chunk_us).select(*groups, "tile_id", "frame_count", F.arrays_zip("mean_dbfs", "peak_dbfs").alias("p"))
+    own = chunked(refs, "from_us", chunk_us).select(*groups, "tile_id", "power_id")
+
+    def sums(wide: pa.Table, narrow: pa.Table) -> pa.Table:
+        at = pc.index_in(wide["tile_id"], value_set=narrow["tile_id"].combine_chunks())
+        lists = wide["p"].combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        cells = pc.list_flatten(lists)
+        bins = np.arange(len(cells)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        blocks, block = np.unique(pc.fill_null(narrow["power_id"].take(at), -1).to_numpy(), return_inverse=True)
+        count, most = np.repeat(wide["frame_count"].to_numpy(), sizes), int(sizes.max(initial=0))
+        cell = np.repeat(block, sizes) * most + bins
+        mean, peak = (pc.struct_field(cells, n) for n in ("mean_dbfs", "peak_dbfs"))
+        has_mean, has_peak = (x.is_valid().to_numpy(zero_copy_only=False) for x in (mean, peak))
+        mean, peak = (pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False) for x in (mean, peak))
+        total = len(blocks) * most
+        add = lambda weights: np.bincount(cell, weights, total)
+        power, tops = add(np.where(has_mean, np.power(10.0, mean / 10) * count, 0.0)), np.full(total, -np.inf)
+        np.maximum.at(tops, cell[has_peak], peak[has_peak])
+        here = np.flatnonzero(add(None))
+        id_, bin_ = blocks[here // max(most, 1)], here % max(most, 1)
+        columns = [pa.array(id_), pa.array(bin_, pa.int32()), pa.array(power[here], mask=add(has_mean)[here] == 0), pa.array(tops[here], mask=add(has_peak)[here] == 0)]
+        columns = [pa.repeat(wide["session_id"][0], len(here)), *columns, pa.array(add(count)[here].astype(np.int64))] if len(here) else [pa.array([], t) for t in kinds]
+        return pa.table(dict(zip(names, columns)))
+
+    names, kinds = ["session_id", "power_id", "bin", "power", "peak", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
+    schema = "session_id bigint, power_id bigint, bin int, power double, peak double, n bigint"
+    return arrays.groupBy(*groups).cogroup(own.groupBy(*groups)).applyInArrow(sums, schema)
+
+
 def expand(tiles: DataFrame, blocks: DataFrame, fixes: DataFrame) -> DataFrame:
     """Compact tiles in the columns of the detailed layout, flagged as aggregated power, with their references."""
     power = blocks.select("session_id", "power_id", F.struct("start_us", "end_us", "mean_dbfs", "peak_dbfs").alias("_power"))
-    out = tiles.join(power, ["session_id", "power_id"], "left")
+    out = tiles
     for name in ("start_fix", "end_fix"):
         own = fixes.select("session_id", F.col("fix_id").alias(name), F.struct(*FIX_FIELDS).alias(f"_{name}"))
         out = out.join(own, ["session_id", name], "left")
+    out = out.join(power, ["session_id", "power_id"], "left")  # last: the arrays take part in no other join
     return out.select(
         *[c for c in tiles.columns if c not in ("power_id", "start_fix", "end_fix", "quality")],
         F.col("quality").bitwiseOR(F.lit(flags.POWER_AGGREGATED)).alias("quality"),

@@ -39,6 +39,15 @@ def test_both_layouts_give_equal_answers(survey):
     assert compact.expand(tiles, blocks.where("power_id <> 1"), fixes).where("mean_dbfs IS NULL").count() == 4
 
 
+def test_wide_columns_meet_one_join(survey):
+    """Tiles move once, to their references; power arrays once, to be summed; fixes and runs are narrow."""
+    tiles, blocks, fixes = compact.compact(survey.tiles, 5_000, 3_000)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tiles).count("Join ") == 1 and plan(blocks).count("Join ") == 2 and plan(blocks).count("FlatMapCoGroupsInArrow") == 1
+    joins = [line for line in plan(compact.expand(tiles, blocks, fixes)).splitlines() if "Join LeftOuter" in line]
+    assert "power_id" in joins[0] and len(joins) == 3
+
+
 def test_counters_hold_over_resets(spark):
     rows = [("a", 1, 5, 1), ("a", 2, 9, 1), ("a", 3, 2, 0), ("a", 4, 2, 0), ("a", 5, None, 0), ("b", 1, 7, 3), ("a", 9, 4, 1)]
     df = spark.createDataFrame(rows, "lane string, at bigint, frames bigint, failed bigint").withColumn("board", F.lit(0))
