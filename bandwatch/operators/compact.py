@@ -8,15 +8,12 @@ whose block or fix is missing stays, with nulls in its place and its reference k
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwatch.functions import flags
-from bandwatch.operators.ordered import CHUNK, CHUNK_US, chunked
-from bandwatch.operators.sequences import block_keys
+from bandwatch.operators.ordered import CHUNK_US
+from bandwatch.operators.sequences import block_keys, chunk_levels
 from bandwatch.session import written_once
 
 #: What a compact tile does not hold itself.
@@ -47,7 +44,7 @@ def compact(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUNK_US)
         F.min("utc_start_us").alias("utc_start_us"), F.max("utc_end_us").alias("utc_end_us"), F.sum("frame_count").alias("frame_count"),
     )
     bins = (
-        _chunk_levels(tiles, refs, chunk_us)
+        chunk_levels(tiles, refs, chunk_us)
         .groupBy("session_id", "power_id", "bin")
         .agg(F.sum("power").alias("power"), F.max("peak").alias("peak"), F.sum("n").alias("n"))
         .groupBy("session_id", "power_id")
@@ -60,42 +57,6 @@ def compact(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUNK_US)
     return rows.select(*kept, "power_id", "start_fix", "end_fix"), blocks, fixes.select("session_id", "fix_id", "fix.*")
 
 
-def _chunk_levels(tiles: DataFrame, refs: DataFrame, chunk_us: int) -> DataFrame:
-    """(session_id, power_id, bin, power, peak, n): partial sums of each block's bins, a row per time chunk that it meets.
-
-    A chunk's power arrays meet the references of its tiles in one shuffle and leave it as sums.
-    """
-    groups = ["session_id", CHUNK]
-    arrays = chunked(tiles, "start_us", chunk_us).select(*groups, "tile_id", "frame_count", F.arrays_zip("mean_dbfs", "peak_dbfs").alias("p"))
-    own = chunked(refs, "from_us", chunk_us).select(*groups, "tile_id", "power_id")
-
-    def sums(wide: pa.Table, narrow: pa.Table) -> pa.Table:
-        at = pc.index_in(wide["tile_id"], value_set=narrow["tile_id"].combine_chunks())
-        lists = wide["p"].combine_chunks()
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        cells = pc.list_flatten(lists)
-        bins = np.arange(len(cells)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        blocks, block = np.unique(pc.fill_null(narrow["power_id"].take(at), -1).to_numpy(), return_inverse=True)
-        count, most = np.repeat(wide["frame_count"].to_numpy(), sizes), int(sizes.max(initial=0))
-        cell = np.repeat(block, sizes) * most + bins
-        mean, peak = (pc.struct_field(cells, n) for n in ("mean_dbfs", "peak_dbfs"))
-        has_mean, has_peak = (x.is_valid().to_numpy(zero_copy_only=False) for x in (mean, peak))
-        mean, peak = (pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False) for x in (mean, peak))
-        total = len(blocks) * most
-        add = lambda weights: np.bincount(cell, weights, total)
-        power, tops = add(np.where(has_mean, np.power(10.0, mean / 10) * count, 0.0)), np.full(total, -np.inf)
-        np.maximum.at(tops, cell[has_peak], peak[has_peak])
-        here = np.flatnonzero(add(None))
-        id_, bin_ = blocks[here // max(most, 1)], here % max(most, 1)
-        columns = [pa.array(id_), pa.array(bin_, pa.int32()), pa.array(power[here], mask=add(has_mean)[here] == 0), pa.array(tops[here], mask=add(has_peak)[here] == 0)]
-        columns = [pa.repeat(wide["session_id"][0], len(here)), *columns, pa.array(add(count)[here].astype(np.int64))] if len(here) else [pa.array([], t) for t in kinds]
-        return pa.table(dict(zip(names, columns)))
-
-    names, kinds = ["session_id", "power_id", "bin", "power", "peak", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
-    schema = "session_id bigint, power_id bigint, bin int, power double, peak double, n bigint"
-    return arrays.groupBy(*groups).cogroup(own.groupBy(*groups)).applyInArrow(sums, schema)
-
-
 def expand(tiles: DataFrame, blocks: DataFrame, fixes: DataFrame) -> DataFrame:
     """Compact tiles in the columns of the detailed layout, flagged as aggregated power, with their references."""
     power = blocks.select("session_id", "power_id", F.struct("start_us", "end_us", "mean_dbfs", "peak_dbfs").alias("_power"))

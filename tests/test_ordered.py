@@ -34,6 +34,10 @@ def test_greedy_segments_equal_a_loop(spark, chunk, limit):
     got = greedy_starts(df, ["k"], "a", "a", "b", F.lit(limit), "s", chunk)
     assert got.columns == ["k", "a", "b", "test", "s"]
     assert {(r["k"], r["a"]): r["s"] for r in got.collect()} == greedy_by_hand(rows, limit)
+    # Short keys of a chunk come as one group, with the same cuts; a null is a key of its own.
+    two = df.withColumn("k2", F.when(F.col("k") > 1, F.col("k"))).withColumn("k", F.lit(0))
+    got = greedy_starts(two, ["k", "k2"], "a", "a", "b", F.lit(limit), "s", chunk).where("k2 IS NOT NULL")
+    assert {(r["k2"], r["a"]): r["s"] for r in got.collect()} == greedy_by_hand([r for r in rows if r[0] > 1], limit)
     assert greedy_starts(df.limit(0), ["k"], "a", "a", "b", F.lit(limit), "s", chunk).count() == 0
 
 
