@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,48 +21,82 @@ def _swapped(text: Column) -> Column:
     return F.concat(F.substring(text, 3, 2), F.substring(text, 1, 2))
 
 
-def centi_db_decode(blob: Column) -> Column:
-    """Little-endian int16 hundredths of a dB to levels."""
+def _cells(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a column of lists, without nulls, and how many each list has."""
+    column = pa.concat_arrays([column])
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column)
+    there = flat.is_valid().to_numpy(zero_copy_only=False)
+    kept = np.bincount(np.repeat(np.arange(len(column)), sizes)[there], minlength=len(column))
+    return pc.drop_null(flat).to_numpy().astype(dtype), kept
+
+
+def _blobs(like: pa.Array, codes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Fixed-width codes as one binary value for each list; null where ``like`` is."""
+    ends = np.concatenate([[0], np.cumsum(sizes * codes.dtype.itemsize)]).astype(np.int32)
+    made = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes())])
+    return pc.if_else(like.is_valid(), made, pa.scalar(None, pa.binary()))
+
+
+def _codes(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The whole codes of a column of binary values, and how many each has; null has none."""
+    width, blobs = np.dtype(dtype).itemsize, [b or b"" for b in column.to_pylist()]
+    sizes = np.array([len(b) // width for b in blobs], np.int64)
+    return np.frombuffer(b"".join(b[: n * width] for b, n in zip(blobs, sizes.tolist())), dtype), sizes
+
+
+def _lists(valid: pa.Array, values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+    return pc.if_else(valid, made, pa.scalar(None, made.type))
 
-    def values(text: Column) -> Column:
-        def value(i: Column) -> Column:
-            u = F.conv(_swapped(F.substr(text, i * 4 + 1, F.lit(4))), 16, 10).cast("int")
-            return F.when(u >= 32_768, u - 65_536).otherwise(u) / 100.0
 
-        return F.when(F.length(text) < 4, F.array().cast("array<double>")).otherwise(
-            F.transform(F.sequence(F.lit(0), (F.length(text) / 4).cast("int") - 1), value)
-        )
+# Codes of a batch are made at once; null lists and values stay null, null entries are left out.
 
-    return bound(F.hex(blob), values)
+
+def centi_db_decode(blob: Column) -> Column:
+    """Little-endian int16 hundredths of a dB to levels; an odd byte at the end is left out."""
+
+    def levels(column: pa.Array) -> pa.Array:
+        codes, sizes = _codes(column, "<i2")
+        return _lists(column.is_valid(), codes / 100.0, sizes)
+
+    return F.arrow_udf(levels, "array<double>")(blob)
 
 
 def centi_db_encode(levels: Column) -> Column:
-    def one(x: Column) -> Column:
-        q = (F.signum(x) * F.floor(F.abs(x) * 100 + 0.5)).cast("bigint").bitwiseAND(F.lit(65_535))
-        return _swapped(F.lpad(F.hex(q), 4, "0"))
+    """Levels to little-endian int16 hundredths of a dB, half away from zero; fails on levels that are not finite."""
 
-    return F.unhex(F.array_join(F.transform(levels, one), ""))
+    def blobs(column: pa.Array) -> pa.Array:
+        values, sizes = _cells(column, np.float64)
+        if not np.isfinite(values).all():
+            raise ValueError("a level is not finite")
+        codes = (np.sign(values) * np.floor(np.abs(values) * 100 + 0.5)).astype(np.int64) & 65_535
+        return _blobs(column, codes.astype("<u2"), sizes)
+
+    return F.arrow_udf(blobs, "binary")(levels)
 
 
 def histogram_decode(blob: Column) -> Column:
     """33 little-endian 32-bit counts; NULL unless exactly 132 bytes."""
 
-    def values(text: Column) -> Column:
-        def value(i: Column) -> Column:
-            parts = [F.substr(text, i * 8 + 1 + 2 * b, F.lit(2)) for b in (3, 2, 1, 0)]
-            return F.conv(F.concat(*parts), 16, 10).cast("bigint")
-
-        return F.transform(F.sequence(F.lit(0), F.lit(32)), value)
+    def counts(column: pa.Array) -> pa.Array:
+        codes, sizes = _codes(column, "<u4")
+        whole = pc.fill_null(pc.equal(pc.binary_length(column), 132), False)
+        return _lists(whole, codes.astype(np.int64), sizes)
 
-    return F.when(F.octet_length(blob) == 132, bound(F.hex(blob), values))
+    return F.arrow_udf(counts, "array<bigint>")(blob)
 
 
 def histogram_encode(counts: Column) -> Column:
-    def one(n: Column) -> Column:
-        text = F.lpad(F.hex(n), 8, "0")
-        return F.concat(*[F.substring(text, 1 + 2 * b, 2) for b in (3, 2, 1, 0)])
+    """Counts to little-endian 32-bit values; fails on those that do not fit."""
+
+    def blobs(column: pa.Array) -> pa.Array:
+        values, sizes = _cells(column, np.int64)
+        if ((values < 0) | (values > 0xFFFFFFFF)).any():
+            raise ValueError("a count does not fit 32 bits")
+        return _blobs(column, values.astype("<u4"), sizes)
 
-    return F.unhex(F.array_join(F.transform(counts, one), ""))
+    return F.arrow_udf(blobs, "binary")(counts)
 
 
 def bitmap(activity: Column, bins: Column) -> Column:
