@@ -1,20 +1,24 @@
-"""Near-duplicates by exact similarity of word shingles.
+"""Near-duplicates: SimHash with multi-index hashing, then exact similarity of word shingles.
 
 Texts are lower-cased (A-Z) and cut at ASCII white space; a text's set has its distinct
 runs of five words (a text of fewer words is one shingle). Two texts are near-duplicates
 if the Jaccard similarity of their sets is at least ``SHARE``; classes are the connected
-components. No such pair is left out:
-
-1. Two sets of that similarity share a shingle among the first n - ceil(0.8 n) + 1 of
-   each, in any order that holds for all texts (prefix filter). Shingles that are common
-   in a sample come last, so that shared lines make few candidates; the sample decides
-   cost, never results.
-2. Texts that share such a shingle meet there. First each meets one text of the shingle,
-   chosen by a hash (one of four), and is compared with the likeliest of those it met. Then
-   all pairs that met and are not in one class yet are compared, so a large group of copies
-   makes no pairs of all of them.
-3. Candidates pass bounds that no similar pair exceeds (set sizes, small parity bitmaps,
-   then ones of at least two bits a shingle) before their sets are fetched and compared whole.
+components. Fingerprints find the closest pairs; since many similar texts are more than
+``RADIUS`` bits apart, an exact filter finds the rest, so that no pair is left out:
+
+1. Each set has a SimHash fingerprint. Those within ``RADIUS`` bits are found by
+   multi-index hashing (``simhash.links``).
+2. Two different sets of that similarity share ``LEAST`` shingles or more, and as many among
+   the first n - ceil(0.8 n) + ``LEAST`` of each, in any order that holds for all texts
+   (prefix filter). Shingles that are common in a sample come last, so that shared lines
+   make few candidates; the sample decides cost, never results.
+3. Texts that share such a shingle meet there. Where at most ``SMALL`` meet, pairs are
+   counted: a similar pair meets ``LEAST`` times in small groups, or in a larger group too.
+   In a larger group each text first meets one of the group, chosen by a hash (one of four),
+   and is compared with the likeliest of those it met. Then all pairs that met there and are
+   not in one class yet are compared, so a large group of copies makes no pairs of all of them.
+4. Candidates of all kinds pass bounds that no similar pair exceeds (set sizes, small parity
+   bitmaps, then ones of at least two bits a shingle) before their sets are compared whole.
 
 Equal sets collapse before. Nulls and odd rows: a null text counts as empty; texts without
 words are equal to each other; repeated rows collapse; a null id sorts before all others;
@@ -29,12 +33,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwatch.llm import simhash
 from bandwatch.llm.common import NULL_ID, Numbered, byte_values, components, per_row, sent, written
-from bandwatch.llm.decontaminate import _roll
+from bandwatch.llm.decontaminate import _bits, _roll
 from bandwatch.session import discard
 
 #: Words of a shingle, and least similarity of near-duplicates as a fraction.
 WIDTH, SHARE = 5, (4, 5)
+#: Bits that the fingerprints of the first candidates may differ in.
+RADIUS = 3
+#: Shingles that different sets of that similarity share at least (4 of 5), and texts of a shingle whose pairs are counted.
+LEAST, SMALL = 4, 5
 #: Texts in the sample that tells common shingles, least texts with a common one, and the most that are kept.
 SAMPLE, COMMON, KEPT = 4000, 4, 1 << 17
 #: Texts of a shared shingle that the others meet first.
@@ -56,10 +65,16 @@ def digest(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set: bits that over half of its shingles have."""
+    ones = _bits(found).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found)).view(">u8")[0].astype(np.uint64).view(np.int64))
+
+
 def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which similar sets share one: rare ones first, each kind by hash."""
+    """The shingles of which similar sets share ``LEAST``: rare ones first, each kind by hash."""
     n, (up, down) = len(found), SHARE
-    size = n + (up * n) // -down + 1 if n else 0
+    size = n + (up * n) // -down + LEAST if n else 0
     if not len(common) or not n:
         return found[:size]
     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
@@ -132,7 +147,7 @@ def _verified(stored: Numbered, one: DataFrame, pairs: DataFrame, text_col: str)
     def make():
         def found(text: bytes):
             own = hashes(text)
-            return digest(own), own.view(np.int64).tolist()
+            return digest(own), own.view(np.int64)
 
         return found
 
@@ -150,11 +165,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     load = sent(docs.sparkSession, common_shingles(docs, text_col))
 
     def make():
-        common = load()
-
         def found(text: bytes):
             own = hashes(text)
-            return digest(own), len(own), _parities(own, 64 * SKETCH), _marks(own)
+            return digest(own), len(own), fingerprint(own), _parities(own, 64 * SKETCH), _marks(own)
 
         return found
 
@@ -163,22 +176,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         def found(text: bytes):
             own = hashes(text)
-            return digest(own), prefix(own, common).view(np.int64).tolist()
+            return digest(own), prefix(own, common).view(np.int64)
 
         return found
 
-    stored = Numbered(docs, text_col, "fp long, size int, sketch array<long>, marks array<long>", make, "shingled")
+    stored = Numbered(docs, text_col, "fp long, size int, print long, sketch array<long>, marks array<long>", make, "shingled")
     rows = stored.narrow(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"))
     least = F.min(F.struct("id", "slice", "place")).alias("one")
-    one, _ = written(rows.groupBy("fp").agg(least, *[F.first(c).alias(c) for c in ("size", "sketch", "marks")]), "one")
+    one, _ = written(rows.groupBy("fp").agg(least, *[F.first(c).alias(c) for c in ("size", "print", "sketch", "marks")]), "one")
 
-    here = Window.partitionBy("s")
-    first = F.min(F.struct(F.xxhash64("fp", F.pmod("s", F.lit(HUBS))).alias("at"), "fp")).over(here)
+    here = Window.partitionBy("s").orderBy("fp")
+    whole = here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    large = F.col("n") > SMALL
+    first = F.min(F.struct(F.xxhash64("fp", F.pmod("s", F.lit(HUBS))).alias("at"), "fp")).over(whole)
     distinct = stored.only(one.select("one.slice", "one.place")).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     met = per_row(distinct, "fp long, prefix array<long>", firsts, 0)
     met = met.select("fp", F.explode("prefix").alias("s")).repartition("s")  # before the window's own columns are made
-    met = met.select("s", "fp", (F.min("fp").over(here) < F.max("fp").over(here)).alias("shared"), first["fp"].alias("hub"))
-    meeting, _ = written(met.where("shared").groupBy("s", "fp").agg(F.first("hub").alias("hub")), "meeting")
+    met = met.select("s", "fp", F.count("*").over(whole).alias("n")).where("n > 1")
+    after = F.array_compact(F.array(*[F.lead("fp", k).over(here) for k in range(1, SMALL)]))
+    met = met.select("s", "fp", "n", first["fp"].alias("hub"), after.alias("after"))
+    meeting, _ = written(met.select("s", "fp", "n", F.when(large, F.col("hub")).alias("hub"), F.when(~large, F.col("after")).alias("after")), "meeting")
 
     def facts(name: str, *columns: str) -> DataFrame:
         return one.select(F.col("fp").alias(name), F.struct("size", *columns).alias(f"{name}_"))
@@ -189,19 +206,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         pairs = pairs.join(facts("u", "marks"), "u").join(facts("v", "marks"), "v")
         return pairs.select("u", "v", _apart("u_", "v_").alias("apart")).where("apart IS NOT NULL")
 
-    near = meeting.where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    near = meeting.where(large & (F.col("fp") != F.col("hub"))).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
     near, _ = written(alike(near), "hubs")
-    hubs = near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("hub")).select(F.least("u", "hub.v").alias("u"), F.greatest("u", "hub.v").alias("v"))
-    hubs, _ = written(hubs.distinct(), "hubs")
-    edges = _verified(stored, one, hubs, text_col)
+    hubs = near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("hub")).select("u", "hub.v")
+    few = meeting.where(~large).select(F.col("fp").alias("u"), F.explode("after").alias("v"))
+    few = few.groupBy("u", "v").count().where(F.col("count") >= LEAST).select("u", "v")
+    # Of texts with one fingerprint, one stands for it.
+    lead, _ = written(one.groupBy("print").agg(F.min("fp").alias("lead")), "prints")
+    linked = simhash.links(lead.select(F.col("print").alias("fp")), RADIUS)
+    for side in "uv":
+        linked = linked.join(lead.select(F.col("print").alias(side), F.col("lead").alias(f"{side}_fp")), side)
+    linked = linked.select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
+    linked = linked.union(one.join(lead, "print").where("fp <> lead").select(F.col("fp").alias("u"), F.col("lead").alias("v")))
+    tried, _ = written(ordered(alike(linked.union(few)).select("u", "v").union(hubs)).distinct(), "tried")
+    edges = _verified(stored, one, tried, text_col)
 
     roots = components(edges, "near").select(F.col("node").alias("fp"), "root")
-    placed = meeting.select("s", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = meeting.where(large).select("s", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
     left, _ = written(placed.join(mixed, "s", "left_semi").join(one.select("fp", "size", "sketch"), "fp"), "apart")
     a, b = (left.select("s", F.col("fp").alias(n), F.col("root").alias(f"{n}r"), F.struct("size", "sketch").alias(f"{n}_")) for n in "uv")
     others = a.join(b, "s").where((F.col("u") < F.col("v")) & (F.col("ur") != F.col("vr")) & _sketches_allow("u_", "v_"))
-    others = alike(others.select("u", "v").distinct().join(hubs, ["u", "v"], "left_anti")).select("u", "v")
+    others = alike(others.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")).select("u", "v")
     others, _ = written(others, "others")
     every = edges if others.isEmpty() else edges.union(_verified(stored, one, others, text_col))
     roots = components(every, "near").select(F.col("node").alias("fp"), "root")

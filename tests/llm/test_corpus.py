@@ -276,6 +276,32 @@ def test_near_dedup_stage_equals_brute_force(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()) == want
 
 
+def test_near_dedup_stage_by_fingerprints_and_by_shingles(spark, monkeypatch):
+    """Fingerprints alone find pairs within their radius; shingles find all pairs, counted in small groups or met in large ones."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(400)}" for _ in range(200)] for _ in range(30)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(100 + i, " ".join(b[:-1] + ["end"])) for i, b in enumerate(base)]
+    rows += [(200 + i, " ".join(b[: 150 + 2 * i] + ["x"] * 10 + b[150 + 2 * i :])) for i, b in enumerate(base[:20])]
+    found = {i: jaccard.hashes(t.encode()) for i, t in rows}
+    bits = {i: [2 * sum(h >> b & 1 for h in f.tolist()) > len(f) for b in range(64)] for i, f in found.items()}
+    assert all(jaccard.fingerprint(f) % 2**64 == sum(x << b for b, x in enumerate(bits[i])) for i, f in found.items())
+    assert jaccard.fingerprint(jaccard.hashes(b"")) == 0
+    roots = near_classes(dict(rows))
+    close = [(a, b) for a in found for b in found if a < b and roots[a] == roots[b] and sum(x != y for x, y in zip(bits[a], bits[b])) <= jaccard.RADIUS]
+    by_print = roots_by_hand(dict(rows), close)
+    assert close and by_print != roots
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def kept():
+        return sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect())
+
+    for small in (1, jaccard.SMALL):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        assert kept() == sorted(i for i, r in roots.items() if i == r)
+    monkeypatch.setattr(jaccard, "prefix", lambda found, common: found[:0])
+    assert kept() == sorted(i for i, r in by_print.items() if i == r)
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline
 
