@@ -72,3 +72,22 @@ def test_query_agrees_with_its_sql(spark, name):
 
 def test_sql_belongs_to_queries():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_live_slices_have_many_files(spark):
+    """A slice of a table of many partitions is written by several tasks and still comes as one micro-batch."""
+    from bandwatch.catalog.live import FILES, live
+    from bandwatch.sources.testbed import Testbed
+
+    sf, name = "/root/testdata/sf0.01", "q_st2_survey_windows"
+    want = sorted(map(tuple, queries()[name](spark, sf).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        l = live(Testbed(spark, sf), "events")
+        folder = l.streams["events"][:-2]
+        files = [len(spark.read.parquet(f"{folder}/events-{k}").inputFiles()) for k in range(FILES)]
+        assert files == [l.batch_files] * FILES and l.batch_files > 1
+        assert sorted(map(tuple, queries()[name](spark, sf).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
