@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwatch.functions import flags
-from bandwatch.functions.binding import bound
 from bandwatch.functions.power import MINIMUM_POWER
 from bandwatch.operators.asof import segment_at
 from bandwatch.operators.ordered import CHUNK, CHUNK_US, bands, chunked, greedy_starts, group_start, with_previous
@@ -32,57 +34,60 @@ EVENT_QUALITY = flags.UNCALIBRATED | flags.BACKGROUND_UNCERTAIN
 CENTER_BINS = 2
 
 
+RUN_TYPE = "array<struct<low:int,high:int,sum:double,peak:double,count:bigint,quality:int>>"
+
+
+def _whole_runs(bins: pa.Array, powers: pa.Array, bin_count: pa.Array, clipped: pa.Array, most: int | None) -> pa.Array:
+    """The runs of a batch of frames, found and summed at once; powers are added in the order of their bins."""
+    size = pc.fill_null(pc.list_value_length(bins), 0).to_numpy(zero_copy_only=False)
+    owned = pc.fill_null(pc.list_value_length(powers), 0).to_numpy(zero_copy_only=False)
+    if (size != np.where(size > 0, owned, 0)).any():
+        raise ValueError("a frame has not as many powers as bins")
+    at, values = pc.list_flatten(bins).to_numpy(), pc.list_flatten(pc.if_else(pa.array(size > 0), powers, pa.scalar(None, powers.type)))
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    values = pc.fill_null(values, 0.0).to_numpy()
+    frame = np.repeat(np.arange(len(size)), size)
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (frame[1:] != frame[:-1]) | (np.abs(at[1:] - at[:-1]) > 1)
+
+    def gathered(fresh, sums, peaks, counts, holes):
+        """What each part that starts at ``fresh`` adds up to."""
+        begin, part = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        whole = [np.bincount(part, x, len(begin)) for x in (sums, counts, holes)]
+        return begin, whole[0], np.maximum.reduceat(peaks, begin) if len(begin) else peaks, *(x.astype(np.int64) for x in whole[1:])
+
+    begin, sums, peaks, counts, holes = gathered(fresh, values, np.where(known, values, -np.inf), np.ones(len(at)), ~known)
+    low, high, frame = at[begin], at[np.append(begin[1:], len(at)) - 1] if len(at) else at, frame[begin]
+    width = pc.fill_null(bin_count, -1).to_numpy(zero_copy_only=False)[frame]
+    cut = pc.fill_null(pc.greater(clipped, 0), False).to_numpy(zero_copy_only=False)[frame]
+    quality = np.where((low == 0) | (high + 1 == width), flags.BOUNDARY, 0) | np.where(cut, flags.CLIPPED, 0)
+    number = np.bincount(frame, minlength=len(size))
+    if most is not None and (number > most).any():
+        place = np.arange(len(frame)) - np.repeat(np.cumsum(number) - number, number)
+        together = -(-number // most)[frame]
+        begin, sums, peaks, counts, holes = gathered(place % together == 0, sums, peaks, counts, holes)
+        quality = np.where(together[begin] > 1, flags.MERGED | flags.TRUNCATED, 0) | np.bitwise_or.reduceat(quality, begin)
+        low, high, frame = low[begin], high[np.append(begin[1:], len(high)) - 1], frame[begin]
+        number = np.bincount(frame, minlength=len(size))
+    made = pa.StructArray.from_arrays(
+        [pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(sums, mask=holes > 0), pa.array(peaks, mask=holes == counts), pa.array(counts), pa.array(quality, pa.int32())],
+        names=["low", "high", "sum", "peak", "count", "quality"],
+    )
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32()), made)
+
+
 def frame_runs(frames: DataFrame, most: int | None = MAX_RUNS) -> DataFrame:
     """Add ``runs`` to frames with ascending active ``bins`` and their linear ``powers``.
 
     Needs ``bin_count`` and ``clipped``. More than ``most`` runs are merged in equal
     groups, so that power and envelope are kept; None merges none.
     """
-    def ends_where(bins, step: int, edge):
-        numbered = F.transform(bins, lambda b, i: F.struct(b.alias("b"), i.alias("i")))
-        return F.filter(
-            numbered, lambda x: (x["i"] == edge) | (F.abs(F.get(bins, x["i"] + step) - x["b"]) > 1)
-        )
-
-    def run(powers, start, end):
-        own = F.slice(powers, start["i"] + 1, end["i"] - start["i"] + 1)
-        touches = (start["b"] == 0) | (end["b"] + 1 == F.col("bin_count"))
-        return F.struct(
-            start["b"].alias("low"),
-            end["b"].alias("high"),
-            F.aggregate(own, F.lit(0.0), lambda a, x: a + x).alias("sum"),
-            F.array_max(own).alias("peak"),
-            F.size(own).cast("bigint").alias("count"),
-            flags.flag(touches, flags.BOUNDARY)
-            .bitwiseOR(flags.flag(F.col("clipped") > 0, flags.CLIPPED))
-            .alias("quality"),
-        )
-
-    def merged(part):
-        quality = F.aggregate(part, F.lit(flags.MERGED | flags.TRUNCATED), lambda a, r: a.bitwiseOR(r["quality"]))
-        return F.struct(
-            F.get(part, F.lit(0))["low"].alias("low"),
-            F.element_at(part, -1)["high"].alias("high"),
-            F.aggregate(part, F.lit(0.0), lambda a, r: a + r["sum"]).alias("sum"),
-            F.array_max(F.transform(part, lambda r: r["peak"])).alias("peak"),
-            F.aggregate(part, F.lit(0).cast("bigint"), lambda a, r: a + r["count"]).alias("count"),
-            quality.alias("quality"),
-        )
-
-    def limited(runs):
-        group = F.ceil(F.size(runs) / most).cast("int")
-        groups = F.sequence(F.lit(0), F.ceil(F.size(runs) / group).cast("int") - 1)
-        combined = F.transform(groups, lambda g: bound(F.slice(runs, g * group + 1, group), merged))
-        return F.when(F.size(runs) <= most, runs).otherwise(combined)
 
-    def runs(cells):
-        bins, powers = cells["bins"], cells["powers"]
-        starts, ends = ends_where(bins, -1, F.lit(0)), ends_where(bins, 1, F.size(bins) - 1)
-        found = F.zip_with(starts, ends, lambda a, b: run(powers, a, b))
-        return found if most is None else bound(found, limited)
+    def runs(bins: pa.Array, powers: pa.Array, bin_count: pa.Array, clipped: pa.Array) -> pa.Array:
+        return _whole_runs(bins, powers, bin_count, clipped, most)
 
-    cells = F.struct("bins", "powers")
-    return frames.where(F.size("bins") > 0).withColumn("runs", bound(cells, runs))
+    found = F.arrow_udf(runs, RUN_TYPE)("bins", "powers", "bin_count", "clipped")
+    return frames.where(F.size("bins") > 0).withColumn("runs", found)
 
 
 @dataclass

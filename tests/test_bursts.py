@@ -204,3 +204,27 @@ def test_event_bands_and_chains_equal_the_sequential_walk(spark):
 def test_many_runs_are_not_merged_by_default(spark):
     got, want, _ = connected(spark, [(i, list(range(0, 400, 2))) for i in range(12)])
     assert got == want and len(got) == 400 and {r[2] - r[3] for r in got} == {0}
+
+
+def test_runs_are_found_by_batches_of_frames(spark):
+    """List functions took 2 ms for a frame of many runs; the values are theirs, powers added bin by bin."""
+    from pyspark.sql import Row
+
+    data = [(1, 0, 8, 80, 8, 3, [0, 1, 4, 7], [1.0, 2.0, None, 0.5]), (1, 8, 8, 80, 8, None, [], []), (1, 16, 8, 80, 8, 0, [2, 4, 6], [0.1, 0.2, 0.3])]
+    made = events.frame_runs(spark.createDataFrame(data, frames(spark, [(0, [1])]).schema), 2)
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    run = lambda *v: Row(**dict(zip(("low", "high", "sum", "peak", "count", "quality"), v)))
+    merged = flags.MERGED | flags.TRUNCATED
+    first, last = (r.runs for r in made.orderBy("first_sample").collect())
+    assert first == [run(0, 4, None, 2.0, 3, merged | flags.BOUNDARY | flags.CLIPPED), run(7, 7, 0.5, 0.5, 1, merged | flags.BOUNDARY | flags.CLIPPED)]
+    assert last == [run(2, 4, 0.1 + 0.2, 0.2, 2, merged), run(6, 6, 0.3, 0.3, 1, merged)]
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    from bandwatch.sources import testbed
+
+    monkeypatch.setattr(testbed, "ROWS_PER_TASK", 50)
+    t = testbed.Testbed(spark, "/root/testdata/sf0.001")
+    rows = t.raw("events").count()
+    assert rows > 50 * spark.sparkContext.defaultParallelism
+    assert t.spread("events").rdd.getNumPartitions() == -(-rows // 50)
