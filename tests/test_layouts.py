@@ -72,3 +72,11 @@ def test_nothing_leaves_unasked(survey):
     with pytest.raises(ValueError):
         ExportPolicy(decimals=8)
     assert len(REGISTRY) == 20
+
+
+def test_histogram_tasks_do_not_grow(spark, monkeypatch):
+    from bandwatch.sources import testbed
+
+    monkeypatch.setattr(testbed, "ROWS_PER_TASK", 100)
+    t = testbed.Testbed(spark, "/root/testdata/sf0.001")
+    assert t.rssi_scans.rdd.getNumPartitions() == -(-t.raw("lineitem").count() // 100)
