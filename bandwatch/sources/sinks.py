@@ -77,8 +77,16 @@ def archive(records: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_archive(records: dict[str, DataFrame], path: str) -> None:
-    """Archive partitioned by record type, so that one type is read without the others."""
-    archive(records).write.partitionBy("record_type").parquet(path)
+    """Archive partitioned by record type, so that one type is read without the others.
+
+    Types are written one after the other: a row's folder is known, so rows are not sorted by it in
+    memory or on disk. All have the columns of the whole archive.
+    """
+    whole = archive({kind: df.limit(0) for kind, df in records.items()}).drop("record_type").schema
+    for kind, df in records.items():
+        own = {f.name: f.dataType for f in df.schema.fields}
+        wide = df.select(*[(F.col(f.name) if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole.fields])
+        wide.write.option("compression", "zstd").parquet(f"{path}/record_type={kind}")
 
 
 def geojson_features(df: DataFrame, latitude: str, longitude: str, properties: list[str], decimals: int) -> DataFrame:

@@ -74,6 +74,20 @@ def test_nothing_leaves_unasked(survey):
     assert len(REGISTRY) == 20
 
 
+def test_archive_rows_are_not_sorted_by_type(spark, tmp_path):
+    """One write sorted all rows by their type, in a task's memory or on disk; types are now written by themselves."""
+    from bandwatch.sources import sinks
+
+    a = spark.range(3).select("id", F.lit(1).alias("n"))
+    b = spark.range(2).select(F.col("id").cast("string").alias("name"), (F.col("id") * 2).alias("id"))
+    path = str(tmp_path / "archive")
+    sinks.write_archive({"first": a, "second": b, "none": a.limit(0)}, path)
+    rows = spark.read.parquet(path).select("record_type", "id", "n", "name").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, sinks.archive({"first": a, "second": b}).select("record_type", "id", "n", "name").collect()))
+    kinds = [spark.read.parquet(f"{path}/record_type={kind}").schema for kind in ("first", "second")]
+    assert kinds[0] == kinds[1] and [f.name for f in kinds[0]] == ["id", "n", "name"]
+
+
 def test_histogram_tasks_do_not_grow(spark, monkeypatch):
     from bandwatch.sources import testbed
 
