@@ -94,3 +94,12 @@ def test_histogram_tasks_do_not_grow(spark, monkeypatch):
     monkeypatch.setattr(testbed, "ROWS_PER_TASK", 100)
     t = testbed.Testbed(spark, "/root/testdata/sf0.001")
     assert t.rssi_scans.rdd.getNumPartitions() == -(-t.raw("lineitem").count() // 100)
+
+
+def test_findings_know_the_size_of_acquisitions(spark):
+    """Derived anew in each table, acquisitions had no known size and whole tiles were shuffled to meet them."""
+    from bandwatch.plans.reports import findings
+    from bandwatch.sources.testbed import Testbed
+
+    bins = findings(Testbed(spark, "/root/testdata/sf0.001"), SurveyQuery())["bins"]
+    assert any("/acquisitions-" in name for name in bins.inputFiles())
