@@ -15,8 +15,9 @@ components. Fingerprints find the closest pairs; since many similar texts are mo
 3. Texts that share such a shingle meet there. Where at most ``SMALL`` meet, pairs are
    counted: a similar pair meets ``LEAST`` times in small groups, or in a larger group too.
    In a larger group each text first meets one of the group, chosen by a hash (one of four),
-   and is compared with the likeliest of those it met. Then all pairs that met there and are
-   not in one class yet are compared, so a large group of copies makes no pairs of all of them.
+   and is compared with the likeliest of those it met. Then the pairs that met there, are not in
+   one class yet and meet ``LEAST`` times in groups of all sizes are compared, so a large group of
+   copies makes no pairs of all of them, and texts that share a line or two make none.
 4. Candidates of all kinds pass bounds that no similar pair exceeds (set sizes, small parity
    bitmaps, then ones of at least two bits a shingle) before their sets are compared whole.
 
@@ -212,8 +213,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = meeting.where(large & (F.col("fp") != F.col("hub"))).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
     near, _ = written(alike(near), "hubs")
     hubs = near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("hub")).select("u", "hub.v")
-    few = meeting.where(~large).select(F.col("fp").alias("u"), F.explode("after").alias("v"))
-    few = few.groupBy("u", "v").count().where(F.col("count") >= LEAST).select("u", "v")
+    together = meeting.where(~large).select(F.col("fp").alias("u"), F.explode("after").alias("v"))
+    few = together.groupBy("u", "v").count().where(F.col("count") >= LEAST).select("u", "v")
     # Of texts with one fingerprint, one stands for it.
     lead, _ = written(one.groupBy("print").agg(F.min("fp").alias("lead")), "prints")
     linked = simhash.links(lead.select(F.col("print").alias("fp")), RADIUS)
@@ -224,15 +225,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tried, _ = written(ordered(alike(linked.union(few)).select("u", "v").union(hubs)).distinct(), "tried")
     edges = _verified(stored, one, tried, text_col)
 
-    roots = components(edges, "near").select(F.col("node").alias("fp"), "root")
-    placed = meeting.where(large).select("s", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    def classes(nodes: DataFrame, name: str, links: DataFrame) -> DataFrame:
+        """(name, root) of all ``nodes``, written."""
+        roots = components(links, "near").select(F.col("node").alias(name), "root")
+        return written(nodes.join(roots, name, "left").select(name, F.coalesce("root", name).alias("root")), "classes")[0]
+
+    roots = classes(one.select("fp"), "fp", edges)
+    placed = meeting.where(large).select("s", "fp").join(roots, "fp")
     mixed = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
     left, _ = written(placed.join(mixed, "s", "left_semi").join(one.select("fp", "size", "sketch"), "fp"), "apart")
     a, b = (left.select("s", F.col("fp").alias(n), F.col("root").alias(f"{n}r"), F.struct("size", "sketch").alias(f"{n}_")) for n in "uv")
     others = a.join(b, "s").where((F.col("u") < F.col("v")) & (F.col("ur") != F.col("vr")) & _sketches_allow("u_", "v_"))
-    others = alike(others.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")).select("u", "v")
-    others, _ = written(others, "others")
-    every = edges if others.isEmpty() else edges.union(_verified(stored, one, others, text_col))
-    roots = components(every, "near").select(F.col("node").alias("fp"), "root")
-    kept = one.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("one").alias("one"))
+    # All large groups of such a pair are here; with its small ones they must be LEAST.
+    others = others.select("u", "v", F.lit(1).alias("large")).union(together.select("u", "v", F.lit(0)))
+    others = others.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("large").alias("large")).where((F.col("times") >= LEAST) & (F.col("large") == 1))
+    others, _ = written(others.select("u", "v").join(tried, ["u", "v"], "left_anti"), "met")
+    others, _ = written(alike(others).select("u", "v"), "others")
+    if not others.isEmpty():
+        across = _verified(stored, one, others, text_col)
+        for side in "uv":
+            across = across.join(roots.select(F.col("fp").alias(side), F.col("root").alias(f"{side}r")), side)
+        merged = classes(roots.select(F.col("root").alias("was")).distinct(), "was", across.select(F.col("ur").alias("u"), F.col("vr").alias("v")))
+        roots = roots.withColumnRenamed("root", "was").join(merged, "was").select("fp", "root")
+    kept = one.select("fp", "one").join(roots, "fp").groupBy("root").agg(F.min("one").alias("one"))
     return stored.only(kept.select("one.slice", "one.place"))

@@ -302,6 +302,29 @@ def test_near_dedup_stage_by_fingerprints_and_by_shingles(spark, monkeypatch):
     assert kept() == sorted(i for i, r in by_print.items() if i == r)
 
 
+def test_near_dedup_stage_tries_pairs_that_meet_often_enough(spark, monkeypatch):
+    """Texts that share a line alone meet in its large groups; such pairs are not tried, and those that meet LEAST times are."""
+    rng = random.Random(12)
+    line = [f"line{j}" for j in range(jaccard.WIDTH + jaccard.LEAST - 2)]  # one shingle fewer than similar texts share
+    rows = [(i, " ".join([*line, *(f"w{rng.randrange(10**9)}" for _ in range(1500))])) for i in range(30)]
+    copy = rows[0][1].split()
+    rows.append((100, " ".join([*copy[:700], "other", *copy[701:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, plain = {}, jaccard.written
+
+    def counted(df, purpose):
+        out = plain(df, purpose)
+        made[purpose] = out[0].count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "RADIUS", 0)
+    monkeypatch.setattr(jaccard, "COMMON", 10**9)
+    monkeypatch.setattr(jaccard, "prefix", lambda found, common: np.unique(np.concatenate([found[:200], jaccard.hashes(" ".join(line).encode())])))
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == list(range(30))
+    assert made["apart"] >= 30 * (jaccard.LEAST - 1) and made["met"] == 0
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline
 
