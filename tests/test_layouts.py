@@ -103,3 +103,16 @@ def test_findings_know_the_size_of_acquisitions(spark):
 
     bins = findings(Testbed(spark, "/root/testdata/sf0.001"), SurveyQuery())["bins"]
     assert any("/acquisitions-" in name for name in bins.inputFiles())
+
+
+def test_analysis_and_cells_know_the_size_of_acquisitions(spark):
+    """So do the analysis bundle and the geographic summary."""
+    from bandwatch.operators.geo import geographic_summary
+    from bandwatch.plans import reports
+    from bandwatch.sources.testbed import Testbed
+
+    survey = Testbed(spark, "/root/testdata/sf0.001")
+    tables = reports.analyze(survey, SurveyQuery())
+    cells = geographic_summary(survey.tiles, survey.acquisitions, SurveyQuery(), 100.0)
+    for df in (tables["totals"], tables["bins"], tables["observations"], cells):
+        assert any("/acquisitions-" in name for name in df.inputFiles())
