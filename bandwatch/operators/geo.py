@@ -12,6 +12,7 @@ from bandwatch.functions.power import round_half_away
 from bandwatch.operators.occupancy import ACQ, bin_edges, exposure, grid_columns, measures, per_bin
 from bandwatch.operators.select import in_region, selected_tiles
 from bandwatch.plans.query import SurveyQuery
+from bandwatch.session import written_once
 
 EARTH_RADIUS_M = 6371008.8
 METRES_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180
@@ -80,11 +81,12 @@ def geographic_summary(
 ) -> DataFrame:
     """One row per acquisition, receiver cell and bin; the unlocated group is kept.
 
-    Exposure is shared by a cell's bins, so it is summed per cell once.
+    Exposure is shared by a cell's bins, so it is summed per cell once. Acquisitions are written, so that
+    Spark knows their size and moves them where they are small, not the tiles with their power arrays.
     """
     if not 10 <= metres <= 10_000:
         raise ValueError("cell size must be between 10 and 10000 metres")
-    sel = with_cells(selected_tiles(tiles, acquisitions, q), metres)
+    sel = with_cells(selected_tiles(tiles, written_once(acquisitions, "acquisitions"), q), metres)
     wide = F.col("quality").bitwiseAND(flags.POWER_AGGREGATED) != 0
     crossing_us = F.sum(F.when(F.col("crossing"), F.col("to_us") - F.col("from_us")).otherwise(0))
     keys = [*ACQ, "cell_row", "cell_column"]
