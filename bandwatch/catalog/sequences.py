@@ -244,7 +244,7 @@ SELECT session_id, acq_id, p0 / 1e6 AS power_start_s, p1 / 1e6 AS power_end_s, f
   {r6("10.0::DOUBLE * log10(p / frames)")} AS mean_dbfs, {r6("pk")} AS peak_dbfs FROM e JOIN b USING (session_id, run_us, block)""",
 )
 def ag22(t: Testbed) -> DataFrame:
-    d = seq.power_blocks(t.tiles, 100_000, CHUNK_US)
+    d = seq.power_blocks(t.tiles_by_chunk(CHUNK_US), 100_000, CHUNK_US)
     return d.select(
         "session_id", "acq_id", s("power_start"), s("power_end"), "frames", "tiles", "bin", m("mean_dbfs"), m("peak_dbfs")
     )

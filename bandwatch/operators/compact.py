@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from bandwatch.functions import flags
 from bandwatch.operators.ordered import CHUNK_US
-from bandwatch.operators.sequences import block_keys, chunk_levels
+from bandwatch.operators.sequences import block_keys, block_levels
 from bandwatch.session import written_once
 
 #: What a compact tile does not hold itself.
 SHARED = ["mean_dbfs", "peak_dbfs", "power_start_us", "power_end_us", "fix_start", "fix_end"]
+TIMES = ["first_sample", "end_sample", "start_us", "end_us", "utc_start_us", "utc_end_us"]
 FIX_FIELDS = ["latitude", "longitude", "altitude_m", "manual", "utc_us", "monotonic_us", "source", "hdop", "satellites"]
 
 
@@ -25,7 +26,7 @@ def compact(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUNK_US)
     """(compact tiles, power blocks, fixes) of detailed tiles. A block has the id of its first tile."""
     grid = ["session_id", "acq_id", "tile_id", "first_center_hz", "bin_width_hz", "bin_count"]
     keyed = block_keys(tiles.select(*grid, F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")), max_us, chunk_us)
-    members = keyed.select("session_id", "tile_id", "from_us", F.min("tile_id").over(Window.partitionBy("session_id", "run_us", "block")).alias("power_id"))
+    members = keyed.select("session_id", "tile_id", "from_us", "block", F.min("tile_id").over(Window.partitionBy("session_id", "run_us", "block")).alias("power_id"))
 
     # A fix has the number of its first use: twice the tile, odd at its end.
     side = lambda c, i: F.struct(F.col(c).alias("fix"), (F.col("tile_id") * 2 + i).alias("use"))
@@ -35,25 +36,13 @@ def compact(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUNK_US)
     placed = uses.join(fixes, ["session_id", "fix"]).groupBy("session_id", "tile_id").agg(number(0).alias("start_fix"), number(1).alias("end_fix"))
     # All references of a tile in one narrow row: what is wide moves once, to meet them.
     refs = written_once(members.join(placed, ["session_id", "tile_id"], "left"), "references")
-    of = refs.select("session_id", "tile_id", "power_id")
-
-    lead = ["session_id", "power_id", "first_center_hz", "bin_width_hz", "fft_size", "bin_count"]
-    narrow = ["session_id", "tile_id", *lead[2:], "first_sample", "end_sample", "start_us", "end_us", "utc_start_us", "utc_end_us", "frame_count"]
-    extent = tiles.select(*narrow).join(of, ["session_id", "tile_id"]).groupBy(*lead).agg(
-        F.min("first_sample").alias("first_sample"), F.max("end_sample").alias("end_sample"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
-        F.min("utc_start_us").alias("utc_start_us"), F.max("utc_end_us").alias("utc_end_us"), F.sum("frame_count").alias("frame_count"),
-    )
-    bins = (
-        chunk_levels(tiles, refs, chunk_us)
-        .groupBy("session_id", "power_id", "bin")
-        .agg(F.sum("power").alias("power"), F.max("peak").alias("peak"), F.sum("n").alias("n"))
-        .groupBy("session_id", "power_id")
-        .agg(F.sort_array(F.collect_list(F.struct("bin", (10 * F.log10(F.col("power") / F.col("n"))).alias("mean"), "peak"))).alias("b"))
-    )
-    levels = [F.transform("b", lambda x: x["mean"]).alias("mean_dbfs"), F.transform("b", lambda x: x["peak"]).alias("peak_dbfs")]
-    blocks = extent.join(bins, ["session_id", "power_id"]).select(*lead, *[c for c in extent.columns if c not in lead], *levels)
+    lead = ["first_center_hz", "bin_width_hz", "fft_size", "bin_count"]
+    extent = {c: (c, "min") for c in lead} | {c: (c, "max" if c.startswith("end") or "_end_" in c else "min") for c in TIMES} | {"frame_count": ("frame_count", "sum")}
+    rows = tiles.select("session_id", "tile_id", *extent).join(refs.select("session_id", "tile_id", "block", "power_id"), ["session_id", "tile_id"])
+    means = F.zip_with("power", "n", lambda power, n: 10 * F.log10(power / n)).alias("mean_dbfs")
+    blocks = block_levels(tiles, refs, rows, extent, chunk_us).select("session_id", "power_id", *extent, means, F.col("peak").alias("peak_dbfs"))
     kept = [c for c in tiles.columns if c not in SHARED]
-    rows = tiles.select(*kept).join(refs.drop("from_us"), ["session_id", "tile_id"])
+    rows = tiles.select(*kept).join(refs.drop("from_us", "block"), ["session_id", "tile_id"])
     return rows.select(*kept, "power_id", "start_fix", "end_fix"), blocks, fixes.select("session_id", "fix_id", "fix.*")
 
 

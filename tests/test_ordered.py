@@ -81,3 +81,27 @@ def test_smoothing_equals_the_recurrence(spark):
         y, key = (charts.FLOOR_DBFS if k != key else y), k
         y = 0.4 * x + 0.6 * y
         assert r["smoothed"] == pytest.approx(y, abs=1e-9)
+
+
+def test_arrays_that_lie_by_chunk_are_not_shuffled(spark):
+    """Power arrays moved in a shuffle by chunk, and their bins in two more; only the narrow side moves now."""
+    tiles = [tile(i, [[0]] * 3, 2, start=i * 768, means=[-60.0 - i, -70.0]) for i in range(40)]
+    df = spark.createDataFrame(tiles, "session_id bigint, acq_id bigint, tile_id bigint, start_us bigint, end_us bigint, first_center_hz double, "
+                               "bin_width_hz double, bin_count int, frame_count int, mean_dbfs array<double>, peak_dbfs array<double>")
+    blocks = sequences.power_blocks(df.repartition(3, "session_id", F.expr("start_us div 3000L")), 2_000, 3_000)
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 1
+    got = sorted((r["power_start_us"], r["bin"], r["tiles"], r["peak_dbfs"], round(r["power"], 15)) for r in blocks.collect())
+    whole = sequences.power_blocks(df, 2_000, 10**9).collect()
+    assert got == sorted((r["power_start_us"], r["bin"], r["tiles"], r["peak_dbfs"], round(r["power"], 15)) for r in whole)
+    assert len(got) == 40 and any(a < c * 3_000 < a + n * 768 for a, _, n, *_ in got for c in range(12))  # blocks over an edge
+
+
+def test_tiles_of_a_chunk_are_dealt_before_they_get_arrays(spark):
+    from bandwatch.sources.testbed import Testbed
+
+    t = Testbed(spark, "/root/testdata/sf0.001")
+    near = t.tiles_by_chunk(7_000_000)
+    assert near.columns == t.tiles.columns and near.count() == t.tiles.count() and near.exceptAll(t.tiles).isEmpty()
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [i for i, line in enumerate(plan.splitlines()) if "RepartitionByExpression" in line and "div 7000000" in line]
+    assert dealt and dealt[0] > next(i for i, line in enumerate(plan.splitlines()) if "Join Inner" in line)
