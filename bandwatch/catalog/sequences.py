@@ -711,7 +711,7 @@ def compact_of(t: Testbed):
     from bandwatch.operators.compact import compact
 
     if "_compact" not in vars(t):
-        tiles, blocks, fixes = compact(t.tiles, 1_000_000, CHUNK_US)  # fixes are written there
+        tiles, blocks, fixes = compact(t.tiles_by_chunk(CHUNK_US), 1_000_000, CHUNK_US)  # fixes are written there
         vars(t)["_compact"] = (written_once(tiles, "compact"), written_once(blocks, "blocks"), fixes)
     return vars(t)["_compact"]
 

@@ -47,12 +47,19 @@ def compact(tiles: DataFrame, max_us: int = 1_000_000, chunk_us: int = CHUNK_US)
 
 
 def expand(tiles: DataFrame, blocks: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Compact tiles in the columns of the detailed layout, flagged as aggregated power, with their references."""
-    power = blocks.select("session_id", "power_id", F.struct("start_us", "end_us", "mean_dbfs", "peak_dbfs").alias("_power"))
+    """Compact tiles in the columns of the detailed layout, flagged as aggregated power, with their references.
+
+    An id names one block or fix. Since each is taken once by id, Spark leaves out the join whose columns are not read.
+    """
+
+    def once(rows: DataFrame, key: str, fields: list[str], name: str, out: str) -> DataFrame:
+        taken = rows.groupBy("session_id", F.col(key).alias(name)).agg(*[F.first(c).alias(c) for c in fields])
+        return taken.select("session_id", name, F.struct(*fields).alias(out))
+
+    power = once(blocks, "power_id", ["start_us", "end_us", "mean_dbfs", "peak_dbfs"], "power_id", "_power")
     out = tiles
     for name in ("start_fix", "end_fix"):
-        own = fixes.select("session_id", F.col("fix_id").alias(name), F.struct(*FIX_FIELDS).alias(f"_{name}"))
-        out = out.join(own, ["session_id", name], "left")
+        out = out.join(once(fixes, "fix_id", FIX_FIELDS, name, f"_{name}"), ["session_id", name], "left")
     out = out.join(power, ["session_id", "power_id"], "left")  # last: the arrays take part in no other join
     return out.select(
         *[c for c in tiles.columns if c not in ("power_id", "start_fix", "end_fix", "quality")],

@@ -116,3 +116,22 @@ def test_analysis_and_cells_know_the_size_of_acquisitions(spark):
     cells = geographic_summary(survey.tiles, survey.acquisitions, SurveyQuery(), 100.0)
     for df in (tables["totals"], tables["bins"], tables["observations"], cells):
         assert any("/acquisitions-" in name for name in df.inputFiles())
+
+
+def test_blocks_leave_their_chunk_whole(survey):
+    """Bins left a chunk as rows, and were shuffled and collected again into arrays."""
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    blocks = compact.compact(survey.tiles, 5_000, 3_000)[1]
+    assert "Aggregate" not in plan(blocks) and "explode" not in plan(blocks)
+    rows = lambda d: {r["power_id"]: r.asDict() | {"mean_dbfs": [round(x, 12) for x in r["mean_dbfs"]]} for r in d.collect()}
+    assert rows(blocks) == rows(compact.compact(survey.tiles, 5_000, 10**9)[1])
+
+
+def test_compact_archive_is_made_of_tiles_by_chunk(spark):
+    from bandwatch.catalog.sequences import compact_of
+    from bandwatch.sources.testbed import Testbed
+
+    t = Testbed(spark, "/root/testdata/sf0.001")
+    count = t.tiles.count()
+    vars(t)["tiles"] = None  # dealt at random: power arrays would have to move
+    assert compact_of(t)[0].count() == count
