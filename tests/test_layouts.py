@@ -135,3 +135,23 @@ def test_compact_archive_is_made_of_tiles_by_chunk(spark):
     count = t.tiles.count()
     vars(t)["tiles"] = None  # dealt at random: power arrays would have to move
     assert compact_of(t)[0].count() == count
+
+
+def test_references_that_are_not_read_are_not_joined(survey):
+    """All three references of a tile were joined, whatever was read."""
+    parts = [d.cache() for d in compact.compact(survey.tiles, 5_000, 3_000)]
+    joins = lambda *c: compact.expand(*parts).select("session_id", "tile_id", *c)._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+    assert [joins("activity"), joins("mean_dbfs"), joins("fix_end.latitude"), joins("mean_dbfs", "fix_start", "fix_end")] == [0, 1, 1, 3]
+    tiles, blocks, fixes = parts
+    twice = compact.expand(tiles, blocks.unionAll(blocks), fixes.unionAll(fixes))  # an id names one block or fix
+    assert twice.count() == tiles.count() and twice.where("mean_dbfs IS NULL").isEmpty() and twice.where("fix_end IS NOT NULL").count() == 12
+
+
+def test_both_layouts_know_the_size_of_acquisitions(spark):
+    """Tiles, whole, were shuffled to meet acquisitions, and compact tiles to meet fixes that the summary does not read."""
+    from bandwatch.catalog.records import c5
+    from bandwatch.sources.testbed import Testbed
+
+    same = c5(Testbed(spark, "/root/testdata/sf0.001"))
+    assert any("/acquisitions-" in name for name in same.inputFiles())
+    assert same._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
